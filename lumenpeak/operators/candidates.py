@@ -153,7 +153,7 @@ def pixel_metrics(pixels: DataFrame, peaks: DataFrame, num_pixels: int = NUM_PIX
     columns = []
     for k in range(-num_pixels, num_pixels):
         # left pixels carry a minus sign in both names, so names stay unique
-        near = F.element_at("__near", F.lit(k))
+        near = F.try_element_at("__near", F.lit(k))
         columns += [near["flux"].alias(f"FLUX_{k}"), near["ivar"].alias(f"IVAR_{k}")]
     return gathered.select("SPECID", "peak_pix", *columns)
 
