@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,13 @@ from lumenpeak.functions.columns import any_of, ratio
 from lumenpeak.functions.constants import (LINES, NUM_PIXELS, QUASAR_CLASSES, REDSHIFT_TOLERANCE,
                                            STAR, TRY_LINES)
 from lumenpeak.functions.lines import band_structs, line_position, try_line_structs
+from lumenpeak.operators.halo import CHUNK
 from lumenpeak.operators.rangejoin import interval_join
 
 # About the width of an observed-frame line interval, in Angstrom.
 METRIC_BIN_WIDTH = 50.0
+# Wavelength range of a piece of spectrum that candidates are measured on.
+METRIC_BLOCK = 16384.0
 
 CANDIDATE_KEY = ("SPECID", "peak_pix", "try_order")
 
@@ -53,43 +58,97 @@ def interval_members(pixels: DataFrame, candidates: DataFrame, lines: Sequence[t
 
 
 def line_metrics(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
-                 bin_width: float = METRIC_BIN_WIDTH) -> DataFrame:
+                 block: float = METRIC_BLOCK, piece: int = CHUNK) -> DataFrame:
     """(key, line_index, ratio, ratio_sn, ratio2) of the measurable lines.
 
-    A line has no row when no pixel lies in any of its intervals; its metrics
-    are then missing, as they are NULL where a side is too sparsely covered.
+    A line has no row where a side is too sparsely covered or the continuum is
+    zero or missing; its metrics are then missing.
     """
-    members = interval_members(pixels, candidates, lines, bin_width)
+    return _metrics(line_sums(pixels, candidates, lines, block, piece))
 
-    def band(agg, index: int, column: str) -> Column:
-        return agg(F.when(F.col("band") == index, F.col(column)))
 
-    sums = members.groupBy(*CANDIDATE_KEY, "line_index").agg(
-        *[F.count(F.when(F.col("band") == i, 1)).alias(f"n{i}") for i in range(3)],
-        *[band(F.count, i, "flux").alias(f"nf{i}") for i in range(3)],
-        *[band(F.count, i, "ivar").alias(f"nv{i}") for i in range(3)],
-        *[band(F.avg, i, "flux").alias(f"f{i}") for i in range(3)],
-        *[band(F.sum, i, "ivar").alias(f"v{i}") for i in range(3)])
-    return _metrics(sums)
+def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
+              block: float = METRIC_BLOCK, piece: int = CHUNK) -> DataFrame:
+    """Pixels, flux and ivar in the peak (0), blue (1) and red (2) interval of each line.
+
+    Candidates meet the pixels of their spectrum in pieces of at most ``piece``
+    pixels and ``block`` Angstrom.  In a piece the interval ends are found by
+    bisection and the sums are taken over slices, so the cost follows the pixels
+    inside intervals and no (pixel, interval) row is ever shuffled.  Sums over
+    pieces add up; a missing flux or ivar (NaN here) makes its sum missing.
+    """
+    rest = [[float(line[i]) for i in (2, 4, 6)] for line in lines]
+    rest_hi = [[float(line[i]) for i in (3, 5, 7)] for line in lines]
+    span_lo, span_hi = min(map(min, rest)), max(map(max, rest_hi))
+    parts = ["SPECID", "block", "piece"]
+
+    def block_of(wave: Column) -> Column:
+        return F.floor(wave / F.lit(float(block)))
+
+    cut = pixels.select(F.col("SPECID").alias("SPECID"), block_of(F.col("wave")).alias("block"),
+                        F.expr(f"pix div {piece}").alias("piece"), "wave", "flux", "ivar")
+    shifted = 1.0 + F.col("Z_TRY")
+    present = cut.select(*[F.col(c).alias(c) for c in parts]).distinct()
+    placed = candidates.select(*CANDIDATE_KEY, "Z_TRY", F.explode(F.sequence(
+        block_of(shifted * span_lo), block_of(shifted * span_hi))).alias("block")).join(
+        present, ["SPECID", "block"]).select(
+        *[F.col(c).alias(c) for c in (*CANDIDATE_KEY, "Z_TRY", "block", "piece")])
+
+    def sums(inside: pd.DataFrame, trials: pd.DataFrame) -> pd.DataFrame:
+        return _interval_sums(inside, trials, np.array(rest), np.array(rest_hi))
+
+    columns = ", ".join([f"n{i} BIGINT" for i in range(3)]
+                        + [f"{c}{i} DOUBLE" for c in "fv" for i in range(3)])
+    partial = cut.groupBy(*parts).cogroup(placed.groupBy(*parts)).applyInPandas(
+        sums, f"SPECID BIGINT, peak_pix BIGINT, try_order INT, line_index INT, {columns}")
+    total = partial.groupBy(*CANDIDATE_KEY, "line_index").agg(
+        *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nfv" for i in range(3)])
+    return total.withColumns({f"{c}{i}": F.when(~F.isnan(f"{c}{i}"), F.col(f"{c}{i}"))
+                              for c in "fv" for i in range(3)})
+
+
+def _interval_sums(pixels: pd.DataFrame, trials: pd.DataFrame, rest_lo: np.ndarray,
+                   rest_hi: np.ndarray) -> pd.DataFrame:
+    """Counts and sums of one piece; rows (candidate, line) with a pixel in some interval."""
+    if pixels.empty or trials.empty:
+        return pd.DataFrame()
+    pixels = pixels.sort_values("wave", kind="stable")
+    wave = pixels["wave"].to_numpy(float)
+    shift = 1.0 + trials["Z_TRY"].to_numpy(float)
+    first = np.searchsorted(wave, shift[:, None, None] * rest_lo, "left")
+    last = np.searchsorted(wave, shift[:, None, None] * rest_hi, "right")
+    count = np.maximum(last - first, 0)
+    row, line = np.nonzero(count.any(axis=2))
+    first, last, count = first[row, line], last[row, line], count[row, line]
+    ends = np.stack([first, np.maximum(first, last)], axis=-1).ravel()
+
+    def slice_sums(values: pd.Series) -> np.ndarray:
+        # one padding zero lets a slice end at the last pixel
+        padded = np.append(values.to_numpy(float), 0.0)
+        return np.where(count > 0, np.add.reduceat(padded, ends)[::2].reshape(count.shape), 0.0)
+
+    out = {c: trials[c].to_numpy()[row] for c in CANDIDATE_KEY}
+    out["line_index"] = line.astype("int32")
+    flux, ivar = slice_sums(pixels["flux"]), slice_sums(pixels["ivar"])
+    for name, table in (("n", count), ("f", flux), ("v", ivar)):
+        out.update({f"{name}{i}": table[:, i] for i in range(3)})
+    return pd.DataFrame(out)
 
 
 def _metrics(sums: DataFrame) -> DataFrame:
     whole = sums.where("n0 > 0 AND n1 > 0 AND n2 > 0 AND n1 >= n0 div 2 AND n2 >= n0 div 2")
-    # a missing flux or ivar makes the whole mean or sum missing
-    clean_flux = F.expr("nf0 = n0 AND nf1 = n1 AND nf2 = n2")
-    clean_ivar = F.expr("nv0 = n0 AND nv1 = n1 AND nv2 = n2 AND v0 <> 0 AND v1 <> 0 AND v2 <> 0")
-    continuum = F.when(clean_flux, F.col("f2") + F.col("f1"))
-    metrics = whole.withColumns({
-        "continuum": continuum,
-        "ratio": ratio(2.0 * F.col("f0"), continuum),
-        "ratio2": F.abs(ratio(F.col("f2") - F.col("f1"), continuum)),
+    peak, blue, red = (F.col(f"f{i}") / F.col(f"n{i}") for i in range(3))
+    weighted = F.expr("v0 <> 0 AND v1 <> 0 AND v2 <> 0")
+    metrics = whole.withColumn("continuum", blue + red).where("continuum <> 0").withColumns({
+        "ratio": 2.0 * peak / F.col("continuum"),
+        "ratio2": F.abs((red - blue) / F.col("continuum")),
     })
-    error = F.when(clean_ivar, F.sqrt(
+    error = F.when(weighted, F.sqrt(
         F.try_divide(F.lit(4.0), F.col("v0"))
         + F.col("ratio") * F.col("ratio")
         * ((F.try_divide(F.lit(1.0), F.col("v1")) + F.try_divide(F.lit(1.0), F.col("v2"))) / 4.0)
     )) / F.abs("continuum")
-    return metrics.where("continuum <> 0").withColumn("error", error).select(
+    return metrics.withColumn("error", error).select(
         *CANDIDATE_KEY, "line_index", "ratio",
         ratio(F.col("ratio") - 1.0, F.col("error")).alias("ratio_sn"), "ratio2")
 

@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenpeak.functions.columns import total
+from lumenpeak.functions.columns import literal_array, total
 from lumenpeak.functions.constants import PEAK_MIN_SIGNIFICANCE, PEAK_WIDTH
 from lumenpeak.operators.halo import CHUNK, chunk_window, with_halo
 
-# Kernels up to this length are a sum of lag/lead terms inside the window
-# operator; longer ones are convolved per chunk on Arrow batches.
-MAX_LAG_TAPS = 41
+# Kernels up to this length are summed by a compiled expression; longer ones are
+# convolved per chunk on Arrow batches.
+MAX_WRITTEN_TAPS = 41
 
 
 def smoothing_kernel(width: float) -> list[float]:
@@ -32,22 +32,37 @@ def frame_sizes(width: float) -> tuple[int, int]:
     return full, full // 2
 
 
-def _shifted(column: Column, k: int, window) -> Column:
-    if k == 0:
-        return column
-    return F.lag(column, -k).over(window) if k < 0 else F.lead(column, k).over(window)
-
-
-def _lag_smoothed(taps: list[float], window) -> Column:
+def _gathered(pieces: DataFrame, taps: list[float]) -> DataFrame:
     """Weighted sum of neighbours: pixels off the edge count as zero flux, pixels
-    without flux are left out and the remaining weights rescaled."""
+    without flux are left out and the remaining weights rescaled.
+
+    One moving frame gathers the neighbours of a pixel; the sum over them is
+    written out term by term, so it is compiled and its order is fixed.
+    """
     half = len(taps) // 2
-    flux = total([F.coalesce(_shifted(F.col("flux"), k - half, window), F.lit(0.0)) * F.lit(t)
-                  for k, t in enumerate(taps)])
-    gap = F.when(F.col("flux").isNull(), 1.0).otherwise(0.0)
-    missing = total([F.coalesce(_shifted(gap, k - half, window), F.lit(0.0)) * F.lit(t)
-                     for k, t in enumerate(taps)])
-    return F.when(missing == 0.0, flux).otherwise(F.try_divide(flux, 1.0 - missing))
+    frame = chunk_window().rowsBetween(-half, half)
+    known = F.coalesce("flux", F.lit(float("nan")))
+    pieces = pieces.withColumns({"__near": F.collect_list(known).over(frame),
+                                 "__first": F.first("pix").over(frame)})
+    # at an edge the frame is shorter: __skip leading neighbours are off the edge
+    pieces = pieces.withColumn(
+        "__skip", (F.col("__first") - F.col("pix") + half).cast("int")).withColumn(
+        "__clean", ~F.array_contains("__near", float("nan")))
+
+    def near(k: int) -> Column:
+        return F.coalesce(F.get("__near", F.lit(k) - F.col("__skip")), F.lit(0.0))
+
+    whole = total([near(k) * F.lit(t) for k, t in enumerate(taps)])
+    # rarely needed, so kept out of the compiled path
+    weights = F.zip_with("__near", F.slice(literal_array(taps), F.col("__skip") + 1,
+                                           F.size("__near")),
+                         lambda x, t: F.struct(F.nanvl(x, F.lit(0.0)).alias("x"),
+                                               F.when(F.isnan(x), t).otherwise(0.0).alias("lost"),
+                                               t.alias("t")))
+    some = F.aggregate(weights, F.lit(0.0), lambda a, e: a + e["x"] * e["t"])
+    seen = 1.0 - F.aggregate(weights, F.lit(0.0), lambda a, e: a + e["lost"])
+    return pieces.withColumn("smoothed", F.when(F.col("__clean"), whole).otherwise(
+        F.try_divide(some, seen))).drop("__near", "__first", "__skip", "__clean")
 
 
 def _convolved(chunks: DataFrame, taps: list[float]) -> DataFrame:
@@ -82,8 +97,8 @@ def _smoothed_pieces(pieces: DataFrame, width: float) -> DataFrame:
     if width <= 0:
         return pieces.withColumn("smoothed", F.col("flux"))
     taps = smoothing_kernel(width)
-    if len(taps) <= MAX_LAG_TAPS:
-        return pieces.withColumn("smoothed", _lag_smoothed(taps, chunk_window()))
+    if len(taps) <= MAX_WRITTEN_TAPS:
+        return _gathered(pieces, taps)
     return _convolved(pieces, taps)
 
 

@@ -1,4 +1,4 @@
 """Registered queries over the given tables, with their SQL equivalents."""
 
-from workload import peaks  # noqa: F401  (registers its queries)
+from workload import peaks, preprocessing  # noqa: F401  (they register their queries)
 from workload.views import ORACLES, QUERIES  # noqa: F401

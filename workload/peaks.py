@@ -9,8 +9,7 @@ from lumenpeak.functions.shared import written
 from lumenpeak.operators import candidates as C
 from lumenpeak.operators import continuum as K
 from lumenpeak.operators import peaks as P
-from lumenpeak.operators import pixels as X
-from lumenpeak.plans.params import PEAK_FINDERS, peak_finder
+from lumenpeak.plans.params import peak_finder
 from workload.views import (MEMBERS, METRICS, MIN_SIG, PIXELS, TRIALS, TRUTH, WIDTH, lines_sql,
                             num, peaks_sql, pixels, query, rounded, rounded_sql, smoothed_sql,
                             table, truth, truth_flags_sql, with_ctes)
@@ -192,13 +191,16 @@ def d1(spark, sf):
 SELECT SPECID, peak_pix, try_order, line_index, band, count(*) AS n, sum(flux) AS flux,
   sum(ivar) AS ivar FROM members GROUP BY ALL""", "ivar"))
 def d2(spark, sf):
-    members = C.interval_members(pixels(spark, sf), trials_of(spark, sf))
+    source = stored_pixels(spark, sf)
+    members = C.interval_members(
+        source, C.trial_redshifts(P.find_peaks(source, WIDTH, MIN_SIG)))
     return rounded(members.groupBy(*C.CANDIDATE_KEY, "line_index", "band").agg(
         F.count("*").alias("n"), F.sum("flux").alias("flux"), F.sum("ivar").alias("ivar")), "ivar")
 
 
 def metrics_of(spark, sf):
-    return C.line_metrics(pixels(spark, sf), trials_of(spark, sf))
+    source = stored_pixels(spark, sf)
+    return C.line_metrics(source, C.trial_redshifts(P.find_peaks(source, WIDTH, MIN_SIG)))
 
 
 METRIC_CTES = (*PEAKS_CTES, TRIALS, MEMBERS, METRICS)
@@ -225,9 +227,10 @@ GROUP BY SPECID, peak_pix, try_order"""
 
 
 def wide_table(spark, sf):
-    peaks = written(found_peaks(spark, sf), "peaks")
+    source = stored_pixels(spark, sf)
+    peaks = written(P.find_peaks(source, WIDTH, MIN_SIG), "peaks")
     trials = C.trial_redshifts(peaks)
-    return peaks, C.candidate_table(trials, C.line_metrics(pixels(spark, sf), trials))
+    return peaks, C.candidate_table(trials, C.line_metrics(source, trials))
 
 
 @query("d4_candidate_table", with_ctes(*METRIC_CTES) + _wide_sql())
@@ -346,8 +349,9 @@ def flagship(spark, sf):
     """Peaks -> trial redshifts -> line metrics -> most significant candidate per spectrum."""
     from lumenpeak.operators.pixels import first_per_key
 
-    trials = trials_of(spark, sf)
-    metrics = C.line_metrics(pixels(spark, sf), trials).groupBy(*C.CANDIDATE_KEY).agg(
+    source = stored_pixels(spark, sf)
+    trials = C.trial_redshifts(P.find_peaks(source, WIDTH, MIN_SIG))
+    metrics = C.line_metrics(source, trials).groupBy(*C.CANDIDATE_KEY).agg(
         F.count("*").alias("n_lines"), F.avg("ratio").alias("mean_ratio"))
     best = first_per_key(trials.drop("assumed_index"), ["SPECID"],
                          [F.col("PEAK_SIGNIFICANCE").desc(), F.col("peak_pix"),
