@@ -44,37 +44,48 @@ def literal_array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def with_cut_index(df: DataFrame, out: str, value: str, cuts: Sequence[float],
-                   passes: str) -> DataFrame:
-    """Add ``out`` = index of the first cut the row passes; len(cuts) if none.
+# Up to this many cuts are compared one by one.
+FEW_CUTS = 16
+
+
+def cut_index(value: Column, cuts: Sequence[float], passes: str) -> Column:
+    """Index of the first cut the value passes; len(cuts) if none, or if NULL.
 
     ``cuts`` are ordered from hardest to easiest, so a row that passes cut ``i``
-    passes every later one, and counts per cut are running sums over ``out``.
-    ``passes`` is the SQL operator of ``value <op> cut``.  The lookup is an
-    unrolled binary search: one short CASE per step, no join, no lambda.
-    NULL values pass no cut.
+    passes every later one, and counts per cut are running sums over the index.
+    ``passes`` is the operator of ``value <op> cut``.  On an evenly stepped grid
+    the index is computed and then settled by comparing with the cuts around it,
+    so it is exact without trying every cut.
     """
     n = len(cuts)
-    grid = literal_array(cuts)
-    pos, step = f"__{out}", 1
-    while step * 2 <= n:
-        step *= 2
-    # `pos` counts leading cuts that fail
-    df = df.withColumn(pos, F.lit(0))
     compare = {
         ">=": lambda v, c: v >= c,
         ">": lambda v, c: v > c,
         "<=": lambda v, c: v <= c,
         "<": lambda v, c: v < c,
     }[passes]
-    while step:
-        probe = F.try_element_at(grid, F.col(pos) + F.lit(step))
-        df = df.withColumn(
-            pos,
-            F.col(pos) + F.when(probe.isNotNull() & ~F.coalesce(
-                compare(F.col(value), probe), F.lit(False)), step).otherwise(0))
-        step //= 2
-    return df.withColumnRenamed(pos, out)
+    if n <= FEW_CUTS:
+        chain = F.when(value.isNull(), n)
+        for i, c in enumerate(cuts):
+            chain = chain.when(compare(value, F.lit(float(c))), i)
+        return chain.otherwise(n)
+    grid = literal_array(cuts)
+    step = (cuts[-1] - cuts[0]) / (n - 1)
+    if any(abs(c - (cuts[0] + i * step)) > abs(step) / 4 for i, c in enumerate(cuts)):
+        return F.coalesce(F.size(F.filter(grid, lambda c: ~compare(value, c))), F.lit(n))
+    guess = F.ceil(F.greatest(F.lit(0.0), F.least(
+        F.lit(float(n - 1)), (value - float(cuts[0])) / float(step)))).cast("int")
+
+    def good(i: Column) -> Column:
+        return F.coalesce(compare(value, F.get(grid, i)), F.lit(False))
+
+    return (F.when(good(guess - 1), guess - 1).when(good(guess), guess)
+            .when(good(guess + 1), guess + 1).otherwise(n))
+
+
+def with_cut_index(df: DataFrame, out: str, value: str, cuts: Sequence[float],
+                   passes: str) -> DataFrame:
+    return df.withColumn(out, cut_index(F.col(value), list(cuts), passes))
 
 
 def indexed_cuts(df_with_index: DataFrame, index: str, cuts: Sequence[float],

@@ -1,4 +1,5 @@
 """Registered queries over the given tables, with their SQL equivalents."""
 
-from workload import peaks, preprocessing  # noqa: F401  (they register their queries)
+from workload import (  # noqa: F401  (they register their queries)
+    peaks, preprocessing, statistics)
 from workload.views import ORACLES, QUERIES  # noqa: F401
