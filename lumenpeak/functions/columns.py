@@ -35,6 +35,16 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def bound(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns (SQL expressions) that later expressions use many times.
+
+    Spark merges neighbouring projections and would repeat the expressions at
+    every use; generating one row from each row keeps them apart.
+    """
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return df.selectExpr("*", f"inline(array(named_struct({fields})))")
+
+
 def total(columns: Sequence[Column]) -> Column:
     """Left-to-right sum; the order is fixed so results are reproducible."""
     return reduce(lambda a, b: a + b, columns)

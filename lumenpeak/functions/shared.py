@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def working_folder(spark: SparkSession) -> str:
@@ -42,3 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_round(df: DataFrame, name: str, settled: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Write the state of an iteration; (settled rows, open rows, any open).
+
+    Whether rows are left is observed during the write, so it costs no job.
+    """
+    watch = Observation()
+    table = written(df.observe(watch, F.max((~F.col(settled)).cast("int")).alias("open")), name)
+    return table.where(settled), table.where(f"NOT {settled}"), bool(watch.get["open"])

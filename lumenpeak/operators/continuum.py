@@ -10,13 +10,14 @@ Spectra that have settled drop out of later rounds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenpeak.functions.columns import finite, literal_array, ratio, with_cut_index
+from lumenpeak.functions.columns import bound, literal_array, ratio, with_cut_index
 from lumenpeak.functions.constants import POWER_LAW_MIN_SIGNIFICANCE
-from lumenpeak.functions.shared import written
+from lumenpeak.functions.shared import written, written_round
 from lumenpeak.operators.halo import CHUNK
 
 # Logarithms of wavelength are taken relative to this, to keep the sums well
@@ -26,42 +27,40 @@ LOG_ORIGIN = 8.5
 # Break points tried by the broken power law.
 BREAK_GRID = tuple(4200.0 + 100.0 * i for i in range(47))
 
-_POWER_STATE = ("SPECID", "clips", "amplitude", "power_index", "mean_flux", "failed", "settled")
+_CLIPS = "ARRAY<STRUCT<amplitude: DOUBLE, power_index: DOUBLE>>"
 
 
-def power_law(wave: Column, fit: Column | None = None) -> Column:
-    source = (lambda n: fit[n]) if fit is not None else F.col
-    return source("amplitude") * F.pow(wave, -source("power_index"))
+def power_law(wave: Column) -> Column:
+    return F.col("amplitude") * F.pow(wave, -F.col("power_index"))
 
 
-def _kept(model, min_significance: float) -> Column:
-    """No accepted fit flagged the pixel; an undefined significance flags it."""
-    return F.forall("clips", lambda fit: F.coalesce(
-        F.abs(F.col("flux") - model(F.col("wave"), fit)) * F.sqrt("ivar") < min_significance,
-        F.lit(False)))
+def _kept(model: str, min_significance: float) -> Column:
+    """No accepted fit flagged the pixel; an undefined significance flags it.
 
+    ``model`` is the SQL of the model flux of the clip ``f``.
+    """
+    return F.expr(f"forall(clips, f -> coalesce(abs(flux - ({model})) * sqrt(ivar) < "
+                  f"{float(min_significance)!r}D, false))")
+
+
+_POWER_LAW = "f.amplitude * pow(wave, -f.power_index)"
 
-def _close(old: Column, new: Column) -> Column:
-    return F.coalesce(F.abs(old - new) <= 1e-8 + 1e-5 * F.abs(new), F.lit(False))
+
+def _finite(sql: str) -> str:
+    return f"({sql} IS NOT NULL AND NOT isnan({sql}) AND abs({sql}) <> double('infinity'))"
 
 
 def _closed_form(sums: DataFrame) -> DataFrame:
     """Weighted straight line through (log wave, log flux) from its five sums."""
-    slope = ratio(F.col("sxy") * F.col("sw") - F.col("sx") * F.col("sy"),
-                  F.col("sxx") * F.col("sw") - F.col("sx") * F.col("sx"))
-    level = ratio(F.col("sy") - slope * F.col("sx"), F.col("sw"))
-    raw_index, raw_amplitude = -slope, F.exp(level - slope * LOG_ORIGIN)
-    usable = finite(raw_amplitude) & finite(raw_index) & (raw_amplitude > 0)
-    return (sums.withColumn("fit_amplitude",
-                            F.when(F.col("n") < 3, F.col("mean_flux"))
-                            .when(usable, raw_amplitude).otherwise(F.col("mean_used")))
-            .withColumn("fit_index",
-                        F.when((F.col("n") >= 3) & usable, raw_index).otherwise(0.0))
-            .withColumn("fit_failed", F.coalesce(F.col("fit_amplitude") <= 0, F.lit(True)))
-            .withColumn("fit_amplitude", F.when(F.col("fit_failed"), F.col("mean_flux"))
-                        .otherwise(F.col("fit_amplitude")))
-            .withColumn("fit_index", F.when(F.col("fit_failed"), 0.0)
-                        .otherwise(F.col("fit_index"))))
+    sums = bound(sums, slope="try_divide(sxy * sw - sx * sy, sxx * sw - sx * sx)")
+    sums = bound(sums, raw=f"exp(try_divide(sy - slope * sx, sw) - slope * {LOG_ORIGIN}D)")
+    sums = bound(sums, usable=f"n >= 3 AND raw > 0 AND {_finite('raw')} AND {_finite('slope')}")
+    sums = bound(sums, tried="CASE WHEN n < 3 THEN mean_flux WHEN usable THEN raw "
+                             "ELSE mean_used END",
+                 tried_index="CASE WHEN usable THEN -slope ELSE 0D END")
+    return bound(sums, fit_failed="coalesce(tried <= 0, true)",
+                 fit_amplitude="CASE WHEN coalesce(tried <= 0, true) THEN mean_flux ELSE tried END",
+                 fit_index="CASE WHEN coalesce(tried <= 0, true) THEN 0D ELSE tried_index END")
 
 
 def _power_law_sums(pixels: DataFrame, min_significance: float) -> DataFrame:
@@ -69,25 +68,16 @@ def _power_law_sums(pixels: DataFrame, min_significance: float) -> DataFrame:
 
     The least squares multiplies both sides by ivar, hence weights ivar squared.
     """
-    usable = (finite(F.col("flux")) & finite(F.col("ivar"))
-              & (F.col("flux") > 0) & (F.col("ivar") > 0))
-    kept = pixels.withColumn("use", usable & _kept(power_law, min_significance)).withColumns({
-        "w": F.when(F.col("use"), F.col("ivar") * F.col("ivar")),
-        "x": F.when(F.col("use"), F.ln("wave") - LOG_ORIGIN),
-        "y": F.when(F.col("use"), F.ln("flux")),
-    })
-    w, x, y = F.col("w"), F.col("x"), F.col("y")
-    return kept.groupBy("SPECID").agg(
-        F.count("w").alias("n"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"),
-        F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"),
-        F.avg("flux").alias("mean_flux"),
-        F.avg(F.when(F.col("use"), F.col("flux"))).alias("mean_used"))
-
-
-def _start(pixels: DataFrame) -> DataFrame:
-    """Every spectrum with no clip yet and the fit (0, 0)."""
-    clip = "ARRAY<STRUCT<amplitude: DOUBLE, power_index: DOUBLE>>"
-    return pixels.withColumn("clips", F.expr(f"CAST(array() AS {clip})"))
+    usable = f"flux > 0 AND ivar > 0 AND {_finite('flux')} AND {_finite('ivar')}"
+    kept = pixels.withColumn("use", F.expr(usable) & _kept(_POWER_LAW, min_significance))
+    terms = kept.selectExpr(
+        "SPECID", "flux", "use", "CASE WHEN use THEN ivar * ivar END AS w",
+        f"CASE WHEN use THEN ln(wave) - {LOG_ORIGIN}D END AS x",
+        "CASE WHEN use THEN ln(flux) END AS y")
+    return terms.groupBy("SPECID").agg(*[F.expr(e) for e in (
+        "count(w) AS n", "sum(w) AS sw", "sum(w * x) AS sx", "sum(w * y) AS sy",
+        "sum(w * x * x) AS sxx", "sum(w * x * y) AS sxy", "avg(flux) AS mean_flux",
+        "avg(CASE WHEN use THEN flux END) AS mean_used")])
 
 
 def fit_power_law(pixels: DataFrame,
@@ -104,40 +94,31 @@ def fit_power_law(pixels: DataFrame,
     state, done = None, []
     while True:
         if state is None:
-            sums = _power_law_sums(_start(pixels), min_significance)
-            previous = sums.select("SPECID", F.lit(0.0).alias("amplitude"),
-                                   F.lit(0.0).alias("power_index"), F.lit(True).alias("failed"),
-                                   F.expr("CAST(array() AS ARRAY<STRUCT<amplitude: DOUBLE, "
-                                          "power_index: DOUBLE>>)").alias("clips"),
-                                   *[c for c in sums.columns if c != "SPECID"])
+            # every spectrum starts without a clip and with the fit (0, 0)
+            source = pixels.selectExpr("*", f"CAST(array() AS {_CLIPS}) AS clips")
+            previous = _power_law_sums(source, min_significance).selectExpr(
+                "*", "0D AS amplitude", "0D AS power_index", "true AS failed",
+                f"CAST(array() AS {_CLIPS}) AS clips")
         else:
-            sums = _power_law_sums(pixels.join(state.select("SPECID", "clips"), "SPECID"),
-                                   min_significance)
-            previous = state.select("SPECID", "amplitude", "power_index", "failed",
-                                    "clips").join(sums, "SPECID")
-        fitted = _closed_form(previous).withColumn(
-            "settled", _close(F.col("amplitude"), F.col("fit_amplitude"))
-            & _close(F.col("power_index"), F.col("fit_index")))
-        keep = F.col("settled")
-        clip = F.struct(F.col("fit_amplitude").alias("amplitude"),
-                        F.col("fit_index").alias("power_index"))
-        stepped = fitted.select(
+            source = pixels.join(state.select("SPECID", "clips"), "SPECID")
+            previous = state.drop("settled").join(_power_law_sums(source, min_significance),
+                                                  "SPECID")
+        fitted = bound(_closed_form(previous), settled="""coalesce(
+            abs(amplitude - fit_amplitude) <= 1e-8D + 1e-5D * abs(fit_amplitude)
+            AND abs(power_index - fit_index) <= 1e-8D + 1e-5D * abs(fit_index), false)""")
+        stepped = fitted.selectExpr(
             "SPECID",
-            F.when(keep, F.col("clips")).when(F.col("fit_failed"), F.col("clips"))
-            .otherwise(F.array_append("clips", clip)).alias("clips"),
-            F.when(keep, F.col("amplitude")).otherwise(F.col("fit_amplitude")).alias("amplitude"),
-            F.when(keep, F.col("power_index")).otherwise(F.col("fit_index")).alias("power_index"),
-            F.when(keep, F.col("failed")).otherwise(F.col("fit_failed")).alias("failed"),
-            "settled")
-        stepped = written(stepped, "power-law-round")
-        done.append(stepped.where("settled"))
-        state = stepped.where("NOT settled")
-        if state.isEmpty():
+            """CASE WHEN settled OR fit_failed THEN clips ELSE array_append(clips, named_struct(
+               'amplitude', fit_amplitude, 'power_index', fit_index)) END AS clips""",
+            "CASE WHEN settled THEN amplitude ELSE fit_amplitude END AS amplitude",
+            "CASE WHEN settled THEN power_index ELSE fit_index END AS power_index",
+            "CASE WHEN settled THEN failed ELSE fit_failed END AS failed", "settled")
+        settled, state, left = written_round(stepped, "power-law-round", "settled")
+        done.append(settled)
+        if not left:
             break
-    fits = done[0]
-    for part in done[1:]:
-        fits = fits.unionByName(part)
-    return fits.select("SPECID", "amplitude", "power_index", "clips", "failed")
+    return reduce(DataFrame.unionByName, done).select(
+        "SPECID", "amplitude", "power_index", "clips", "failed")
 
 
 def power_law_pixels(pixels: DataFrame, fits: DataFrame,
@@ -147,7 +128,7 @@ def power_law_pixels(pixels: DataFrame, fits: DataFrame,
     model = power_law(F.col("wave"))
     significance = F.when(F.col("failed"), 0.0).otherwise(
         F.abs(F.col("flux") - model) * F.sqrt("ivar"))
-    return (joined.where(~_kept(power_law, min_significance) & (F.col("flux") > model))
+    return (joined.where(~_kept(_POWER_LAW, min_significance) & (F.col("flux") > model))
             .select("SPECID", "pix", significance.alias("significance")))
 
 
@@ -199,16 +180,20 @@ def find_power_law_peaks(pixels: DataFrame,
 # --- broken power law -------------------------------------------------------
 
 
-def broken_power_law(wave: Column, fit: Column | None = None) -> Column:
-    source = (lambda n: fit[n]) if fit is not None else F.col
-    scaled = wave / source("break_wave")
-    return source("amplitude") * F.when(
-        wave < source("break_wave"), F.pow(scaled, -source("blue_index"))
-    ).otherwise(F.pow(scaled, -source("red_index")))
+def broken_power_law(wave: Column) -> Column:
+    scaled = wave / F.col("break_wave")
+    return F.col("amplitude") * F.when(
+        wave < F.col("break_wave"), F.pow(scaled, -F.col("blue_index"))
+    ).otherwise(F.pow(scaled, -F.col("red_index")))
 
 
+_BROKEN_POWER_LAW = ("f.amplitude * CASE WHEN wave < f.break_wave "
+                     "THEN pow(wave / f.break_wave, -f.blue_index) "
+                     "ELSE pow(wave / f.break_wave, -f.red_index) END")
 _BROKEN_CLIP = ("ARRAY<STRUCT<amplitude: DOUBLE, blue_index: DOUBLE, red_index: DOUBLE, "
                 "break_wave: DOUBLE>>")
+# Pixels the broken power law starts from.
+_STARTS = "coalesce(ivar <> 0 AND flux >= 0, false)"
 _FIT = ("amplitude", "blue_index", "red_index", "break_wave")
 
 
@@ -220,26 +205,23 @@ def _break_cells(pixels: DataFrame, min_significance: float,
     are aggregated once per round instead of once per break.  ``chi2`` is that of
     the newest accepted fit over the pixels it keeps.
     """
-    start = F.coalesce((F.col("ivar") != 0) & (F.col("flux") >= 0), F.lit(False))
-    newest = F.try_element_at("clips", F.lit(-1))
-    residual = F.col("flux") - broken_power_law(F.col("wave"), newest)
-    kept = pixels.withColumn("kept", start & _kept(broken_power_law, min_significance))
-    use = F.col("kept") & (F.col("flux") > 0) & (F.col("ivar") > 0)
-    kept = kept.withColumns({
-        "w": F.when(use, F.col("ivar") * F.col("ivar")),
-        "x": F.when(use, F.ln("wave") - LOG_ORIGIN),
-        "y": F.when(use, F.ln("flux")),
-        "r": F.when(F.col("kept"), residual * residual * F.col("ivar")),
-    })
+    newest = _BROKEN_POWER_LAW.replace("f.", "last.")
+    kept = pixels.selectExpr("*", "try_element_at(clips, -1) AS last").withColumn(
+        "kept", F.expr(_STARTS) & _kept(_BROKEN_POWER_LAW, min_significance))
+    use = "kept AND flux > 0 AND ivar > 0"
+    kept = kept.selectExpr(
+        "SPECID", "wave", f"CASE WHEN {use} THEN ivar * ivar END AS w",
+        f"CASE WHEN {use} THEN ln(wave) - {LOG_ORIGIN}D END AS x",
+        f"CASE WHEN {use} THEN ln(flux) END AS y",
+        f"CASE WHEN kept THEN (flux - {newest}) * (flux - {newest}) * ivar END AS r")
     # descending cuts: the first one at or below wave numbers the cell
     descending = sorted(breaks, reverse=True)
     kept = with_cut_index(kept, "above", "wave", descending, ">=").withColumn(
         "cell", F.lit(len(breaks)) - F.col("above"))
-    w, x, y = F.col("w"), F.col("x"), F.col("y")
-    return kept.groupBy("SPECID", "cell").agg(
-        F.count("w").alias("n"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"),
-        F.sum(w * x * x).alias("sxx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"),
-        F.sum(w * y * y).alias("syy"), F.sum("r").alias("chi2"))
+    return kept.groupBy("SPECID", "cell").agg(*[F.expr(e) for e in (
+        "count(w) AS n", "sum(w) AS sw", "sum(w * x) AS sx", "sum(w * x * x) AS sxx",
+        "sum(w * y) AS sy", "sum(w * x * y) AS sxy", "sum(w * y * y) AS syy",
+        "sum(r) AS chi2")])
 
 
 _SUMS = ("n", "sw", "sx", "sxx", "sy", "sxy", "syy")
@@ -261,38 +243,27 @@ def _best_break(cells: DataFrame, breaks: Sequence[float]) -> DataFrame:
     # breaks share the same split
     tried = (sides.where("next > cell")
              .withColumn("k", F.explode(F.sequence(F.col("cell") + 1, F.col("next"))))
-             .where(f"k <= {count}")
-             .withColumn("break_wave", F.element_at(literal_array(sorted(breaks)), F.col("k")))
-             .withColumn("lb", F.ln("break_wave") - LOG_ORIGIN))
-    right = {s: F.col(f"t_{s}") - F.col(f"l_{s}") for s in _SUMS}
-    left = {s: F.col(f"l_{s}") for s in _SUMS}
-    lb = F.col("lb")
-
-    def hinge(side):
-        p = side["sx"] - lb * side["sw"]
-        pp = side["sxx"] - 2 * lb * side["sx"] + lb * lb * side["sw"]
-        py = side["sxy"] - lb * side["sy"]
-        return p, pp, py
-
-    (lp, lpp, lpy), (rp, rpp, rpy) = hinge(left), hinge(right)
-    tried = tried.where((left["n"] >= 2) & (right["n"] >= 2)).withColumns({
-        "lp": lp, "lpp": lpp, "lpy": lpy, "rp": rp, "rpp": rpp, "rpy": rpy})
-    level = ratio(
-        F.col("t_sy") - ratio(F.col("lp") * F.col("lpy"), F.col("lpp"))
-        - ratio(F.col("rp") * F.col("rpy"), F.col("rpp")),
-        F.col("t_sw") - ratio(F.col("lp") * F.col("lp"), F.col("lpp"))
-        - ratio(F.col("rp") * F.col("rp"), F.col("rpp")))
-    solved = tried.withColumn("level", level).withColumns({
-        "m1": ratio(F.col("lpy") - F.col("level") * F.col("lp"), F.col("lpp")),
-        "m2": ratio(F.col("rpy") - F.col("level") * F.col("rp"), F.col("rpp")),
-    }).withColumn("misfit", F.col("t_syy") - F.col("level") * F.col("t_sy")
-                  - F.col("m1") * F.col("lpy") - F.col("m2") * F.col("rpy"))
+             .where(f"k <= {count} AND l_n >= 2 AND t_n - l_n >= 2")
+             .withColumn("break_wave", F.element_at(literal_array(sorted(breaks)), F.col("k"))))
+    tried = bound(tried, lb=f"ln(break_wave) - {LOG_ORIGIN}D",
+                  **{f"r_{s}": f"t_{s} - l_{s}" for s in _SUMS})
+    # hinge sums of each side: p = x - lb on that side, 0 on the other
+    tried = bound(tried, **{
+        name: sql.replace("?", side) for side in "lr" for name, sql in (
+            (f"{side}p", "?_sx - lb * ?_sw"),
+            (f"{side}pp", "?_sxx - 2 * lb * ?_sx + lb * lb * ?_sw"),
+            (f"{side}py", "?_sxy - lb * ?_sy"))})
+    tried = bound(tried, level="""try_divide(
+        t_sy - try_divide(lp * lpy, lpp) - try_divide(rp * rpy, rpp),
+        t_sw - try_divide(lp * lp, lpp) - try_divide(rp * rp, rpp))""")
+    tried = bound(tried, m1="try_divide(lpy - level * lp, lpp)",
+                  m2="try_divide(rpy - level * rp, rpp)")
+    solved = bound(tried, misfit="t_syy - level * t_sy - m1 * lpy - m2 * rpy")
     best = Window.partitionBy("SPECID").orderBy("misfit", "k")
-    return (solved.where(finite(F.col("misfit")))
+    return (solved.where(_finite("misfit"))
             .withColumn("rank", F.row_number().over(best)).where("rank = 1")
-            .select("SPECID", F.exp("level").alias("fit_amplitude"),
-                    (-F.col("m1")).alias("fit_blue_index"), (-F.col("m2")).alias("fit_red_index"),
-                    F.col("break_wave").alias("fit_break_wave"), "misfit"))
+            .selectExpr("SPECID", "exp(level) AS fit_amplitude", "-m1 AS fit_blue_index",
+                        "-m2 AS fit_red_index", "break_wave AS fit_break_wave", "misfit"))
 
 
 def fit_broken_power_law_once(pixels: DataFrame,
@@ -342,14 +313,11 @@ def fit_broken_power_law(pixels: DataFrame, min_significance: float = POWER_LAW_
                 F.when(better, F.coalesce("new_chi2", F.lit(0.0)))
                 .otherwise(F.col("best_chi2")).alias("best_chi2"),
                 (~refit).alias("settled"))
-        stepped = written(stepped, "broken-power-law-round")
-        done.append(stepped.where("settled"))
-        state = stepped.where("NOT settled")
-        if state.isEmpty():
+        settled, state, left = written_round(stepped, "broken-power-law-round", "settled")
+        done.append(settled)
+        if not left:
             break
-    fits = done[0]
-    for part in done[1:]:
-        fits = fits.unionByName(part)
+    fits = reduce(DataFrame.unionByName, done)
     last = F.element_at("clips", F.lit(-1))
     return fits.where(F.size("clips") > 0).select(
         "SPECID", *[last[c].alias(c) for c in _FIT], "clips")
@@ -360,8 +328,7 @@ def broken_power_law_pixels(pixels: DataFrame, fits: DataFrame,
     """Clipped pixels above the final fit; |difference| * sqrt(ivar)."""
     joined = pixels.join(fits, "SPECID")
     model = broken_power_law(F.col("wave"))
-    start = F.coalesce((F.col("ivar") != 0) & (F.col("flux") >= 0), F.lit(False))
-    kept = start & _kept(broken_power_law, min_significance)
+    kept = F.expr(_STARTS) & _kept(_BROKEN_POWER_LAW, min_significance)
     return (joined.where(~kept & (F.col("flux") > model))
             .select("SPECID", "pix",
                     (F.abs(F.col("flux") - model) * F.sqrt("ivar")).alias("significance")))

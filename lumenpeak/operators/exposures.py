@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.columns import ratio
-from lumenpeak.operators.halo import CHUNK, chunk_window, with_halo
+from lumenpeak.operators.halo import CHUNK, chunk_window, positions, with_halo
 from lumenpeak.operators.pixels import first_per_key
 
 EXPOSURE_KEY = ("SPECID", "band", "pix")
@@ -136,8 +136,6 @@ def combine_arms(pixels: DataFrame) -> DataFrame:
 
 def numbered_pixels(pixels: DataFrame, step: float = 4096.0) -> DataFrame:
     """Add ``pix`` = position along the wavelength, after combining or dropping pixels."""
-    from lumenpeak.operators.halo import positions
-
     return positions(pixels, ["SPECID"], ["wave"], F.floor(F.col("wave") / F.lit(step)))
 
 

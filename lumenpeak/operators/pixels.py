@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenpeak.functions.columns import any_of
 from lumenpeak.functions.constants import (BOSS_TARGET1_BITS, EBOSS_TARGET0_BITS, REBIN_CENTER,
                                            SKY_MARGIN, TRAY_FILTERS, TRAY_MAX_WAVE, TRAY_WAVES)
+from lumenpeak.operators.halo import CHUNK, positions
 
 
 def to_pixels(spectra: DataFrame, *keep: str) -> DataFrame:
@@ -165,10 +166,9 @@ def select_filters(filters: DataFrame, trays_only: bool = False) -> DataFrame:
 
 def photometric_pixels(objects: DataFrame, filters: DataFrame) -> DataFrame:
     """Photometric objects as pixels, numbered along the chosen filters."""
-    fluxes = photometric_ivar(objects)
-    numbered = filters.withColumn(
-        "pix", F.row_number().over(Window.orderBy("idx")).cast("bigint") - 1)
-    return fluxes.join(numbered, "idx").drop("idx", "name")
+    numbered = positions(filters.select("idx", "wave").withColumn("set", F.lit(0)), ["set"],
+                         ["idx"], F.expr(f"idx div {CHUNK}")).drop("set")
+    return photometric_ivar(objects).join(numbered, "idx").drop("idx")
 
 
 def attach_first_match(left: DataFrame, right: DataFrame, on: str, order: Sequence[str],

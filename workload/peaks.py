@@ -92,7 +92,7 @@ def power_law_sql(min_sig: float, rounds: int) -> str:
 
 
 # With these tables most fits settle after a few rounds.
-CLIP, ROUNDS = 40.0, 14
+CLIP, ROUNDS = 40.0, 18
 FITS_SQL = power_law_sql(CLIP, ROUNDS)
 RUNS_SQL = f"""above AS (SELECT p.SPECID, pix, CASE WHEN f.bad THEN 0.0e0
     ELSE abs(flux - f.a * pow(wave, -f.b)) * sqrt(ivar) END AS sig
