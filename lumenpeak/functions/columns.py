@@ -82,7 +82,8 @@ def cut_index(value: Column, cuts: Sequence[float], passes: str) -> Column:
     grid = literal_array(cuts)
     step = (cuts[-1] - cuts[0]) / (n - 1)
     if any(abs(c - (cuts[0] + i * step)) > abs(step) / 4 for i, c in enumerate(cuts)):
-        return F.coalesce(F.size(F.filter(grid, lambda c: ~compare(value, c))), F.lit(n))
+        return F.when(value.isNull(), n).otherwise(
+            F.size(F.filter(grid, lambda c: ~compare(value, c))))
     guess = F.ceil(F.greatest(F.lit(0.0), F.least(
         F.lit(float(n - 1)), (value - float(cuts[0])) / float(step)))).cast("int")
 

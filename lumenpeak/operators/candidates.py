@@ -75,7 +75,7 @@ def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] =
     pixels and ``block`` Angstrom.  In a piece the interval ends are found by
     bisection and the sums are taken over slices, so the cost follows the pixels
     inside intervals and no (pixel, interval) row is ever shuffled.  Sums over
-    pieces add up; a missing flux or ivar (NaN here) makes its sum missing.
+    pieces add up; a flux or ivar that is missing or not finite makes its sum missing.
     """
     rest = [[float(line[i]) for i in (2, 4, 6)] for line in lines]
     rest_hi = [[float(line[i]) for i in (3, 5, 7)] for line in lines]
@@ -103,8 +103,9 @@ def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] =
         sums, f"SPECID BIGINT, peak_pix BIGINT, try_order INT, line_index INT, {columns}")
     total = partial.groupBy(*CANDIDATE_KEY, "line_index").agg(
         *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nfv" for i in range(3)])
-    return total.withColumns({f"{c}{i}": F.when(~F.isnan(f"{c}{i}"), F.col(f"{c}{i}"))
-                              for c in "fv" for i in range(3)})
+    return total.withColumns({
+        f"{c}{i}": F.when(F.col(f"{c}{i}") < F.lit(float("inf")), F.col(f"{c}{i}"))
+        for c in "fv" for i in range(3)})
 
 
 def _interval_sums(pixels: pd.DataFrame, trials: pd.DataFrame, rest_lo: np.ndarray,
@@ -123,8 +124,11 @@ def _interval_sums(pixels: pd.DataFrame, trials: pd.DataFrame, rest_lo: np.ndarr
     ends = np.stack([first, np.maximum(first, last)], axis=-1).ravel()
 
     def slice_sums(values: pd.Series) -> np.ndarray:
+        # missing values become infinite, which a sum keeps and Arrow carries
+        usable = values.to_numpy(float)
+        usable = np.where(np.isfinite(usable), usable, np.inf)
         # one padding zero lets a slice end at the last pixel
-        padded = np.append(values.to_numpy(float), 0.0)
+        padded = np.append(usable, 0.0)
         return np.where(count > 0, np.add.reduceat(padded, ends)[::2].reshape(count.shape), 0.0)
 
     out = {c: trials[c].to_numpy()[row] for c in CANDIDATE_KEY}
@@ -159,13 +163,16 @@ def metric_columns(lines: Sequence[tuple] = LINES) -> list[str]:
 
 
 def pivoted_metrics(metrics: DataFrame, lines: Sequence[tuple] = LINES) -> DataFrame:
-    """Long metrics -> one row per candidate with {LINE}_RATIO, _RATIO_SN, _RATIO2."""
-    wide = []
-    for index, line in enumerate(lines):
-        for kind in ("ratio", "ratio_sn", "ratio2"):
-            wide.append(F.max(F.when(F.col("line_index") == index, F.col(kind)))
-                        .alias(f"{line[0].upper()}_{kind.upper()}"))
-    return metrics.groupBy(*CANDIDATE_KEY).agg(*wide)
+    """Long metrics -> one row per candidate with {LINE}_RATIO, _RATIO_SN, _RATIO2.
+
+    A candidate gathers at most one entry per line.
+    """
+    gathered = metrics.groupBy(*CANDIDATE_KEY).agg(F.expr(
+        "map_from_entries(collect_list(named_struct('line', line_index, 'm', "
+        "named_struct('RATIO', ratio, 'RATIO_SN', ratio_sn, 'RATIO2', ratio2)))) AS found"))
+    return gathered.selectExpr(*CANDIDATE_KEY, *[
+        f"try_element_at(found, {index}).{kind} AS {line[0].upper()}_{kind}"
+        for index, line in enumerate(lines) for kind in ("RATIO", "RATIO_SN", "RATIO2")])
 
 
 def candidate_table(candidates: DataFrame, metrics: DataFrame,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenpeak.functions.columns import literal_array, ratio, with_cut_index
+from lumenpeak.functions.columns import bound, literal_array, ratio, with_cut_index
 from lumenpeak.functions.constants import (PROB_GRID, QUASAR, QUASAR_CLASSES, REDSHIFT_TOLERANCE,
                                            REPORT_CUTS, SIGNIFICANCE_CUTS, SPLIT_REDSHIFT)
 
@@ -151,32 +151,26 @@ def _sweep_columns(sums: DataFrame) -> DataFrame:
     correct rows whose trial redshift lies across the split move to the side of
     their true redshift.
     """
-    c = F.col
-    side = {
-        "num_candidates": c("rows").cast("double"),
-        "num_candidates_zge2_1": (c("rows_high") + c("moved_up") - c("moved_down")).cast("double"),
-        "num_candidates_zlt2_1": (c("rows_low") - c("moved_up") + c("moved_down")).cast("double"),
-        "found": c("good").cast("double"),
-        "found_zge2_1": F.when(c("rows_high") > 0, c("good_high")).otherwise(0).cast("double"),
-        "found_zlt2_1": F.when(c("rows_low") > 0, c("good_low")).otherwise(0).cast("double"),
-        "found_alt_zge2_1": (F.when(c("rows_high") > 0, c("alt_high")).otherwise(0)
-                             + c("moved_up")).cast("double"),
-        "found_alt_zlt2_1": (F.when(c("rows_low") > 0, c("alt_low")).otherwise(0)
-                             + c("moved_down")).cast("double"),
-    }
-    df = sums.withColumns(side).withColumn(
-        "found_alt", c("found_alt_zge2_1") + c("found_alt_zlt2_1"))
-    for kind in ("", "_alt"):
-        for s in SIDES:
-            found, quasars = c(f"found{kind}{s}"), c(f"num_quasars{s}")
-            df = df.withColumns({
-                f"missed{kind}{s}": quasars - found,
-                f"purity{kind}{s}": ratio(found, c(f"num_candidates{s}")),
-                f"completeness{kind}{s}": ratio(found, quasars),
-            }).withColumn(f"f1_score{kind}{s}", ratio(
-                2.0 * c(f"purity{kind}{s}") * c(f"completeness{kind}{s}"),
-                c(f"purity{kind}{s}") + c(f"completeness{kind}{s}")))
-    return df
+    df = bound(sums, **{name: f"CAST({sql} AS DOUBLE)" for name, sql in {
+        "num_candidates": "rows",
+        "num_candidates_zge2_1": "rows_high + moved_up - moved_down",
+        "num_candidates_zlt2_1": "rows_low - moved_up + moved_down",
+        "found": "good",
+        "found_zge2_1": "CASE WHEN rows_high > 0 THEN good_high ELSE 0 END",
+        "found_zlt2_1": "CASE WHEN rows_low > 0 THEN good_low ELSE 0 END",
+        "found_alt": "CASE WHEN rows_high > 0 THEN alt_high ELSE 0 END + moved_up "
+                     "+ CASE WHEN rows_low > 0 THEN alt_low ELSE 0 END + moved_down",
+        "found_alt_zge2_1": "CASE WHEN rows_high > 0 THEN alt_high ELSE 0 END + moved_up",
+        "found_alt_zlt2_1": "CASE WHEN rows_low > 0 THEN alt_low ELSE 0 END + moved_down",
+    }.items()})
+    every = [(kind, side) for kind in ("", "_alt") for side in SIDES]
+    df = bound(df, **{name: sql for k, s in every for name, sql in (
+        (f"missed{k}{s}", f"num_quasars{s} - found{k}{s}"),
+        (f"purity{k}{s}", f"try_divide(found{k}{s}, num_candidates{s})"),
+        (f"completeness{k}{s}", f"try_divide(found{k}{s}, num_quasars{s})"))})
+    return bound(df, **{f"f1_score{k}{s}": f"try_divide(2.0D * purity{k}{s} * completeness{k}{s}, "
+                                           f"purity{k}{s} + completeness{k}{s})"
+                        for k, s in every})
 
 
 def sweep_columns() -> list[str]:
@@ -258,25 +252,23 @@ def optimal_threshold(sweep: DataFrame, by_f1: bool = True,
     The relaxed variant always takes the largest F1.  Ties, and cases where the
     score is nowhere defined, go to the first cut of the grid.
     """
-    keys = list(keys)
-    parts = []
-    for case, s in _CASES:
-        crossing = -F.abs(F.col(f"purity{s}") - F.col(f"completeness{s}"))
-        score = F.col(f"f1_score{s}") if by_f1 else crossing
-
-        def best(value: Column, kind: str, suffix: str) -> DataFrame:
-            order = Window.partitionBy(*keys).orderBy(F.col("__v").desc_nulls_last(), "prob_index")
-            return (sweep.withColumn("__v", value)
-                    .withColumn("rank", F.row_number().over(order)).where("rank = 1")
-                    .select(*keys, F.lit(case).alias("case"), F.col("prob").alias(f"prob{suffix}"),
-                            F.col(f"num_candidates{s}").alias(f"num_candidates{suffix}"),
-                            *[F.col(f"{c}{kind}{s}").alias(f"{c}{suffix}")
-                              for c in ("purity", "completeness", "f1_score")]))
-
-        main = best(score, "", "")
-        relaxed = best(F.col(f"f1_score_alt{s}"), "_alt", "_alt")
-        parts.append(main.join(relaxed, [*keys, "case"]))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    def best(value: str, kind: str, side: str, suffix: str) -> str:
+        picked = ", ".join(
+            f"'{name}{suffix}', {column}" for name, column in (
+                ("prob", "prob"), ("num_candidates", f"num_candidates{side}"),
+                *((c, f"{c}{kind}{side}") for c in ("purity", "completeness", "f1_score"))))
+        return (f"min_by(named_struct({picked}), named_struct('none', {value} IS NULL, "
+                f"'down', -({value}), 'at', prob_index))")
+
+    picks, rows = [], []
+    for i, (case, s) in enumerate(_CASES):
+        main = f"f1_score{s}" if by_f1 else f"-abs(purity{s} - completeness{s})"
+        picks += [F.expr(best(main, "", s, "")).alias(f"main{i}"),
+                  F.expr(best(f"f1_score_alt{s}", "_alt", s, "_alt")).alias(f"alt{i}")]
+        rows.append(f"named_struct('case', '{case}', 'm', main{i}, 'a', alt{i})")
+    found = sweep.groupBy(*keys).agg(*picks)
+    return found.selectExpr(*keys, f"inline(array({', '.join(rows)}))").selectExpr(
+        *keys, "case", "m.*", "a.*")
 
 
 def statistics_by_magnitude(candidates: DataFrame, truth: DataFrame, mag_cuts: Sequence[float],

@@ -350,7 +350,7 @@ def flagship(spark, sf):
     from lumenpeak.operators.pixels import first_per_key
 
     source = stored_pixels(spark, sf)
-    trials = C.trial_redshifts(P.find_peaks(source, WIDTH, MIN_SIG))
+    trials = C.trial_redshifts(written(P.find_peaks(source, WIDTH, MIN_SIG), "peaks"))
     metrics = C.line_metrics(source, trials).groupBy(*C.CANDIDATE_KEY).agg(
         F.count("*").alias("n_lines"), F.avg("ratio").alias("mean_ratio"))
     best = first_per_key(trials.drop("assumed_index"), ["SPECID"],
