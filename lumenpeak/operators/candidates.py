@@ -21,6 +21,8 @@ from lumenpeak.operators.rangejoin import interval_join
 METRIC_BIN_WIDTH = 50.0
 # Wavelength range of a piece of spectrum that candidates are measured on.
 METRIC_BLOCK = 16384.0
+# Pixels packed into one row there; an Arrow batch holds many such rows.
+METRIC_PIECE = 512
 
 CANDIDATE_KEY = ("SPECID", "peak_pix", "try_order")
 
@@ -58,7 +60,7 @@ def interval_members(pixels: DataFrame, candidates: DataFrame, lines: Sequence[t
 
 
 def line_metrics(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
-                 block: float = METRIC_BLOCK, piece: int = CHUNK) -> DataFrame:
+                 block: float = METRIC_BLOCK, piece: int = METRIC_PIECE) -> DataFrame:
     """(key, line_index, ratio, ratio_sn, ratio2) of the measurable lines.
 
     A line has no row where a side is too sparsely covered or the continuum is
@@ -68,38 +70,51 @@ def line_metrics(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple
 
 
 def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
-              block: float = METRIC_BLOCK, piece: int = CHUNK) -> DataFrame:
+              block: float = METRIC_BLOCK, piece: int = METRIC_PIECE) -> DataFrame:
     """Pixels, flux and ivar in the peak (0), blue (1) and red (2) interval of each line.
 
-    Candidates meet the pixels of their spectrum in pieces of at most ``piece``
-    pixels and ``block`` Angstrom.  In a piece the interval ends are found by
-    bisection and the sums are taken over slices, so the cost follows the pixels
-    inside intervals and no (pixel, interval) row is ever shuffled.  Sums over
-    pieces add up; a flux or ivar that is missing or not finite makes its sum missing.
+    Pixels are packed into rows of at most ``piece`` neighbours, candidates into
+    rows of the peaks of at most CHUNK pixels, and packed rows of a spectrum meet
+    within ``block`` Angstrom: one pair for an ordinary stretch of spectrum, many
+    bounded ones, which an adaptive join can split, for a huge one.  In a pair the
+    interval ends are found by bisection and sums are taken over slices, so no
+    (pixel, interval) row is ever shuffled.  Sums over pieces add up; a flux or
+    ivar that is missing or not finite makes its sum missing.
     """
-    rest = [[float(line[i]) for i in (2, 4, 6)] for line in lines]
-    rest_hi = [[float(line[i]) for i in (3, 5, 7)] for line in lines]
-    span_lo, span_hi = min(map(min, rest)), max(map(max, rest_hi))
-    parts = ["SPECID", "block", "piece"]
+    rest_lo = np.array([[float(line[i]) for i in (2, 4, 6)] for line in lines])
+    rest_hi = np.array([[float(line[i]) for i in (3, 5, 7)] for line in lines])
 
     def block_of(wave: Column) -> Column:
         return F.floor(wave / F.lit(float(block)))
 
-    cut = pixels.select(F.col("SPECID").alias("SPECID"), block_of(F.col("wave")).alias("block"),
-                        F.expr(f"pix div {piece}").alias("piece"), "wave", "flux", "ivar")
-    shifted = 1.0 + F.col("Z_TRY")
-    present = cut.select(*[F.col(c).alias(c) for c in parts]).distinct()
-    placed = candidates.select(*CANDIDATE_KEY, "Z_TRY", F.explode(F.sequence(
-        block_of(shifted * span_lo), block_of(shifted * span_hi))).alias("block")).join(
-        present, ["SPECID", "block"]).select(
-        *[F.col(c).alias(c) for c in (*CANDIDATE_KEY, "Z_TRY", "block", "piece")])
+    # infinity marks a missing value: a sum keeps it, and Arrow carries it
+    def marked(column: str) -> str:
+        return (f"collect_list(CASE WHEN abs({column}) < double('infinity') THEN {column} "
+                f"ELSE double('infinity') END) AS {column}")
 
-    def sums(inside: pd.DataFrame, trials: pd.DataFrame) -> pd.DataFrame:
-        return _interval_sums(inside, trials, np.array(rest), np.array(rest_hi))
+    packed = (pixels.select(F.col("SPECID").alias("SPECID"), block_of(F.col("wave")).alias("block"),
+                            F.expr(f"pix div {piece}").alias("piece"), "wave", "flux", "ivar")
+              .where("wave IS NOT NULL").groupBy("SPECID", "block", "piece")
+              .agg(F.collect_list("wave").alias("wave"), F.expr(marked("flux")),
+                   F.expr(marked("ivar"))))
+    shifted = 1.0 + F.col("Z_TRY")
+    batches = (candidates.select(
+        *[F.col(c).alias(c) for c in (*CANDIDATE_KEY, "Z_TRY")],
+        F.explode(F.sequence(block_of(shifted * float(rest_lo.min())),
+                             block_of(shifted * float(rest_hi.max())))).alias("block"))
+        .withColumn("batch", F.expr(f"peak_pix div {CHUNK}"))
+        .groupBy("SPECID", "block", "batch")
+        .agg(*[F.collect_list(c).alias(c) for c in ("peak_pix", "try_order", "Z_TRY")]))
+
+    def sums(frames):
+        for frame in frames:
+            found = [_interval_sums(row, rest_lo, rest_hi) for row in frame.itertuples()]
+            if found:
+                yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
 
     columns = ", ".join([f"n{i} BIGINT" for i in range(3)]
                         + [f"{c}{i} DOUBLE" for c in "fv" for i in range(3)])
-    partial = cut.groupBy(*parts).cogroup(placed.groupBy(*parts)).applyInPandas(
+    partial = packed.join(batches, ["SPECID", "block"]).mapInPandas(
         sums, f"SPECID BIGINT, peak_pix BIGINT, try_order INT, line_index INT, {columns}")
     total = partial.groupBy(*CANDIDATE_KEY, "line_index").agg(
         *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nfv" for i in range(3)])
@@ -108,35 +123,31 @@ def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] =
         for c in "fv" for i in range(3)})
 
 
-def _interval_sums(pixels: pd.DataFrame, trials: pd.DataFrame, rest_lo: np.ndarray,
-                   rest_hi: np.ndarray) -> pd.DataFrame:
-    """Counts and sums of one piece; rows (candidate, line) with a pixel in some interval."""
-    if pixels.empty or trials.empty:
-        return pd.DataFrame()
-    pixels = pixels.sort_values("wave", kind="stable")
-    wave = pixels["wave"].to_numpy(float)
-    shift = 1.0 + trials["Z_TRY"].to_numpy(float)
+def _interval_sums(row, rest_lo: np.ndarray, rest_hi: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts and sums of one pair, for each (candidate, line) with a pixel in an interval."""
+    order = np.argsort(row.wave, kind="stable")
+    wave = np.asarray(row.wave)[order]
+    shift = 1.0 + np.asarray(row.Z_TRY)
     first = np.searchsorted(wave, shift[:, None, None] * rest_lo, "left")
     last = np.searchsorted(wave, shift[:, None, None] * rest_hi, "right")
     count = np.maximum(last - first, 0)
-    row, line = np.nonzero(count.any(axis=2))
-    first, last, count = first[row, line], last[row, line], count[row, line]
+    which, line = np.nonzero(count.any(axis=2))
+    first, last, count = first[which, line], last[which, line], count[which, line]
     ends = np.stack([first, np.maximum(first, last)], axis=-1).ravel()
 
-    def slice_sums(values: pd.Series) -> np.ndarray:
-        # missing values become infinite, which a sum keeps and Arrow carries
-        usable = values.to_numpy(float)
-        usable = np.where(np.isfinite(usable), usable, np.inf)
+    def slice_sums(values) -> np.ndarray:
+        if not len(ends):
+            return np.zeros((0, 3))
         # one padding zero lets a slice end at the last pixel
-        padded = np.append(usable, 0.0)
+        padded = np.append(np.asarray(values)[order], 0.0)
         return np.where(count > 0, np.add.reduceat(padded, ends)[::2].reshape(count.shape), 0.0)
 
-    out = {c: trials[c].to_numpy()[row] for c in CANDIDATE_KEY}
-    out["line_index"] = line.astype("int32")
-    flux, ivar = slice_sums(pixels["flux"]), slice_sums(pixels["ivar"])
-    for name, table in (("n", count), ("f", flux), ("v", ivar)):
+    out = {"SPECID": np.full(len(which), row.SPECID),
+           "peak_pix": np.asarray(row.peak_pix)[which],
+           "try_order": np.asarray(row.try_order)[which], "line_index": line.astype("int32")}
+    for name, table in (("n", count), ("f", slice_sums(row.flux)), ("v", slice_sums(row.ivar))):
         out.update({f"{name}{i}": table[:, i] for i in range(3)})
-    return pd.DataFrame(out)
+    return out
 
 
 def _metrics(sums: DataFrame) -> DataFrame:
