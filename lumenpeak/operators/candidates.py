@@ -106,9 +106,11 @@ def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] =
         .groupBy("SPECID", "block", "batch")
         .agg(*[F.collect_list(c).alias(c) for c in ("peak_pix", "try_order", "Z_TRY")]))
 
+    of_pair = _pair_summer(rest_lo, rest_hi)
+
     def sums(frames):
         for frame in frames:
-            found = [_interval_sums(row, rest_lo, rest_hi) for row in frame.itertuples()]
+            found = [of_pair(row) for row in frame.itertuples()]
             if found:
                 yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
 
@@ -123,31 +125,40 @@ def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] =
         for c in "fv" for i in range(3)})
 
 
-def _interval_sums(row, rest_lo: np.ndarray, rest_hi: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts and sums of one pair, for each (candidate, line) with a pixel in an interval."""
-    order = np.argsort(row.wave, kind="stable")
-    wave = np.asarray(row.wave)[order]
-    shift = 1.0 + np.asarray(row.Z_TRY)
-    first = np.searchsorted(wave, shift[:, None, None] * rest_lo, "left")
-    last = np.searchsorted(wave, shift[:, None, None] * rest_hi, "right")
-    count = np.maximum(last - first, 0)
-    which, line = np.nonzero(count.any(axis=2))
-    first, last, count = first[which, line], last[which, line], count[which, line]
-    ends = np.stack([first, np.maximum(first, last)], axis=-1).ravel()
-
-    def slice_sums(values) -> np.ndarray:
-        if not len(ends):
-            return np.zeros((0, 3))
-        # one padding zero lets a slice end at the last pixel
-        padded = np.append(np.asarray(values)[order], 0.0)
-        return np.where(count > 0, np.add.reduceat(padded, ends)[::2].reshape(count.shape), 0.0)
-
-    out = {"SPECID": np.full(len(which), row.SPECID),
-           "peak_pix": np.asarray(row.peak_pix)[which],
-           "try_order": np.asarray(row.try_order)[which], "line_index": line.astype("int32")}
-    for name, table in (("n", count), ("f", slice_sums(row.flux)), ("v", slice_sums(row.ivar))):
-        out.update({f"{name}{i}": table[:, i] for i in range(3)})
-    return out
+def _pair_summer(rest_lo: np.ndarray, rest_hi: np.ndarray):
+    """Counts and sums of one pair, for each (candidate, line) with a pixel in an interval.
+
+    The result is a closure, which travels to the tasks whole: executors need not
+    have this package.
+    """
+
+    def of_pair(row) -> dict[str, np.ndarray]:
+        order = np.argsort(row.wave, kind="stable")
+        wave = np.asarray(row.wave)[order]
+        shift = 1.0 + np.asarray(row.Z_TRY)
+        first = np.searchsorted(wave, shift[:, None, None] * rest_lo, "left")
+        last = np.searchsorted(wave, shift[:, None, None] * rest_hi, "right")
+        count = np.maximum(last - first, 0)
+        which, line = np.nonzero(count.any(axis=2))
+        first, last, count = first[which, line], last[which, line], count[which, line]
+        ends = np.stack([first, np.maximum(first, last)], axis=-1).ravel()
+
+        def slice_sums(values) -> np.ndarray:
+            if not len(ends):
+                return np.zeros((0, 3))
+            # one padding zero lets a slice end at the last pixel
+            padded = np.append(np.asarray(values)[order], 0.0)
+            return np.where(count > 0, np.add.reduceat(padded, ends)[::2].reshape(count.shape), 0.0)
+
+        out = {"SPECID": np.full(len(which), row.SPECID),
+               "peak_pix": np.asarray(row.peak_pix)[which],
+               "try_order": np.asarray(row.try_order)[which], "line_index": line.astype("int32")}
+        sums = (("n", count), ("f", slice_sums(row.flux)), ("v", slice_sums(row.ivar)))
+        for name, table in sums:
+            out.update({f"{name}{i}": table[:, i] for i in range(3)})
+        return out
+
+    return of_pair
 
 
 def _metrics(sums: DataFrame) -> DataFrame:
