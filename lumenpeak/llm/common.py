@@ -38,6 +38,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
+def text_key(text: str = "text") -> Column:
+    """Digest that stands for a text where its rows must be found again."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -16,17 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
-from lumenpeak.llm.common import measured, terms
+from lumenpeak.llm.common import measured, terms, text_key
 
 WINDOW = 13
 END = "$"  # no word: stands behind the last word of a row
 NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of no bytes
 
 
-def text_key(text: str = "text"):
-    return F.md5(F.coalesce(F.col(text), F.lit("")))
-
-
 def windows_of(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(window, terms) of all different windows, and (window, item) of their items.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenpeak.llm import decontam, mixing, quality, sharding
+from lumenpeak.llm import chat, decontam, licenses, mixing, quality, sharding, simhash, warc
 from lumenpeak.llm.common import TERM, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,48 @@ SELECT *, NOT (base_failed OR n_symbols > n_words OR 2 * n_dup_lines > n_lines O
   base_failed, kept, failure_bits FROM ({quality_sql()})""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judged(table(spark, sf, "documents"))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.classes(table(spark, sf, "documents"))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf, "documents")).drop("spans")
+
+
+@query("op7_chat_formatting")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    same = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).selectExpr(
+        "-1L AS conv_id", "id AS turn", "CASE id WHEN 0 THEN 'user' ELSE 'assistant' END AS role",
+        f"'{same}' AS text")
+    return chat.digests(chat.formatted(said.union(probe)))
+
+
+ARCHIVES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') h, strlen(coalesce(html, ''))::BIGINT n FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY h) m FROM p)
+SELECT page_id, n payload_bytes, sha1(h) payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END record_type,
+  CASE WHEN n >= 1000 AND page_id <> m THEN m END refers_to FROM k"""
+
+
+@query("op9_warc", ARCHIVES_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages")).drop("archive", "payload")
+
+
+SAID_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(replace(t, chr(92), chr(92) || chr(92)), '[', '[' || chr(92)), '<', '<' || chr(92)))
+  + length(replace(replace(replace(r, chr(92), chr(92) || chr(92)), '[', '[' || chr(92)), '<', '<' || chr(92))) + 19 n FROM c)
+SELECT conv_id, count(*)::BIGINT n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256,
+  coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256,
+  (sum(n) + 3)::BIGINT formatted_chars FROM e GROUP BY conv_id"""
+ORACLES["op7_chat_formatting"] = SAID_SQL
