@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenpeak.llm import chat, decontam, licenses, mixing, quality, sharding, simhash, warc
+from lumenpeak.llm import (
+    chat, decontam, licenses, mainhtml, mixing, quality, sharding, simhash, toxicity, warc)
 from lumenpeak.llm.common import TERM, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +150,14 @@ SELECT conv_id, count(*)::BIGINT n_turns, sha256(string_agg(r || chr(10) || t ||
   sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256,
   (sum(n) + 3)::BIGINT formatted_chars FROM e GROUP BY conv_id"""
 ORACLES["op7_chat_formatting"] = SAID_SQL
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("spans")
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return mainhtml.extracted(pages, mainhtml.fit(mainhtml.sample(pages))).drop("blocks")
