@@ -28,7 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no pac
 
 # Pages of the table that are used to fit, in the order of a hash of their ids, and
 # the longest page among them.
-SAMPLE_PAGES, SAMPLE_CHARS, EPOCHS, RATE, RIDGE = 60, 50_000, 8, 0.3, 0.002
+SAMPLE_PAGES, SAMPLE_CHARS, EPOCHS, RATE, RIDGE = 60, 50_000, 15, 0.3, 0.001
 SCHEMA = "page_id {kind}, url string, text string, n_chars bigint, blocks int"
 
 # Fixed values of HTML: elements without content, elements whose content is no text of
@@ -148,7 +148,7 @@ class Page:
             links[self.parent[i]] += links[i]
         out = []
         for tag, attrs, n, linked in zip(self.tag, self.attrs, text, links):
-            f = ["t:" + tag, f"n:{min(n.bit_length() // 2, 5)}", f"l:{4 * linked // n if n else 4}"]
+            f = ["t:" + tag, f"n:{(n > 0) + (n > 40)}", f"l:{4 * linked // n if n else 4}"]
             if attrs:
                 f += {"c:" + w.lower() for m in NAMES.finditer(attrs) for part in PART.findall(m[1] or m[2] or m[3] or "")
                       for w in CAMEL.split(part)}
@@ -221,6 +221,9 @@ ASIDE_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "comment", "com
                "breadcrumbs", "modal", "widget", "replies", "disqus", "toolbar", "copyright", "pagination"}
 
 
+CONTENT_WORDS = ("content", "post", "entry", "story", "text", "article", "body", "page-content", "main", "prose")
+
+
 def label(page: Page) -> list[int] | None:
     """1 for nodes of the article and those above it, by the page's own <article> or
     <main> (or role); None if it has none."""
@@ -249,12 +252,15 @@ def seeds() -> list[str]:
     for i, w in enumerate(words):
         v, u = words[(i + 7) % len(words)], words[(i + 19) % len(words)]
         tag = ("div", "section", "aside")[i % 3]
-        for k, main in enumerate(("article", "main", "div role='main'", "div id='main' class='content'",
-                                  "div class='post entry'", "div class='article body story'")):
+        for k, main in enumerate(("article", "main", "div role='main'", "div id='main'", "article class='post'",
+                                  f"div class='{CONTENT_WORDS[i % len(CONTENT_WORDS)]}'",
+                                  f"div class='{CONTENT_WORDS[(i + 3) % len(CONTENT_WORDS)]}'",
+                                  f"section class='{CONTENT_WORDS[(i + 6) % len(CONTENT_WORDS)]}'")):
             size = (0, 1, 4, 12)[(i + k) % 4]
             other = (4, 0, 1, 12)[(i + 2 * k) % 4]
             text = "<p>" + "The article goes on with a whole sentence, and then another one. " * size + "Yes.</p>"
             noise = link if i % 2 else "<p>" + "Words that belong to the page, not to the text. " * other + "No.</p>"
+            noise = ("<h3>Readers say</h3>", "", "<h4>More</h4>", "<h2>Also</h2>")[(i + k) % 4] + noise
             name = main.split()[0]
             full = (f"<h2>A part</h2>{text}<ul><li>A point that is made</li></ul><blockquote>{text}</blockquote>",
                     f"<section><h3>Part</h3><div>{text}{text}</div></section><ol><li><b>One</b> <i>point</i></li></ol>",
@@ -264,7 +270,7 @@ def seeds() -> list[str]:
                     f"<div><div>{text}</div></div><p>With <a href='/c'>a link</a>, <em>stress</em>, <strong>more</strong>, "
                     "<span>and</span> <code>code</code>.</p><h4>Last</h4><hr>")[(i + k) % 4]
             inner = f"<{tag} class='{w}'>{noise}</{tag}>"
-            article = f"<{main}><h1>A title</h1>{text}{full + inner + text if size > 1 or k % 2 else ''}</{name}>"
+            article = f"<{main} data-main><h1>A title</h1>{text}{full + inner + text if size > 1 or k % 2 else ''}</{name}>"
             around = (f"<header><h1>Site</h1><nav>{link}</nav></header><{tag} id='{v}'>{noise}</{tag}>",
                       f"<div class='{u}'>{noise}</div><form><p>Your name</p></form><aside>{noise}</aside>"
                       "<footer><p>All rights reserved, and more.</p></footer>")
@@ -272,7 +278,7 @@ def seeds() -> list[str]:
             if (i + k) % 3 == 0:
                 body = f"<div class='wrapper page container'>{body}</div>"
             out.append(f"<html><body>{body}</body></html>")
-    out += [f"<html><body><div class='wrapper'><div class='header'>Site</div><div class='{c}'>"
+    out += [f"<html><body><div class='wrapper'><div class='header'>Site</div><div class='{c}' data-main>"
             f"{'<p>A sentence of the text that fills the page.</p>' * n}</div><div class='footer'>Bye</div></div></body></html>"
             for n, c in zip((1, 2, 3, 4) * 3, ("body content", "content", "text content", "article-content") * 3)]
     out += [f"<html><body><h1>A title</h1>{'<p>A sentence of the text that fills the page.</p>' * n}"
@@ -282,8 +288,7 @@ def seeds() -> list[str]:
 
 def _seed_labels(page: Page) -> list[int]:
     """As ``label``, where a plain container or the body of the seeds counts as the article."""
-    marks = [i for i, a in enumerate(page.attrs) if any(x in a for x in ("content", "post entry", "role='main'", "story"))]
-    marks = marks or [i for i, t in enumerate(page.tag) if t in ("article", "main")] or [page.tag.index("body")]
+    marks = [i for i, a in enumerate(page.attrs) if "data-main" in a] or [page.tag.index("body")]
     tag, page.tag[marks[0]] = page.tag[marks[0]], "main"
     found = label(page)
     page.tag[marks[0]] = tag

@@ -64,7 +64,8 @@ def targets(drawn: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     cap = F.lit(float(epochs)) * F.col("source_size")
     level = (F.col("total") - F.col("full")) / F.col("rest")
     per = per.withColumn("clamped", cap <= level * F.col("w"))
-    first = F.min(F.when(~F.col("clamped"), level)).over(everything)
+    # levels fall beyond the first source that is not clamped, so its level is the largest
+    first = F.max(F.when(~F.col("clamped"), level)).over(everything)
     return per.select("source", "source_size",
                       F.when(F.col("clamped"), cap).otherwise(first * F.col("w")).alias("target"))
 

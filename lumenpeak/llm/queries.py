@@ -61,7 +61,7 @@ l AS (SELECT *, ({mixing.SHARE}::DOUBLE * (sum(sz) OVER ()) - 2e0 * coalesce(sum
     ORDER BY sz / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / (sum(w) OVER (ORDER BY sz / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE lv FROM w),
 t AS (SELECT source, sz, CASE WHEN 2e0 * sz <= lv * w THEN 2e0 * sz
-  ELSE w * min(CASE WHEN 2e0 * sz > lv * w THEN lv END) OVER () END target FROM l),
+  ELSE w * max(CASE WHEN 2e0 * sz > lv * w THEN lv END) OVER () END target FROM l),
 e AS (SELECT *, CASE WHEN sz > 0 THEN floor(target / sz) ELSE 0 END whole FROM t),
 c AS (SELECT d.*, sz, target, whole, target - whole * sz extra,
   sum(size) OVER (PARTITION BY d.source ORDER BY k) upto, sum(size) OVER (PARTITION BY d.source, k) same
