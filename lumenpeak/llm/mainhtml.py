@@ -24,6 +24,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenpeak.functions.shared import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no package
 
 # Pages of the table that are used to fit, in the order of a hash of their ids, and
@@ -326,9 +328,11 @@ def extract(source: str | None, model: Model) -> list[str]:
 
 
 def sample(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    rows = pages.where((F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]")).select(
-        "page_id", "html")
-    return [r.html for r in rows.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(most).collect()]
+    """The pages to fit on: their ids are picked first, so tasks send ids only."""
+    fit_for = pages.where((F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
+    ids = written(fit_for.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most), "page-sample")
+    rows = fit_for.join(F.broadcast(ids.where("page_id IS NOT NULL").distinct()), "page_id").select("page_id", "html")
+    return [r.html for r in rows.orderBy("page_id", "html").limit(most).collect()]
 
 
 def extracted(pages: DataFrame, model: Model) -> DataFrame:
