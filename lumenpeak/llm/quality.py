@@ -22,7 +22,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES = {
     "few_words": "n_words < 10",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "n_symbols > n_words",
+    "symbols": "4 * n_symbols > n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 30 * n_words",

@@ -94,9 +94,9 @@ m AS (SELECT w.*, len(ws)::BIGINT n_words, coalesce(list_sum([len(x) FOR x IN ws
   (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(r, 0)::BIGINT n_repeat_words, len(ls) n_lines
   FROM w LEFT JOIN rw USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM m)
-SELECT *, NOT (base_failed OR n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words
+SELECT *, NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words
   OR word_chars > 30 * n_words) kept,
-  ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > n_words)::INT
+  ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (4 * n_symbols > n_words)::INT
    + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT
    + 32 * (word_chars > 30 * n_words)::INT)::BIGINT failure_bits FROM b"""
 
