@@ -185,12 +185,14 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) ->
     """One document of each class: that with the smallest doc_id (then the smallest
     text digest); of rows equal in id and text one stays."""
     rows = fingerprints(docs, size)
-    ranked = rows.join(_classed(rows, radius), "fp").groupBy("root", "doc_id", "key").agg(
-        F.count("*").alias("n"))
-    first = ranked.groupBy("root").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("stays"))
-    judged = ranked.join(first, "root").withColumn(
-        "goes", ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("key") == F.col("stays.key"))))
+    # rows with their class's smallest id are few in any class; all others go
+    ranked = written(rows.join(_classed(rows, radius), "fp").groupBy(
+        "root", "component_id", "doc_id", "key").agg(F.count("*").alias("n")).withColumn(
+        "first", F.col("doc_id").eqNullSafe(F.col("component_id"))), "ranked")
+    firsts = ranked.where("first")
+    kept = firsts.groupBy("root").agg(F.min("key").alias("stays"))
+    judged = firsts.join(kept, "root").select("doc_id", "key", "n", (F.col("key") != F.col("stays")).alias("goes")).union(
+        ranked.where("NOT first").select("doc_id", "key", "n", F.lit(True)))
     judged = written(judged.where("goes OR n > 1").select(
         F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "goes"), "judged")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key"))
