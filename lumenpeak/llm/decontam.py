@@ -71,7 +71,7 @@ def _ranked(index: DataFrame, windows: DataFrame) -> DataFrame:
 
     Windows with a term that the corpus lacks are gone: they cannot occur.
     """
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    _, counts = measured(index.groupBy("term").agg(F.count("*").alias("n")), "counts")
     spread = windows.select("window", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
     return spread.join(counts, "term").groupBy("window", "len").agg(
         F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("ranked")).where(
