@@ -15,17 +15,6 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in floats})
 
 
-def null_to_nan(df: DataFrame) -> DataFrame:
-    """NULL -> NaN in every float column, for sinks that want NaN."""
-    floats = [n for n, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({n: F.coalesce(F.col(n), F.lit(float("nan"))) for n in floats})
-
-
-def finite(c: Column) -> Column:
-    """Neither NULL, NaN nor infinite."""
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-
-
 def ratio(numerator: Column, denominator: Column) -> Column:
     """numerator / denominator as DOUBLE, NULL where the denominator is zero."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
@@ -59,7 +48,7 @@ FEW_CUTS = 16
 
 
 def cut_index(value: Column, cuts: Sequence[float], passes: str) -> Column:
-    """Index of the first cut the value passes; len(cuts) if none, or if NULL.
+    """Index of the first cut the value passes; len(cuts) if none, or if NULL or NaN.
 
     ``cuts`` are ordered from hardest to easiest, so a row that passes cut ``i``
     passes every later one, and counts per cut are running sums over the index.
@@ -68,6 +57,7 @@ def cut_index(value: Column, cuts: Sequence[float], passes: str) -> Column:
     so it is exact without trying every cut.
     """
     n = len(cuts)
+    value = F.when(~F.isnan(value), value)  # a NaN passes no cut, whatever their number
     compare = {
         ">=": lambda v, c: v >= c,
         ">": lambda v, c: v > c,
@@ -97,10 +87,3 @@ def cut_index(value: Column, cuts: Sequence[float], passes: str) -> Column:
 def with_cut_index(df: DataFrame, out: str, value: str, cuts: Sequence[float],
                    passes: str) -> DataFrame:
     return df.withColumn(out, cut_index(F.col(value), list(cuts), passes))
-
-
-def indexed_cuts(df_with_index: DataFrame, index: str, cuts: Sequence[float],
-                 name: str) -> DataFrame:
-    """Attach the cut value to its index."""
-    return df_with_index.withColumn(
-        name, F.element_at(literal_array(cuts), F.col(index) + 1))

@@ -62,10 +62,6 @@ EBOSS_TARGET0_BITS = (10, 11, 12, 13, 14, 15, 16, 17, 18, 20, 22, 30, 31, 33,
 TRAY_FILTERS = (0, 3, 5, 7, 9, 11, 14, 16, 18, 19, 20, 21, 22, 23, 24, 25, 26,
                 27, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38)
 
-# Columns of the truth catalogue read by default.
-CATALOGUE_COLUMNS = ("ra", "dec", "thing_id", "plate", "mjd", "fiberid", "z_vi",
-                     "class_person", "z_conf_person", "boss_target1",
-                     "ancillary_target1", "ancillary_target2", "eboss_target0")
 
 
 def stepped(start: float, stop: float, step: float) -> list[float]:

@@ -114,10 +114,11 @@ def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] =
             if found:
                 yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
 
+    kind = dict(packed.dtypes)["SPECID"]  # ids may be text
     columns = ", ".join([f"n{i} BIGINT" for i in range(3)]
                         + [f"{c}{i} DOUBLE" for c in "fv" for i in range(3)])
     partial = packed.join(batches, ["SPECID", "block"]).mapInPandas(
-        sums, f"SPECID BIGINT, peak_pix BIGINT, try_order INT, line_index INT, {columns}")
+        sums, f"SPECID {kind}, peak_pix BIGINT, try_order INT, line_index INT, {columns}")
     total = partial.groupBy(*CANDIDATE_KEY, "line_index").agg(
         *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nfv" for i in range(3)])
     return total.withColumns({

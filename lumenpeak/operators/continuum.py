@@ -338,6 +338,12 @@ def find_broken_power_law_peaks(pixels: DataFrame,
                                 min_significance: float = POWER_LAW_MIN_SIGNIFICANCE,
                                 breaks: Sequence[float] = BREAK_GRID,
                                 chunk: int = CHUNK) -> DataFrame:
+    """Peaks above the broken power law; where no break of the grid has pixels on both
+    sides, above the plain one, so that no spectrum is left out."""
     fits = fit_broken_power_law(pixels, min_significance, breaks)
-    peaks = compress_runs(broken_power_law_pixels(pixels, fits, min_significance), chunk)
-    return with_wave(peaks, pixels)
+    above = broken_power_law_pixels(pixels, fits, min_significance)
+    bare = pixels.join(fits.select("SPECID"), "SPECID", "left_anti")
+    if not bare.isEmpty():
+        plain = power_law_pixels(bare, fit_power_law(bare, min_significance), min_significance)
+        above = above.unionByName(plain.select(above.columns))
+    return with_wave(compress_runs(above, chunk), pixels)

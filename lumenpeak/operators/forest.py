@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenpeak.functions.shared import written
 from lumenpeak.functions.constants import (CLASS_LABELS, LINES, MAX_DEPTH, MISSING_FEATURE,
                                            NUM_TREES, RANDOM_STATE, SPLIT_REDSHIFT,
                                            WRONG_REDSHIFT_CLASS)
@@ -212,9 +213,10 @@ def classify(df: DataFrame, forests: dict[str, Forest],
     """Probabilities, CLASS_PREDICTED, PROB and DUPLICATED."""
     scored = class_probabilities(df, forests)
     first = forests.get("high") or forests.get("all") or next(iter(forests.values()))
-    return with_duplicates(
-        scored.withColumn("CLASS_PREDICTED", predicted_class(first.labels))
-        .withColumn("PROB", quasar_probability(scored.columns)), tie).drop("branch")
+    # written first: the flag reads the scores twice, the forests run once
+    scored = written(scored.withColumn("CLASS_PREDICTED", predicted_class(first.labels))
+                     .withColumn("PROB", quasar_probability(scored.columns)), "scored")
+    return with_duplicates(scored, tie).drop("branch")
 
 
 # --- node tables ------------------------------------------------------------

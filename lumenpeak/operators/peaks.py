@@ -41,7 +41,8 @@ def _gathered(pieces: DataFrame, taps: list[float]) -> DataFrame:
     """
     half = len(taps) // 2
     frame = chunk_window().rowsBetween(-half, half)
-    known = F.coalesce("flux", F.lit(float("nan")))
+    # flux that is not finite is missing, as in the convolution of long kernels
+    known = F.coalesce(F.when(F.abs("flux") < F.lit(float("inf")), F.col("flux")), F.lit(float("nan")))
     pieces = pieces.withColumns({"__near": F.collect_list(known).over(frame),
                                  "__first": F.first("pix").over(frame)})
     # at an edge the frame is shorter: __skip leading neighbours are off the edge

@@ -19,8 +19,10 @@ def order_statistics(df: DataFrame, key: str, value: str,
                      ranks: dict[object, list[int]]) -> dict[tuple[object, int], float]:
     """{(key, rank): value} for 0-based ranks; keys and ranks are few and given.
 
-    Only the brackets (one small row per wanted rank) visit the driver.
+    Only the brackets (one small row per wanted rank) visit the driver.  Values that
+    are not finite are left out.
     """
+    df = df.where(F.abs(value) < F.lit(float("inf")))
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
     schema = f"`{key}` {kind}, want INT, lo DOUBLE, hi DOUBLE, rank BIGINT"
@@ -38,8 +40,9 @@ def order_statistics(df: DataFrame, key: str, value: str,
             break
         brackets = spark.createDataFrame(open_, schema)
         x = F.col(value)
-        slot = F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS),
-                       F.lit(SLOTS - 1))
+        # halved, so that the width of a bracket stays finite
+        share = F.try_divide(x / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        slot = F.least(F.floor(share * SLOTS), F.lit(SLOTS - 1))
         inside = df.select(key, value).join(F.broadcast(brackets), key).where(
             (x >= F.col("lo")) & (x <= F.col("hi"))).withColumn("slot", slot)
         slots = inside.groupBy(key, "want", "rank", "slot").agg(
@@ -48,17 +51,21 @@ def order_statistics(df: DataFrame, key: str, value: str,
         holder = slots.withColumn("upto", F.sum("n").over(
             w.rowsBetween(Window.unboundedPreceding, 0))).where(
             (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
+        before = {(b[0], b[1]): b[2:4] for b in open_}
         open_ = [(r[key], r["want"], r["lo"], r["hi"], r["rank"] - (r["upto"] - r["n"]))
                  for r in holder.collect()]
+        # neighbouring floats that no slot tells apart end the search
+        open_ = [b if b[2:4] != before[b[:2]] else (*b[:3], b[2], b[4]) for b in open_]
     return found
 
 
 def medians(df: DataFrame, key: str, value: str) -> dict[object, float]:
     """Exact median per key (mean of the middle two); for few keys of any size."""
-    sized = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).collect()
+    known = df.where(F.abs(value) < F.lit(float("inf")))
+    sized = known.groupBy(key).agg(F.count("*").alias("n")).collect()
     ranks = {r[key]: sorted({(r["n"] - 1) // 2, r["n"] // 2}) for r in sized}
     if not ranks:
         return {}
-    values = order_statistics(df.where(F.col(value).isNotNull()), key, value, ranks)
+    values = order_statistics(known, key, value, ranks)
     return {k: math.fsum(values[(k, i)] for i in wanted) / len(wanted)
             for k, wanted in ranks.items()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenpeak.functions.columns import literal_array, ratio
 from lumenpeak.functions.constants import (GALAXY, LIGHT_SPEED, LINES, QUASAR, SPLIT_REDSHIFT,
                                            STAR, VELOCITY_EDGES)
+from lumenpeak.functions.shared import written
 from lumenpeak.operators.quantiles import medians
 
 
@@ -27,7 +28,7 @@ def _edge(bins: Sequence[float], index: str, shift: int = 0) -> Column:
 
 def velocity(df: DataFrame) -> DataFrame:
     """Redshift error as a velocity in km/s."""
-    return df.withColumn("DELTA_V", F.col("DELTA_Z") / (1 + F.col("Z_TRUE")) * LIGHT_SPEED)
+    return df.withColumn("DELTA_V", F.try_divide("DELTA_Z", 1 + F.col("Z_TRUE")) * LIGHT_SPEED)
 
 
 def correct_in_bins(df: DataFrame, bins: Sequence[float], magnitude: str = "R_MAG") -> DataFrame:
@@ -38,8 +39,9 @@ def correct_in_bins(df: DataFrame, bins: Sequence[float], magnitude: str = "R_MA
 def redshift_precision(df: DataFrame, bins: Sequence[float],
                        magnitude: str = "R_MAG") -> DataFrame:
     """Mean, sample deviation, 100 * NMAD and number of correct rows per magnitude bin."""
-    rows = correct_in_bins(df, bins, magnitude).select(
-        "mag_bin", "DELTA_V", F.abs("DELTA_V").alias("speed"))
+    # written once: the medians pass over these rows several times
+    rows = written(correct_in_bins(df, bins, magnitude).select(
+        "mag_bin", "DELTA_V", F.abs("DELTA_V").alias("speed")), "precision")
     middle = medians(rows, "mag_bin", "speed")
     stats = rows.groupBy("mag_bin").agg(
         F.avg("DELTA_V").alias("mean_dv"), F.stddev_samp("DELTA_V").alias("sigma_dv"),

@@ -35,11 +35,32 @@ def model_features(params: JobParams) -> list[str]:
                              params.extra_features)
 
 
+ARRAYS = ("wave", "flux", "ivar", "start", "source")
+
+
+def keyed_spectra(spectra: DataFrame) -> DataFrame:
+    """Spectra with a key of their own in SPECID; the object's id moves to ``__object``.
+
+    An object may have been observed several times.  Its spectra differ in their
+    metadata; rows equal in all metadata are pieces of one spectrum.
+    """
+    named = [c for c in spectra.columns if c not in ARRAYS]
+    return spectra.withColumn("__object", F.col("SPECID")).withColumn(
+        "SPECID", F.xxhash64(F.to_json(F.struct(*named))))
+
+
+def named_again(df: DataFrame) -> DataFrame:
+    """Undo ``keyed_spectra``; the key stays as the last column, SPECTRUM."""
+    rest = [c for c in df.columns if c not in ("SPECID", "__object")]
+    return df.select(F.col("__object").alias("SPECID"), *rest, F.col("SPECID").alias("SPECTRUM"))
+
+
 def find_candidates(spectra: DataFrame, params: JobParams) -> DataFrame:
     """Candidate table of array-form spectra.
 
-    Columns other than the arrays are metadata.  Unusable spectra are left out
-    (``split_valid`` gives them).  Truth columns are added where they are
+    Columns other than the arrays are metadata.  Every spectrum is treated by itself,
+    also where several share a SPECID; SPECTRUM tells them apart.  Unusable spectra are
+    left out here; ``run`` writes them to ``unusable_spectra``.  Truth columns are added where they are
     required, and in candidates mode if Z_TRUE is there.
     """
     if params.mode == "merge":
@@ -47,6 +68,7 @@ def find_candidates(spectra: DataFrame, params: JobParams) -> DataFrame:
     if params.truth_needed:
         C.require_truth(spectra)
     valid, _ = C.split_valid(spectra)
+    valid = keyed_spectra(valid)
     metadata = valid.drop("wave", "flux", "ivar", "start", "source").dropDuplicates(["SPECID"])
     pixels = P.to_pixels(valid)
     # peaks feed the candidates, the metrics and the no-peak rows
@@ -60,7 +82,7 @@ def find_candidates(spectra: DataFrame, params: JobParams) -> DataFrame:
     table = C.attach_metadata(C.with_unpeaked(table, metadata, peaks), metadata)
     if params.truth_needed or (params.mode == "candidates" and "Z_TRUE" in table.columns):
         table = C.with_truth(table, params.z_precision, params.lines)
-    return table
+    return named_again(table)
 
 
 def train_model(table: DataFrame, params: JobParams) -> Model:
@@ -95,7 +117,8 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 
 def classify(table: DataFrame, model: Model) -> DataFrame:
-    return E.classify(table, model.forests)
+    tie = ("branch", "peak_pix", "try_order", *[c for c in ("SPECTRUM",) if c in table.columns])
+    return E.classify(table, model.forests, tie)
 
 
 def merge_candidates(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -119,7 +142,7 @@ def format_spectra(catalogue: DataFrame, files: DataFrame, sky: DataFrame,
         catalogue = catalogue.where(F.col("PLATE") == single_plate)
     if confident_only:
         catalogue = P.keep_confident(catalogue)
-    spectra = P.catalogue_spectra(catalogue, files)
+    spectra = keyed_spectra(P.catalogue_spectra(catalogue, files))
     arrays = ("wave", "flux", "ivar")
     metadata = spectra.select(*[c for c in spectra.columns if c not in (*arrays, "start")])
     pixels = P.mask_sky(P.to_pixels(spectra), sky, margin)
@@ -133,7 +156,7 @@ def format_spectra(catalogue: DataFrame, files: DataFrame, sky: DataFrame,
     if rebin_width > 0 or tray:
         pixels = X.numbered_pixels(pixels.select("SPECID", *arrays))
     packed = writers.to_spectra(pixels.select("SPECID", "pix", *arrays))
-    return packed.join(metadata.dropDuplicates(["SPECID"]), "SPECID")
+    return named_again(packed.join(metadata.dropDuplicates(["SPECID"]), "SPECID")).drop("SPECTRUM")
 
 
 @dataclass
@@ -144,6 +167,7 @@ class Result:
     model: Model | None = None
     catalogue: DataFrame | None = None
     report: DataFrame | None = None
+    unusable: DataFrame | None = None
 
 
 def run(params: JobParams, output: str, spectra: DataFrame | None = None,
@@ -169,16 +193,19 @@ def run(params: JobParams, output: str, spectra: DataFrame | None = None,
         return session.read.schema(df.schema).parquet(f"{output}/{name}")
 
     table = saved(merged, "candidates")
+    unusable = None
+    if spectra is not None and params.mode != "merge":
+        unusable = saved(C.split_valid(spectra)[1], "unusable_spectra")
     if params.mode in ("merge", "candidates"):
-        return Result(candidates=table)
+        return Result(candidates=table, unusable=unusable)
     if "training" in params.mode:
         trained = train_model(table, params)
         save_model(trained, f"{output}/model")
-        return Result(candidates=table, model=trained)
+        return Result(candidates=table, model=trained, unusable=unusable)
     if model is None:
         raise ValueError(f"mode {params.mode} needs a trained model")
     scored = saved(classify(table, model), "classified")
-    result = Result(candidates=scored, model=model)
+    result = Result(candidates=scored, model=model, unusable=unusable)
     if params.save_catalogue:
         result.catalogue = saved(writers.catalogue(scored, params.prob_cut), "catalogue")
     if params.mode == "test" and params.run_stats and truth is not None:
