@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml.classification import (RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
@@ -18,9 +18,10 @@ from lumenpeak.functions.constants import (CLASS_LABELS, LINES, MAX_DEPTH, MISSI
                                            WRONG_REDSHIFT_CLASS)
 from lumenpeak.operators.candidates import pixel_metric_columns
 
-# A forest whose node table is larger than this is walked by joins instead of
-# being sent to every executor.
+# Trees travel to the executors in groups of at most this many bytes of nodes, and a
+# single tree may not be larger than the second bound.
 BROADCAST_MODEL_BYTES = 64 << 20
+TREE_BYTES = 512 << 20
 
 
 # --- features and labels ----------------------------------------------------
@@ -243,6 +244,23 @@ def read_nodes(spark: SparkSession, path: str, forest: str) -> DataFrame:
         F.transform(stats, lambda v: F.try_divide(v, whole)).alias("proba"))
 
 
+def node_importances(spark: SparkSession, path: str) -> DataFrame:
+    """(feature, importance) of a forest saved with its own writer, features by position.
+
+    Gain times weight of the nodes that split on a feature, as shares of each tree,
+    averaged over the trees.  Features that no node splits on have no row.
+    """
+    weight = F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, b: a + b)
+    split = spark.read.parquet(f"{path}/data").where("nodeData.leftChild >= 0").groupBy(
+        F.col("treeID").alias("tree"), F.col("nodeData.split.featureIndex").alias("feature")).agg(
+        F.sum(F.col("nodeData.gain") * weight).alias("gain"))
+    shares = split.withColumn("share", F.try_divide(
+        F.col("gain"), F.sum("gain").over(Window.partitionBy("tree"))))
+    total = shares.groupBy("feature").agg(F.sum("share").alias("share"))
+    return total.select("feature", F.try_divide(
+        F.col("share"), F.sum("share").over(Window.partitionBy())).alias("importance"))
+
+
 def score_nodes(rows: DataFrame, nodes: DataFrame, num_classes: int,
                 keys: Sequence[str] = ("SPECID", "peak_pix", "try_order"),
                 features: str = "features", max_depth: int = MAX_DEPTH,
@@ -250,23 +268,30 @@ def score_nodes(rows: DataFrame, nodes: DataFrame, num_classes: int,
     """Mean leaf probabilities over the trees of one forest.
 
     ``rows``: keys and an ARRAY<DOUBLE> of features; goes left where x <= threshold.
-    A model of checked size travels to the executors as one row per tree and is
-    walked by column expressions; a larger one is walked by equi joins on
-    (tree, node).  Either way a row meets its own trees only and the per-tree
-    probabilities are averaged where they are made, before the shuffle.
+    Trees travel to the executors, in groups whose size is checked first, and are
+    walked by column expressions.  A row stays in its task until all trees of a group
+    are walked; leaves are added up there, before the one shuffle by key.
     """
-    size = nodes.agg(F.count("*").alias("n"), F.max("tree").alias("t")).first()
-    trees = F.array(*[F.lit(t) for t in range(int(size["t"]) + 1)])
-    spread = rows.select(*keys, features, F.explode(trees).alias("tree"))
-    walk = (_walk_broadcast if size["n"] * (64 + 8 * num_classes) <= broadcast_bytes
-            else _walk_joins)
-    leaves = walk(spread, nodes, features, max_depth)
+    sizes = nodes.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").collect()
+    groups, room = [], 0
+    for tree, n in sizes:
+        size = n * (64 + 8 * num_classes)
+        if size > TREE_BYTES:
+            raise ValueError(f"tree {tree} takes {size} bytes, more than {TREE_BYTES}")
+        if not groups or size > room:
+            groups.append([])
+            room = broadcast_bytes
+        groups[-1].append(tree)
+        room -= size
+    leaves = reduce(DataFrame.unionByName, [
+        _walk(rows.select(*keys, features, F.explode(F.lit(group)).alias("tree")),
+              nodes.where(F.col("tree").isin(group)), features, max_depth).select(*keys, "leaf")
+        for group in groups])
     return leaves.groupBy(*keys).agg(
         *[F.avg(F.col("leaf")[i]).alias(f"p{i}") for i in range(num_classes)])
 
 
-def _walk_broadcast(spread: DataFrame, nodes: DataFrame, features: str,
-                    max_depth: int) -> DataFrame:
+def _walk(spread: DataFrame, nodes: DataFrame, features: str, max_depth: int) -> DataFrame:
     by_tree = nodes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct(
         "node", F.struct("left", "right", "feature", "threshold", "proba")))).alias("__nodes"))
     # positions instead of ids: array access is a pointer step
@@ -284,20 +309,6 @@ def _walk_broadcast(spread: DataFrame, nodes: DataFrame, features: str,
     return walked.withColumn("leaf", _leaf(here["left"], here["proba"])).drop("__nodes")
 
 
-def _walk_joins(spread: DataFrame, nodes: DataFrame, features: str,
-                max_depth: int) -> DataFrame:
-    walked = spread.withColumn("node", F.lit(0))
-    splits = nodes.select("tree", "node", "left", "right", "feature", "threshold")
-    for _ in range(max_depth):
-        walked = walked.join(splits, ["tree", "node"]).withColumn(
-            "node", F.when(F.col("left") < 0, F.col("node"))
-            .when(F.col(features)[F.col("feature")] <= F.col("threshold"), F.col("left"))
-            .otherwise(F.col("right"))).drop("left", "right", "feature", "threshold")
-    ends = nodes.select("tree", "node", "left", "proba")
-    return walked.join(ends, ["tree", "node"]).withColumn(
-        "leaf", _leaf(F.col("left"), F.col("proba")))
-
-
 def _leaf(left: Column, proba: Column) -> Column:
     return F.when(left < 0, proba).otherwise(
         F.raise_error(F.lit("a tree is deeper than max_depth")).cast("array<double>"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lumenpeak.functions.columns import bound, literal_array, ratio, with_cut_index
 from lumenpeak.functions.constants import (PROB_GRID, QUASAR, QUASAR_CLASSES, REDSHIFT_TOLERANCE,
                                            REPORT_CUTS, SIGNIFICANCE_CUTS, SPLIT_REDSHIFT)
+from lumenpeak.functions.shared import written
 
 
 def _count_if(condition: Column) -> Column:
@@ -76,42 +77,38 @@ def probability_report(catalogue: DataFrame, candidates: DataFrame,
                        cuts: Sequence[float] = REPORT_CUTS) -> DataFrame:
     """Completeness and purity of all rows (step 0) and above each probability cut.
 
-    Above a cut: PROB > cut, not duplicated, confident inspection.
+    Above a cut: PROB > cut, not duplicated, confident inspection.  The candidates are
+    read once: all that is reported follows from their counts per object and first cut.
     """
     cuts = sorted(cuts, reverse=True)
     n = len(cuts)
-    eligible = candidates.where("NOT DUPLICATED AND Z_CONF_PERSON = 3 AND PROB IS NOT NULL")
-    filed = with_cut_index(eligible, "cut_index", "PROB", cuts, ">").where(f"cut_index < {n}")
-    upto = Window.orderBy("cut_index").rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid_frame(candidates, cuts, "cut_index", "prob_cut")
-
-    def running(counted: DataFrame, names: Sequence[str]) -> DataFrame:
-        dense = grid.join(counted, "cut_index", "left")
-        return dense.select("cut_index", "prob_cut", *[
-            F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto).alias(c) for c in names])
-
-    pure = running(filed.groupBy("cut_index").agg(*_purity_counts()), _PURITY)
+    usable = F.expr("NOT DUPLICATED AND Z_CONF_PERSON = 3")
+    # n: passes no cut, and counts only where all rows do
+    filed = with_cut_index(candidates, "first", "PROB", cuts, ">").withColumn(
+        "cut_index", F.when(usable, F.col("first")).otherwise(n))
+    counts = written(filed.groupBy("SPECID", "cut_index").agg(*_purity_counts()), "report")
+    pure = counts.groupBy("cut_index").agg(*[F.sum(c).alias(c) for c in _PURITY])
     # a quasar is found from the easiest cut its best correct candidate passes on
-    best = filed.where("IS_CORRECT").groupBy("SPECID").agg(F.min("cut_index").alias("cut_index"))
+    best = counts.where("num_correct > 0").groupBy("SPECID").agg(
+        F.min("cut_index").alias("cut_index"))
     truth = catalogue.select("SPECID", "Z_TRUE")
     z = F.col("Z_TRUE")
-    hits = best.join(truth, "SPECID").groupBy("cut_index").agg(
-        F.count("*").alias("found_quasars"), _count_if(z >= 1.0).alias("found_quasars_zge1"),
-        _count_if(z >= 2.1).alias("found_quasars_zge2_1"))
-    found = running(hits, ("found_quasars", "found_quasars_zge1", "found_quasars_zge2_1"))
-    totals = truth.agg(F.count("*").alias("num_quasars"),
-                       _count_if(z >= 1.0).alias("num_quasars_zge1"),
-                       _count_if(z >= 2.1).alias("num_quasars_zge2_1"))
-    on = F.lit(1).alias("one")
-    steps = (pure.join(found.drop("prob_cut"), "cut_index")
-             .withColumn("step", F.col("cut_index") + 1).drop("cut_index"))
-    above = steps.withColumn("one", on).join(totals.withColumn("one", on), "one").drop("one")
-    everything = purity(candidates).withColumn("one", on).join(
-        completeness(catalogue, candidates).withColumn("one", on), "one").drop("one").withColumns(
-        {"step": F.lit(0), "prob_cut": F.lit(None).cast("double")})
-    names = ["step", "prob_cut", *_PURITY, "num_quasars", "num_quasars_zge1",
-             "num_quasars_zge2_1", "found_quasars", "found_quasars_zge1", "found_quasars_zge2_1"]
-    both = everything.select(names).unionByName(above.select(names))
+
+    def quasars(name: str) -> list[Column]:
+        return [F.count("*").alias(name), _count_if(z >= 1.0).alias(f"{name}_zge1"),
+                _count_if(z >= 2.1).alias(f"{name}_zge2_1")]
+
+    hits = best.join(truth, "SPECID").groupBy("cut_index").agg(*quasars("found_quasars"))
+    totals = truth.agg(*quasars("num_quasars")).withColumn("one", F.lit(1))
+    found = [c for c in hits.columns if c != "cut_index"]
+    grid = candidates.sparkSession.range(1).select(F.posexplode(
+        F.array(*[F.lit(c).cast("double") for c in (*cuts, None)])).alias("cut_index", "prob_cut"))
+    upto = Window.orderBy("cut_index").rowsBetween(Window.unboundedPreceding, 0)
+    both = grid.join(pure, "cut_index", "left").join(hits, "cut_index", "left").select(
+        F.when(F.col("cut_index") == n, 0).otherwise(F.col("cut_index") + 1).alias("step"),
+        "prob_cut", F.lit(1).alias("one"),
+        *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto).alias(c) for c in (*_PURITY, *found)]
+    ).join(totals, "one").drop("one")
     return both.withColumns({
         **_purity_ratios(),
         "completeness": ratio(F.col("found_quasars"), F.col("num_quasars")),

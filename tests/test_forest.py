@@ -81,7 +81,7 @@ def test_training_and_exported_trees(spark, tmp_path):
         "peak_pix", vector_to_array("probability").alias("p")).collect()}
     vectors = assembled.select("SPECID", "peak_pix", "try_order",
                                vector_to_array("features").alias("features"))
-    for size in (E.BROADCAST_MODEL_BYTES, 0):
+    for size in (E.BROADCAST_MODEL_BYTES, 0):  # all trees at once, and one by one
         scored = E.score_nodes(vectors, nodes, len(forest.labels), max_depth=5,
                                broadcast_bytes=size).collect()
         assert len(scored) == len(want)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.constants import CLASS_LABELS
@@ -113,6 +114,43 @@ def e6(spark, sf):
         F.coalesce(*probs).isNotNull(), total).alias("total")), "total")
 
 
+def saved_forest(spark, forest):
+    path = fresh_path(spark, "forest")
+    forest.model.write().save(path)
+    return path
+
+
+@query("e6_probabilities_by_nodes", with_ctes(SCORED) + """
+SELECT SPECID, cand_id, true AS same FROM scored WHERE cand_id % 10 <> 0 AND Z_TRY >= 2.1e0""")
+def e6_nodes(spark, sf):
+    """Probabilities equal the mean leaves of the exported trees, row by row."""
+    rows = training_table(spark, sf).where("Z_TRY >= 2.1")
+    forest = E.train_forest(rows, MODEL_FEATURES, 12, 5)
+    vectors = E.assembled(rows, forest.features)
+    keys = ("SPECID", "cand_id")
+    walked = E.score_nodes(
+        vectors.select(*keys, vector_to_array("features").alias("features")),
+        E.read_nodes(spark, saved_forest(spark, forest), "high"), len(forest.labels), keys,
+        max_depth=5)
+    mine = walked.select(*keys, F.array(*[F.col(f"p{i}") for i in range(len(forest.labels))]).alias("a"))
+    given = forest.model.transform(vectors).select(*keys, vector_to_array("probability").alias("b"))
+    same = F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y) < 1e-9), lambda ok: ok)
+    return mine.join(given, list(keys)).select(*keys, same.alias("same"))
+
+
+@query("e6_separable_classes", with_ctes(SCORED) + f"""
+SELECT SPECID, cand_id, CASE WHEN cand_id % 10 = 0 THEN -1 ELSE {TRAINING_CLASS} END
+  AS CLASS_PREDICTED FROM scored""")
+def e6_separable(spark, sf):
+    """Where one feature tells the classes apart, every candidate gets its own class."""
+    rows = training_table(spark, sf).withColumn("SIGNAL", E.training_class().cast("double"))
+    forests = E.train(rows, ("SIGNAL",), num_trees=12, max_depth=8)
+    out = E.class_probabilities(rows, forests)
+    return out.select("SPECID", "cand_id", E.predicted_class(
+        [int(c.removeprefix("PROB_CLASS")) for c in out.columns if c.startswith("PROB_CLASS")]
+    ).alias("CLASS_PREDICTED"))
+
+
 # five trees of five nodes from the nation table: 0 -> (1, 2), 1 -> (3, 4)
 def nation_nodes(spark, sf):
     k = F.col("n_nationkey").cast("int")
@@ -159,7 +197,7 @@ def e7(spark, sf):
 
 @query("e7_tree_scoring_by_joins", NODES_SQL)
 def e7_joins(spark, sf):
-    """The same for a model too large to send to every executor."""
+    """The same for a model too large for one broadcast: every tree travels by itself."""
     return _scored_by_nodes(spark, sf, broadcast_bytes=0)
 
 
@@ -218,6 +256,23 @@ def e11(spark, sf):
                                         F.sum("importance").alias("total")), "total")
 
 
+@query("e11_importances_by_nodes", with_ctes(SCORED) + f"""
+SELECT side, f AS feature, true AS same FROM (SELECT DISTINCT {SIDE} AS side FROM scored),
+  (SELECT unnest([{', '.join(f"'{f}'" for f in MODEL_FEATURES)}]) AS f)""")
+def e11_nodes(spark, sf):
+    """Importances equal those that the gains in the exported nodes add up to."""
+    forests, parts = fitted(training_table(spark, sf)), []
+    for side, forest in forests.items():
+        given = spark.createDataFrame(
+            [(side, i, *pair) for i, pair in enumerate(forest.importances())],
+            "side STRING, position INT, feature STRING, given DOUBLE")
+        counted = E.node_importances(spark, saved_forest(spark, forest)).select(
+            F.col("feature").alias("position"), "importance")
+        parts.append(given.join(counted, "position", "left"))
+    same = F.abs(F.coalesce("importance", F.lit(0.0)) - F.col("given")) < 1e-9
+    return parts[0].unionByName(parts[1]).select("side", "feature", same.alias("same"))
+
+
 @query("e12_stored_model", with_ctes(SCORED) + """
 SELECT SPECID, cand_id, true AS same FROM scored WHERE cand_id % 10 <> 0""")
 def e12(spark, sf):

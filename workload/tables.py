@@ -52,6 +52,21 @@ def a1(spark, sf):
     return array_sums(R.parse_spectra_json(texts, "text", "specid BIGINT, Plate BIGINT"))
 
 
+@query("a1_spectra_json_files", rounded_sql(ARRAY_SUMS, "wave", "flux", "ivar"))
+def a1_files(spark, sf):
+    """Documents of up to 100 spectra, written one to a file and read in parallel."""
+    def array(name):
+        return F.struct(F.struct(F.col(name).alias("data")).alias("np.ndarray")).alias(name)
+
+    one = F.struct(array("flux"), array("ivar"), array("wave"), F.struct(
+        F.col("SPECID").alias("specid"), F.col("PLATE").alias("Plate")).alias("metadata"))
+    path = fresh_path(spark, "documents")
+    array_spectra(spark, sf).groupBy(F.expr("SPECID DIV 100")).agg(
+        F.collect_list(one).alias("spectra_list")).select(
+        F.to_json(F.struct("spectra_list"))).write.option("maxRecordsPerFile", 1).text(path)
+    return array_sums(R.read_spectra_json(spark, path, "specid BIGINT, Plate BIGINT"))
+
+
 @query("a2_several_spectra_files", rounded_sql(ARRAY_SUMS, "wave", "flux", "ivar"))
 def a2(spark, sf):
     spectra = array_spectra(spark, sf)
@@ -96,12 +111,32 @@ def a5(spark, sf):
                                 keep=["part"])
 
 
+@query("a5_catalogue_file", """SELECT c_acctbal AS Z_VI, c_nationkey AS PLATE, c_mktsegment AS NAME
+FROM customer""")
+def a5_file(spark, sf):
+    """Documents of up to 500 customers, written one to a file."""
+    def column(name):
+        return F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), name)))
+
+    path = fresh_path(spark, "catalogue")
+    table(spark, sf, "customer").groupBy(F.expr("c_custkey DIV 500")).agg(F.to_json(F.struct(
+        column("c_acctbal").alias("Z_VI"), column("c_nationkey").alias("PLATE"),
+        column("c_mktsegment").alias("NAME"))).alias("pd.DataFrame")).select(
+        F.to_json(F.struct("`pd.DataFrame`"))).write.option("maxRecordsPerFile", 1).text(path)
+    return R.read_catalogue_json(spark, path, "Z_VI DOUBLE, PLATE INT, NAME STRING")
+
+
 @query("a6_line_table", with_ctes(TRUTH, lines_sql()) + """
 SELECT line_index, LINE, count(*) AS n FROM lines, truth
 WHERE WAVE * (1 + Z_TRUE) BETWEEN 3600 AND 10000 GROUP BY ALL""")
 def a6(spark, sf):
-    """Every line by its declared position, and the objects that show it."""
-    every = try_line_structs([line[0] for line in LINES], LINES)
+    """Every line of a stored table by its declared position, and the objects that show it."""
+    columns = [F.map_from_arrays(F.lit([line[0] for line in LINES]), F.lit([float(line[k]) for line in LINES]))
+               .alias(name) for k, name in enumerate(R.LINE_COLUMNS[1:], 1)]
+    path = fresh_path(spark, "lines")
+    spark.range(1).select(F.to_json(F.struct(*columns))).coalesce(1).write.text(path)
+    lines = R.read_lines(spark, path)
+    every = try_line_structs([line[0] for line in lines], lines)
     return (truth(spark, sf).withColumn("l", F.explode(every))
             .where((F.col("l.rest_wave") * (1 + F.col("Z_TRUE"))).between(3600.0, 10000.0))
             .groupBy(F.col("l.assumed_index").alias("line_index"),
@@ -115,7 +150,9 @@ def a7(spark, sf):
     k = F.col("s_suppkey")
     text = table(spark, sf, "supplier").select(F.when(k % 9 == 4, F.lit("# sky")).otherwise(
         F.concat(F.lit(" "), (3500.26 + k * 0.806).cast("string"))).alias("value"))
-    return R.sky_lines(text)
+    path = fresh_path(spark, "sky")
+    text.write.text(path)
+    return R.read_sky_lines(spark, path)
 
 
 @query("a8_good_plates", """SELECT DISTINCT (o_custkey % 700)::INTEGER AS PLATE FROM orders
@@ -131,11 +168,14 @@ def a8(spark, sf):
 @query("a9_magnitude_text", """SELECT c_custkey AS TARGID, c_acctbal AS GMAG,
   c_nationkey::DOUBLE AS RMAG FROM customer""")
 def a9(spark, sf):
+    """A text table with a header line, written and read again."""
     text = table(spark, sf, "customer").select(F.concat(
         F.lit("  "), F.col("c_custkey").cast("string"), F.lit(" \t "),
         F.col("c_acctbal").cast("string"), F.lit("   "), F.col("c_nationkey").cast("string"))
         .alias("value"))
-    return R.split_columns(text, ["TARGID", "GMAG", "RMAG"], {"TARGID": "bigint"})
+    path, names = fresh_path(spark, "magnitudes"), ["TARGID", "GMAG", "RMAG"]
+    spark.range(1).select(F.lit(" ".join(names)).alias("value")).union(text).write.text(path)
+    return R.read_magnitudes(spark, path, names, {"TARGID": "bigint"})
 
 
 @query("a10_wave_axis", rounded_sql("""SELECT SPECID, count(*) AS n, min(w) AS lo, max(w) AS hi,
