@@ -1,7 +1,8 @@
 """Peaks above a fitted continuum: power law and broken power law.
 
-Both fits clip outliers and refit until they settle.  The clipping state of a
-pixel follows from the fits made so far (it stays while no accepted fit flagged
+Both fits clip outliers and refit until they settle.  A spectrum of at most CHUNK
+pixels is packed into one row and fitted there, all rounds at once; only longer ones
+go through rounds over the pixel table.  In these the clipping state of a pixel follows from the fits made so far (it stays while no accepted fit flagged
 it), so what passes from round to round is one small row per spectrum; the
 pixels are only scanned, aggregated where they lie, and never rewritten.
 Spectra that have settled drop out of later rounds.
@@ -9,16 +10,19 @@ Spectra that have settled drop out of later rounds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lumenpeak.functions.columns import bound, literal_array, ratio, with_cut_index
 from lumenpeak.functions.constants import POWER_LAW_MIN_SIGNIFICANCE
 from lumenpeak.functions.shared import written, written_round
 from lumenpeak.operators.halo import CHUNK
+from lumenpeak.operators.packedfits import broken_power_law_of, fitter, power_law_of
 
 # Logarithms of wavelength are taken relative to this, to keep the sums well
 # conditioned; it cancels in the results.
@@ -80,8 +84,26 @@ def _power_law_sums(pixels: DataFrame, min_significance: float) -> DataFrame:
         "avg(CASE WHEN use THEN flux END) AS mean_used")])
 
 
-def fit_power_law(pixels: DataFrame,
-                  min_significance: float = POWER_LAW_MIN_SIGNIFICANCE) -> DataFrame:
+def _by_length(pixels: DataFrame, one: Callable, schema: str, rounds: Callable,
+               chunk: int) -> DataFrame:
+    """Fits of the spectra of at most ``chunk`` pixels, each in its row by ``one``, and
+    of the longer ones by ``rounds``."""
+    pixels = pixels.select("SPECID", "wave", F.nanvl("flux", F.lit(None)).alias("flux"), "ivar")
+    sizes = pixels.groupBy("SPECID").agg(F.count("*").alias("n"))
+    long = written(sizes.where(F.col("n") > chunk).select("SPECID"), "long-spectra")
+    some = not long.isEmpty()
+    short = pixels.join(long, "SPECID", "left_anti") if some else pixels
+    # a list skips NULL, so that all three arrays are packed as one
+    packed = short.groupBy("SPECID").agg(F.collect_list(F.struct("wave", "flux", "ivar")).alias("p")).select(
+        "SPECID", *[F.col(f"p.{c}").alias(c) for c in ("wave", "flux", "ivar")])
+    schema = f"SPECID {dict(pixels.dtypes)['SPECID']}, {schema}"
+    fits = packed.mapInArrow(fitter(one, to_arrow_schema(StructType.fromDDL(schema))), schema)
+    fits = written(fits, "fits")
+    return fits.unionByName(rounds(pixels.join(long, "SPECID", "left_semi"))) if some else fits
+
+
+def fit_power_law(pixels: DataFrame, min_significance: float = POWER_LAW_MIN_SIGNIFICANCE,
+                  chunk: int = CHUNK) -> DataFrame:
     """Iterative sigma-clipped power law per spectrum.
 
     Returns (SPECID, amplitude, power_index, clips, failed): ``clips`` are the
@@ -90,7 +112,13 @@ def fit_power_law(pixels: DataFrame,
     fit found it at or above ``min_significance``.  Rounds go on until every
     spectrum reproduces its own fit.
     """
-    pixels = pixels.select("SPECID", "wave", "flux", "ivar")
+    return _by_length(
+        pixels, lambda *arrays: power_law_of(*arrays, min_significance, LOG_ORIGIN),
+        f"amplitude DOUBLE, power_index DOUBLE, clips {_CLIPS}, failed BOOLEAN",
+        lambda long: _power_law_rounds(long, min_significance), chunk)
+
+
+def _power_law_rounds(pixels: DataFrame, min_significance: float) -> DataFrame:
     state, done = None, []
     while True:
         if state is None:
@@ -105,7 +133,8 @@ def fit_power_law(pixels: DataFrame,
                                                   "SPECID")
         fitted = bound(_closed_form(previous), settled="""coalesce(
             abs(amplitude - fit_amplitude) <= 1e-8D + 1e-5D * abs(fit_amplitude)
-            AND abs(power_index - fit_index) <= 1e-8D + 1e-5D * abs(fit_index), false)""")
+            AND abs(power_index - fit_index) <= 1e-8D + 1e-5D * abs(fit_index),
+            fit_amplitude IS NULL)""")
         stepped = fitted.selectExpr(
             "SPECID",
             """CASE WHEN settled OR fit_failed THEN clips ELSE array_append(clips, named_struct(
@@ -172,7 +201,7 @@ def with_wave(peaks: DataFrame, pixels: DataFrame) -> DataFrame:
 def find_power_law_peaks(pixels: DataFrame,
                          min_significance: float = POWER_LAW_MIN_SIGNIFICANCE,
                          chunk: int = CHUNK) -> DataFrame:
-    fits = fit_power_law(pixels, min_significance)
+    fits = fit_power_law(pixels, min_significance, chunk)
     peaks = compress_runs(power_law_pixels(pixels, fits, min_significance), chunk)
     return with_wave(peaks, pixels)
 
@@ -275,12 +304,19 @@ def fit_broken_power_law_once(pixels: DataFrame,
 
 
 def fit_broken_power_law(pixels: DataFrame, min_significance: float = POWER_LAW_MIN_SIGNIFICANCE,
-                         breaks: Sequence[float] = BREAK_GRID) -> DataFrame:
+                         breaks: Sequence[float] = BREAK_GRID, chunk: int = CHUNK) -> DataFrame:
     """Clip and refit while chi squared over the kept pixels keeps falling.
 
     Returns (SPECID, amplitude, blue_index, red_index, break_wave, clips).
     """
-    pixels = pixels.select("SPECID", "wave", "flux", "ivar")
+    return _by_length(
+        pixels, lambda *arrays: broken_power_law_of(*arrays, min_significance, LOG_ORIGIN, breaks),
+        f"{', '.join(f'{c} DOUBLE' for c in _FIT)}, clips {_BROKEN_CLIP}",
+        lambda long: _broken_rounds(long, min_significance, breaks), chunk)
+
+
+def _broken_rounds(pixels: DataFrame, min_significance: float,
+                   breaks: Sequence[float]) -> DataFrame:
     state, done = None, []
     while True:
         if state is None:
@@ -340,10 +376,10 @@ def find_broken_power_law_peaks(pixels: DataFrame,
                                 chunk: int = CHUNK) -> DataFrame:
     """Peaks above the broken power law; where no break of the grid has pixels on both
     sides, above the plain one, so that no spectrum is left out."""
-    fits = fit_broken_power_law(pixels, min_significance, breaks)
+    fits = fit_broken_power_law(pixels, min_significance, breaks, chunk)
     above = broken_power_law_pixels(pixels, fits, min_significance)
     bare = pixels.join(fits.select("SPECID"), "SPECID", "left_anti")
     if not bare.isEmpty():
-        plain = power_law_pixels(bare, fit_power_law(bare, min_significance), min_significance)
+        plain = power_law_pixels(bare, fit_power_law(bare, min_significance, chunk), min_significance)
         above = above.unionByName(plain.select(above.columns))
     return with_wave(compress_runs(above, chunk), pixels)

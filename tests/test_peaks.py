@@ -152,3 +152,20 @@ def test_finder_options(spark):
     register_peak_finder("every_pixel", lambda pixels, offset: pixels.select(
         "SPECID", "pix", "wave", F.lit(offset).alias("significance")), {"offset": 1.0})
     assert peak_finder("every_pixel")(frame(spark, FLAT[:7])).count() == 7
+
+
+def test_fits_in_rows_and_by_rounds(spark):
+    """Spectra fitted in one row agree with those fitted by rounds over their pixels."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for spec in range(4):
+        wave = 3700.0 + 8.0 * np.arange(600 if spec else 30)
+        flux = 50 * (wave / 6000) ** -1.5 + rng.normal(0, 1, len(wave)) + 40 * (rng.uniform(size=len(wave)) < 0.05)
+        rows += [(spec, i, float(w), None if i == 7 else float(f), 0.0 if i == 9 else 1.0)
+                 for i, (w, f) in enumerate(zip(wave, flux))]
+    rows += [(9, i, 4000.0 + i, None, 1.0) for i in range(20)]  # no flux at all
+    df = spark.createDataFrame(rows, "SPECID BIGINT, pix BIGINT, wave DOUBLE, flux DOUBLE, ivar DOUBLE")
+    for find in (K.find_power_law_peaks, K.find_broken_power_law_peaks):
+        whole, cut = (sorted(map(tuple, find(df, 5.0, chunk=c).collect())) for c in (4096, 100))
+        assert [r[:3] for r in whole] == [r[:3] for r in cut] and len(whole) > 20
+        np.testing.assert_allclose([r[3] for r in whole], [r[3] for r in cut], rtol=1e-6)

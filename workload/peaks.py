@@ -105,7 +105,7 @@ runs AS (SELECT SPECID, CASE WHEN count(*) = 1 THEN min(pix)
 
 
 def stored_pixels(spark, sf):
-    """Pixels as a table: the fits scan them once per round."""
+    """Pixels as a table, read by more than one step."""
     return written(pixels(spark, sf), "pixels")
 
 
@@ -165,7 +165,75 @@ def k7_fit(spark, sf):
         F.col("fit_red_index").alias("red_index")), "amplitude", "blue_index", "red_index")
 
 
-@query("k7_broken_power_law_peaks")
+def broken_loop_sql(min_sig: float, rounds: int) -> str:
+    """The clip-and-refit loop of the broken law, unrolled.
+
+    A fit whose chi squared is no gain is dropped again, so pixels carry the mask
+    with (kept) and without (prev) the newest fit of their spectrum.
+    """
+    breaks = ", ".join(num(b) for b in K.BREAK_GRID)
+
+    def model(f: str) -> str:
+        return (f"{f}.a * CASE WHEN wave < {f}.brk THEN pow(wave / {f}.brk, -{f}.b1) "
+                f"ELSE pow(wave / {f}.brk, -{f}.b2) END")
+
+    def below(f: str) -> str:
+        return f"coalesce(abs(flux - {model(f)}) * sqrt(ivar) < {num(min_sig)}, false)"
+
+    def best(i: int) -> list[str]:
+        return [f"""hinge{i} AS (SELECT SPECID, brk, ln(flux) AS y, ivar * ivar AS w,
+    CASE WHEN wave < brk THEN ln(wave) - ln(brk) ELSE 0 END AS p,
+    CASE WHEN wave >= brk THEN ln(wave) - ln(brk) ELSE 0 END AS q, wave < brk AS is_left
+  FROM mask{i}, (SELECT unnest([{breaks}]) AS brk) WHERE kept AND flux > 0 AND ivar > 0)""",
+                f"""cell{i} AS (SELECT SPECID, brk, sum(w) AS sw, sum(w*p) AS sp, sum(w*p*p) AS spp,
+    sum(w*q) AS sq, sum(w*q*q) AS sqq, sum(w*y) AS sy, sum(w*p*y) AS spy, sum(w*q*y) AS sqy,
+    sum(w*y*y) AS syy FROM hinge{i} GROUP BY ALL
+  HAVING count(*) FILTER (is_left) >= 2 AND count(*) FILTER (NOT is_left) >= 2)""",
+                f"""level{i} AS (SELECT *, (sy - sp*spy/spp - sq*sqy/sqq)
+    / (sw - sp*sp/spp - sq*sq/sqq) AS lv FROM cell{i})""",
+                f"""slope{i} AS (SELECT *, (spy - lv*sp)/spp AS m1, (sqy - lv*sq)/sqq AS m2
+  FROM level{i})""",
+                f"""best{i} AS MATERIALIZED (SELECT SPECID, arg_min({{'a': exp(lv), 'b1': -m1, 'b2': -m2,
+    'brk': brk}}, {{'m': syy - lv*sy - m1*spy - m2*sqy, 'brk': brk}}) AS fit FROM slope{i} GROUP BY SPECID)"""]
+
+    parts = [PIXELS, """mask0 AS (SELECT *, coalesce(ivar <> 0 AND flux >= 0, false) AS kept FROM pixels)""",
+             *best(0),
+             """state1 AS (SELECT SPECID, fit, fit AS before, NULL::DOUBLE AS chi, false AS done
+  FROM best0)""",
+             f"""mask1 AS MATERIALIZED (SELECT m.SPECID, pix, wave, flux, ivar, kept AS prev,
+    kept AND {below('s.fit')} AS kept FROM mask0 m JOIN state1 s USING (SPECID))"""]
+    for i in range(1, rounds):
+        parts += best(i)
+        parts += [f"""chi{i} AS (SELECT SPECID, sum(CASE WHEN kept
+      THEN (flux - {model('s.fit')}) * (flux - {model('s.fit')}) * ivar END) AS now
+  FROM mask{i} m JOIN state{i} s USING (SPECID) GROUP BY SPECID)""",
+                  f"""gain{i} AS (SELECT s.*, b.fit AS next, now, NOT done AND (chi IS NULL OR coalesce(
+      abs(now - chi) > 1e-8 + 1e-5 * abs(chi) AND now < chi, false)) AS better
+  FROM state{i} s JOIN chi{i} USING (SPECID) LEFT JOIN best{i} b USING (SPECID))""",
+                  f"""state{i + 1} AS MATERIALIZED (SELECT SPECID,
+    CASE WHEN done THEN fit WHEN better AND next IS NOT NULL THEN next WHEN better THEN fit
+      ELSE before END AS fit,
+    CASE WHEN better AND next IS NOT NULL THEN fit ELSE before END AS before,
+    CASE WHEN better THEN coalesce(now, 0) ELSE chi END AS chi,
+    done OR NOT better OR next IS NULL AS done, NOT done AND NOT better AS back,
+    better AND next IS NOT NULL AS moved FROM gain{i})""",
+                  f"""mask{i + 1} AS MATERIALIZED (SELECT m.SPECID, pix, wave, flux, ivar,
+    CASE WHEN moved THEN kept ELSE prev END AS prev,
+    CASE WHEN moved THEN kept AND {below('s.fit')} WHEN back THEN prev ELSE kept END AS kept
+  FROM mask{i} m JOIN state{i + 1} s USING (SPECID))"""]
+    parts.append(f"""above AS (SELECT m.SPECID, pix, abs(flux - {model('s.fit')}) * sqrt(ivar) AS sig
+  FROM mask{rounds} m JOIN state{rounds} s USING (SPECID)
+  WHERE NOT kept AND flux > {model('s.fit')})""")
+    return ",\n".join(parts)
+
+
+BROKEN_ROUNDS = 12
+
+
+@query("k7_broken_power_law_peaks", rounded_sql(
+    f"WITH {broken_loop_sql(CLIP, BROKEN_ROUNDS)},\n{RUNS_SQL[RUNS_SQL.index('islands AS'):]}\n" + """
+SELECT SPECID, r.pix, wave, significance FROM runs r JOIN pixels p USING (SPECID, pix)""",
+    "significance"))
 def k7(spark, sf):
     return rounded(K.find_broken_power_law_peaks(stored_pixels(spark, sf), CLIP), "significance")
 
