@@ -83,6 +83,30 @@ class Forest:
                 for tree in self.model.trees]
 
 
+@dataclass(frozen=True)
+class NodeForest:
+    """A forest given as trees: a table with the columns of ``read_nodes``."""
+
+    nodes: DataFrame
+    labels: tuple[int, ...]
+    features: tuple[str, ...]
+    depth: int
+
+
+def tree_depth(nodes: DataFrame) -> int:
+    """Splits on the longest way from a root to a leaf, found level by level."""
+    inner = written(nodes.where("left >= 0").select("tree", "node", "left", "right"), "inner-nodes")
+    most = inner.count()
+    level, depth = inner.where("node = 0"), 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError("a node of a tree is below itself")
+        below = level.select("tree", F.explode(F.array("left", "right")).alias("node"))
+        level = written(below.join(inner, ["tree", "node"]), "level")
+    return depth
+
+
 def class_counts(df: DataFrame) -> dict[int, int]:
     """Rows per training class (at most one row per class reaches the driver)."""
     return {r["label_class"]: r["n"] for r in
@@ -127,30 +151,54 @@ def train_forest(df: DataFrame, features: Sequence[str], num_trees: int = NUM_TR
 
 
 def train(df: DataFrame, features: Sequence[str], split: bool = True, num_trees: int = NUM_TREES,
-          max_depth: int = MAX_DEPTH, seed: int = RANDOM_STATE) -> dict[str, Forest]:
-    """Forests for high and low trial redshift, or one for all of them."""
+          max_depth: int = MAX_DEPTH, seed: int = RANDOM_STATE,
+          options: dict[str, dict[str, int]] | None = None) -> dict[str, Forest]:
+    """Forests for high and low trial redshift, or one for all of them.
+
+    ``options`` gives a side its own num_trees or max_depth.
+    """
     rows = df.where("Z_TRY >= 0")
     sides = ("high", "low") if split else ("all",)
-    return {side: train_forest(rows.where(split_side(split) == side), features, num_trees,
-                               max_depth, seed) for side in sides}
+    common = {"num_trees": num_trees, "max_depth": max_depth}
+    return {side: train_forest(rows.where(split_side(split) == side), features, seed=seed,
+                               **{**common, **(options or {}).get(side, {})}) for side in sides}
 
 
 # --- scoring ----------------------------------------------------------------
 
 
-def class_probabilities(df: DataFrame, forests: dict[str, Forest]) -> DataFrame:
+KEYS = ("SPECID", "peak_pix", "try_order")
+
+
+def _by_nodes(rows: DataFrame, forest: NodeForest, keys: Sequence[str]) -> DataFrame:
+    """Add ``__p``, the probabilities that the trees give a row; ``keys`` tell rows apart."""
+    vectors = rows.select(*keys, F.array(*[filled(c) for c in forest.features]).alias("features"))
+    n = len(forest.labels)
+    walked = score_nodes(vectors, forest.nodes, n, keys, max_depth=forest.depth)
+    scores = walked.select(*[F.col(k).alias(f"__{k}") for k in keys],
+                           F.array(*[F.col(f"p{i}") for i in range(n)]).alias("__p"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rows.join(scores, same).drop(*[f"__{k}" for k in keys])
+
+
+def class_probabilities(df: DataFrame, forests: dict[str, Forest | NodeForest],
+                        keys: Sequence[str] = KEYS) -> DataFrame:
     """Add PROB_CLASS{c}; each row is scored by the forest of its redshift side.
 
     Rows without a trial redshift keep NULL probabilities.  ``branch`` (0 high or
-    all, 1 low, 2 none) is the order in which ties are broken.
+    all, 1 low, 2 none) is the order in which ties are broken.  ``keys`` identify a
+    row; only forests given as trees need them.
     """
     split = "all" not in forests
     labels = sorted({c for f in forests.values() for c in f.labels}, key=_label_order)
     parts = []
     for branch, (side, forest) in enumerate(sorted(forests.items())):
         rows = df.where(split_side(split) == side)
-        scored = forest.model.transform(assembled(rows, forest.features))
-        values = vector_to_array("probability")
+        if isinstance(forest, NodeForest):
+            scored, values = _by_nodes(rows, forest, keys), F.col("__p")
+        else:
+            scored = forest.model.transform(assembled(rows, forest.features))
+            values = vector_to_array("probability")
         parts.append(scored.withColumns({
             f"PROB_CLASS{c}": (values[forest.labels.index(c)] if c in forest.labels
                                else F.lit(None).cast("double")) for c in labels})
@@ -209,10 +257,10 @@ def with_duplicates(df: DataFrame, tie: Sequence[str] = ("branch", "peak_pix", "
             .drop("__key", "__best"))
 
 
-def classify(df: DataFrame, forests: dict[str, Forest],
+def classify(df: DataFrame, forests: dict[str, Forest | NodeForest],
              tie: Sequence[str] = ("branch", "peak_pix", "try_order")) -> DataFrame:
     """Probabilities, CLASS_PREDICTED, PROB and DUPLICATED."""
-    scored = class_probabilities(df, forests)
+    scored = class_probabilities(df, forests, ("SPECID", *[t for t in tie if t != "branch"]))
     first = forests.get("high") or forests.get("all") or next(iter(forests.values()))
     # written first: the flag reads the scores twice, the forests run once
     scored = written(scored.withColumn("CLASS_PREDICTED", predicted_class(first.labels))
@@ -262,7 +310,7 @@ def node_importances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def score_nodes(rows: DataFrame, nodes: DataFrame, num_classes: int,
-                keys: Sequence[str] = ("SPECID", "peak_pix", "try_order"),
+                keys: Sequence[str] = KEYS,
                 features: str = "features", max_depth: int = MAX_DEPTH,
                 broadcast_bytes: int = BROADCAST_MODEL_BYTES) -> DataFrame:
     """Mean leaf probabilities over the trees of one forest.

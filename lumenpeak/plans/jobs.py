@@ -23,7 +23,7 @@ from lumenpeak.sources import readers, writers
 class Model:
     """Trained forests and the parameters they were trained with."""
 
-    forests: dict[str, E.Forest]
+    forests: dict[str, E.Forest | E.NodeForest]
     params: JobParams
 
     def features(self) -> list[str]:
@@ -89,33 +89,48 @@ def train_model(table: DataFrame, params: JobParams) -> Model:
     if "training" not in params.mode:
         raise ValueError(f"a model is trained in training mode only, not in {params.mode}")
     forests = E.train(table, model_features(params), params.split, params.num_trees,
-                      params.max_depth, params.seed)
+                      params.max_depth, params.seed, params.forest_options)
     return Model(forests, params)
 
 
+# ``depth`` is there for forests that are given as trees
+INFO = "side STRING, labels ARRAY<INT>, features ARRAY<STRING>, params STRING, depth INT"
+
+
 def save_model(model: Model, path: str) -> None:
     """Forests, node tables, labels and parameters under one folder."""
+    spark = SparkSession.getActiveSession()
     for side, forest in model.forests.items():
-        forest.model.write().overwrite().save(f"{path}/{side}")
-        spark = SparkSession.getActiveSession()
-        E.read_nodes(spark, f"{path}/{side}", side).write.mode("overwrite").parquet(
-            f"{path}/nodes/forest={side}")
-    rows = [(side, list(f.labels), list(f.features), model.params.to_json())
-            for side, f in model.forests.items()]
-    SparkSession.getActiveSession().createDataFrame(
-        rows, "side STRING, labels ARRAY<INT>, features ARRAY<STRING>, params STRING"
-    ).coalesce(1).write.mode("overwrite").json(f"{path}/info")
+        if isinstance(forest, E.NodeForest):
+            nodes = forest.nodes
+        else:
+            forest.model.write().overwrite().save(f"{path}/{side}")
+            nodes = E.read_nodes(spark, f"{path}/{side}", side)
+        nodes.drop("forest").write.mode("overwrite").parquet(f"{path}/nodes/forest={side}")
+    rows = [(side, list(f.labels), list(f.features), model.params.to_json(),
+             f.depth if isinstance(f, E.NodeForest) else None) for side, f in model.forests.items()]
+    spark.createDataFrame(rows, INFO).coalesce(1).write.mode("overwrite").json(f"{path}/info")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    info = spark.read.schema(
-        "side STRING, labels ARRAY<INT>, features ARRAY<STRING>, params STRING").json(
-        f"{path}/info").collect()
-    forests = {r["side"]: E.Forest(RandomForestClassificationModel.load(f"{path}/{r['side']}"),
-                                   tuple(r["labels"]), tuple(r["features"])) for r in info}
+    info = spark.read.schema(INFO).json(f"{path}/info").collect()
+    forests = {}
+    for r in info:
+        labels, features, side = tuple(r["labels"]), tuple(r["features"]), r["side"]
+        if r["depth"] is None:
+            forests[side] = E.Forest(RandomForestClassificationModel.load(f"{path}/{side}"),
+                                     labels, features)
+        else:
+            forests[side] = E.NodeForest(spark.read.parquet(f"{path}/nodes/forest={side}"),
+                                         labels, features, r["depth"])
     return Model(forests, JobParams.from_json(info[0]["params"]))
 
 
+def stored_trees(spark: SparkSession, path: str, params: JobParams) -> Model:
+    """Model of a JSON document of trees, with the parameters it was trained with."""
+    return Model(readers.read_model_json(spark, path, model_features(params)), params)
+
+
 def classify(table: DataFrame, model: Model) -> DataFrame:
     tie = ("branch", "peak_pix", "try_order", *[c for c in ("SPECTRUM",) if c in table.columns])
     return E.classify(table, model.forests, tie)
@@ -159,6 +174,57 @@ def format_spectra(catalogue: DataFrame, files: DataFrame, sky: DataFrame,
     return named_again(packed.join(metadata.dropDuplicates(["SPECID"]), "SPECID")).drop("SPECTRUM")
 
 
+def format_arms(pixels: DataFrame, catalogue: DataFrame | None = None,
+                magnitudes: DataFrame | None = None, fibres: DataFrame | None = None,
+                order: Sequence[str] = ("SPECID",), red: str = "red") -> DataFrame:
+    """Two-arm pixels (with ``sens``) -> array-form spectra with Z_TRUE, GMAG and RMAG.
+
+    Spectra whose red arm is one constant are left out, and with ``fibres`` (SPECID,
+    fib_status) those of fibres that are not active.  ``catalogue`` (SPECID, Z) and
+    ``magnitudes`` (SPECID, GMAG, RMAG) give their first row in ``order`` per target;
+    what they lack is NULL.
+    """
+    if fibres is not None:
+        active = P.keep_active_fibres(fibres).select("SPECID")
+        pixels = pixels.join(active, "SPECID", "left_semi")
+    corrected = X.correct_sensitivity(pixels).where(F.col("arm") == red)
+    varied = corrected.groupBy("SPECID").agg(
+        F.min("flux").alias("lo"), F.max("flux").alias("hi")).where("lo < hi")
+    spectra = writers.to_spectra(X.arm_spectra(pixels.join(varied, "SPECID", "left_semi")))
+    none = F.lit(None).cast("double")
+    if catalogue is None:
+        spectra = spectra.withColumn("Z_TRUE", none)
+    else:
+        spectra = P.attach_first_match(spectra, catalogue.withColumnRenamed("Z", "Z_TRUE"),
+                                       "SPECID", order, ["Z_TRUE"])
+    if magnitudes is None:
+        return spectra.withColumns({"GMAG": none, "RMAG": none})
+    return P.attach_first_match(spectra, magnitudes, "SPECID", order, ["GMAG", "RMAG"])
+
+
+def format_exposures(pixels: DataFrame, fibres: DataFrame, metadata: Sequence[str],
+                     single: bool = False, order: Sequence[str] = ("exposure",),
+                     points: int = 4000) -> DataFrame:
+    """Pixels of several exposures and bands (with ``mask``) -> array-form spectra.
+
+    ``metadata`` columns, upper-cased, come from the target's first row of ``fibres``.
+    """
+    first = P.metadata(P.first_per_key(fibres, ["SPECID"], order), metadata)
+    spectra = writers.to_spectra(X.exposure_spectra(pixels, single, points))
+    return spectra.join(first, "SPECID", "left")
+
+
+def format_photometry(objects: DataFrame, filters: DataFrame, metadata: Sequence[str] = (),
+                      trays_only: bool = False) -> DataFrame:
+    """Photometric objects -> array-form spectra along the chosen filters."""
+    kept = ["FLUX", "RELERR", "FLAGS", "MASK_FLAGS", "TILE_ID", "NUMBER"]
+    named = [F.col(c).alias(f"__m{i}") for i, c in enumerate(metadata)]
+    pixels = P.photometric_pixels(objects.select(*kept, *named),
+                                  P.select_filters(filters, trays_only))
+    spectra = writers.to_spectra(pixels, *[f"__m{i}" for i in range(len(metadata))])
+    return spectra.withColumnsRenamed({f"__m{i}": c.upper() for i, c in enumerate(metadata)})
+
+
 @dataclass
 class Result:
     """What a run produced; parts a mode does not make are None."""
@@ -167,6 +233,9 @@ class Result:
     model: Model | None = None
     catalogue: DataFrame | None = None
     report: DataFrame | None = None
+    sweep: DataFrame | None = None
+    optimal: DataFrame | None = None
+    finder: DataFrame | None = None
     unusable: DataFrame | None = None
 
 
@@ -210,4 +279,7 @@ def run(params: JobParams, output: str, spectra: DataFrame | None = None,
         result.catalogue = saved(writers.catalogue(scored, params.prob_cut), "catalogue")
     if params.mode == "test" and params.run_stats and truth is not None:
         result.report = S.probability_report(truth, scored, params.report_cuts)
+        result.sweep = saved(S.threshold_sweep(scored, truth), "threshold_sweep")
+        result.optimal = saved(S.optimal_threshold(result.sweep), "optimal_threshold")
+        result.finder = saved(S.peak_finder_completeness(scored, truth), "peak_finder_study")
     return result

@@ -72,6 +72,8 @@ class JobParams:
     split: bool = True
     num_trees: int = K.NUM_TREES
     max_depth: int = K.MAX_DEPTH
+    # side (high, low or all) -> its own num_trees or max_depth
+    forest_options: dict = field(default_factory=dict)
     seed: int = K.RANDOM_STATE
     report_cuts: tuple[float, ...] = tuple(K.REPORT_CUTS)
     run_stats: bool = True
@@ -85,6 +87,9 @@ class JobParams:
             raise ValueError("prob_cut must not be negative")
         if self.z_precision <= 0:
             raise ValueError("z_precision must be greater than 0")
+        for side, options in self.forest_options.items():
+            if side not in ("high", "low", "all") or set(options) - {"num_trees", "max_depth"}:
+                raise ValueError(f"invalid forest options {options} for {side!r}")
         check_try_lines(self.try_lines, self.lines)
         peak_finder(self.peak_finder, self.peak_finder_options)
 

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from lumenpeak.functions.columns import nan_to_null
 from lumenpeak.functions.constants import LINE_COLUMNS
+from lumenpeak.functions.shared import written
+from lumenpeak.operators.forest import NodeForest, tree_depth
 
 _ARRAY = T.StructType([T.StructField("np.ndarray", T.StructType([
     T.StructField("data", T.ArrayType(T.DoubleType())), T.StructField("dtype", T.StringType())]))])
@@ -58,6 +60,52 @@ def parse_spectra_json(texts: DataFrame, column: str, metadata: str, *keep: str)
     return spectra_from_documents(parsed.select(*keep, "__d.spectra_list"), names, *keep)
 
 
+def _node_arrays(name: str, kind: T.DataType) -> T.StructField:
+    return T.StructField(name, T.StructType([T.StructField("np.ndarray", T.StructType(
+        [T.StructField("data", T.ArrayType(kind))]))]))
+
+
+def read_model_json(spark: SparkSession, path: str,
+                    features: Sequence[str]) -> dict[str, NodeForest]:
+    """Forests by redshift side of a stored model, whose trees are parallel arrays.
+
+    ``clf_high`` and ``clf_low``, or ``clf`` alone, hold ``classes`` and ``trees``; a tree's
+    ``proba`` is (nodes, 1, classes).  ``features`` are the columns by position.  The
+    document becomes a node table once; its labels alone reach the driver.
+    """
+    doubles = T.ArrayType(T.ArrayType(T.DoubleType()))
+    tree = T.StructType([*[_node_arrays(n, T.IntegerType()) for n in (
+        "children_left", "children_right", "feature")],
+        _node_arrays("threshold", T.DoubleType()), _node_arrays("proba", doubles)])
+    forest = T.StructType([_node_arrays("classes", T.IntegerType()),
+                           T.StructField("trees", T.ArrayType(tree))])
+    sides = {"clf_high": "high", "clf_low": "low", "clf": "all"}
+    document = spark.read.schema(T.StructType([T.StructField(n, forest) for n in sides])).option(
+        "multiLine", True).json(path)
+    given = document.select(F.explode(F.array(*[
+        F.struct(F.lit(side).alias("forest"), F.col(f"{n}.classes.`np.ndarray`.data").alias("labels"),
+                 F.col(f"{n}.trees").alias("trees")) for n, side in sides.items()])).alias("f")).select(
+        "f.*").where("trees IS NOT NULL")
+
+    def data(name: str) -> Column:
+        return F.col(f"t.{name}.`np.ndarray`.data").alias(name)
+
+    arrays = given.select("forest", F.posexplode("trees").alias("tree", "t")).select(
+        "forest", "tree", F.arrays_zip(*[data(n) for n in tree.names]).alias("z"))
+    nodes = written(arrays.select("forest", "tree", F.posexplode("z").alias("node", "n")).select(
+        "forest", "tree", "node", F.col("n.children_left").alias("left"),
+        F.col("n.children_right").alias("right"), "n.feature", "n.threshold",
+        F.flatten("n.proba").alias("proba")), "model-nodes")
+    forests = {}
+    for row in given.select("forest", "labels").collect():  # at most three
+        own = nodes.where(F.col("forest") == row["forest"])
+        forests[row["forest"]] = NodeForest(own, tuple(row["labels"]), tuple(features),
+                                            tree_depth(own))
+    if not forests:
+        raise ValueError(f"no forest in {path}")
+    return forests
+
+
 def read_spectra(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Spectra tables, one after the other, with the file each row came from."""
     files = [paths] if isinstance(paths, str) else list(paths)

@@ -99,3 +99,33 @@ def test_single_forest(spark):
 
 def test_balanced_weights():
     assert E.balanced_weight({1: 30, 3: 10}) == {1: 40 / 60, 3: 2.0}
+
+
+def test_options_of_each_side(spark):
+    forests = E.train(table(spark), ["A", "B"], num_trees=4, max_depth=3,
+                      options={"low": {"num_trees": 2}})
+    assert forests["high"].model.getNumTrees == 4 and forests["low"].model.getNumTrees == 2
+
+
+def test_forests_given_as_trees(spark, tmp_path):
+    """Trees score as the model they come from, whatever their depth, ties and repeats too."""
+    df = table(spark)
+    df = df.union(df.limit(5))  # repeated rows
+    forests = E.train(df, ["A", "B"], num_trees=5, max_depth=4)
+    trees = {}
+    for side, forest in forests.items():
+        forest.model.write().save(str(tmp_path / side))
+        nodes = E.read_nodes(spark, str(tmp_path / side), side)
+        assert E.tree_depth(nodes) == max(t.depth for t in forest.model.trees)
+        trees[side] = E.NodeForest(nodes, forest.labels, forest.features, E.tree_depth(nodes))
+    keys = ("SPECID", "peak_pix", "try_order")
+    probs = sorted({f"PROB_CLASS{c}" for f in forests.values() for c in f.labels})
+
+    def rows(given):
+        return sorted(E.class_probabilities(df, given).select(
+            *keys, *[F.round(p, 9).alias(p) for p in probs]).collect(), key=str)
+
+    assert rows(trees) == rows(forests)
+    loop = spark.createDataFrame([(0, 0, 0, 0)], "tree INT, node INT, left INT, right INT")
+    with pytest.raises(ValueError, match="below itself"):
+        E.tree_depth(loop)

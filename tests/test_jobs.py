@@ -56,6 +56,11 @@ def test_train_then_test_then_merge(spark, tmp_path):
     assert best.count() == 40
     report = {r["step"]: r for r in result.report.collect()}
     assert len(report) == 19 and report[0]["completeness"] > 0.9
+    sweep = result.sweep.orderBy("prob").collect()
+    assert [r["num_candidates"] for r in sweep] == sorted(
+        (r["num_candidates"] for r in sweep), reverse=True)
+    assert {r["case"] for r in result.optimal.collect()} == {"z<2.1", "z>=2.1", "all z"}
+    assert result.finder.agg(F.max("completeness")).first()[0] > 0.9
     counts = [report[i]["num_candidates"] for i in range(1, 19)]
     assert counts == sorted(counts)
     quasars = best.where("CLASS_PERSON = 3 AND PROB > 0.5")
@@ -83,7 +88,8 @@ def test_refused_runs(spark, tmp_path):
     with pytest.raises(ValueError, match="needs a trained model"):
         jobs.run(JobParams(mode="operation", **OPTIONS), str(tmp_path), bare)
     for bad in ({"mode": "x"}, {"num_pixels": 0}, {"prob_cut": -1}, {"z_precision": 0},
-                {"try_lines": ("q",)}, {"peak_finder": "x"}):
+                {"try_lines": ("q",)}, {"peak_finder": "x"},
+                {"forest_options": {"high": {"n": 1}}}, {"forest_options": {"up": {}}}):
         with pytest.raises(ValueError):
             JobParams(**bad)
 
@@ -98,7 +104,8 @@ def test_pixels_as_metrics(spark):
 
 
 def test_parameters_round_trip():
-    params = JobParams(extra_features=("R_MAG",), split=False, **OPTIONS)
+    params = JobParams(extra_features=("R_MAG",), split=False,
+                       forest_options={"all": {"num_trees": 3}}, **OPTIONS)
     assert JobParams.from_json(params.to_json()) == params
     adopted = JobParams(mode="test").adopting(params)
     assert adopted.mode == "test" and adopted.extra_features == ("R_MAG",)
@@ -142,3 +149,17 @@ def test_files(spark, tmp_path):
     assert tuple(R.read_candidates(spark, str(tmp_path / "t")).first()) == (1, None)
     W.write_spectra(df.withColumn("PLATE", F.col("SPECID")), str(tmp_path / "plates"), "PLATE")
     assert sorted(p.name for p in (tmp_path / "plates").glob("PLATE=*")) == ["PLATE=1", "PLATE=2"]
+
+
+def test_arms_without_catalogues(spark):
+    """Spectra without a varied red arm, and inactive fibres, are left out."""
+    rows = [(i, arm, p, 4000.0 + 10 * p, 1.0 if i == 1 and arm == "red" else 1.0 + p % 3, 1.0, 1.0)
+            for i in range(3) for arm, pixels in (("blue", range(20)), ("red", range(15, 40))) for p in pixels]
+    pixels = spark.createDataFrame(rows, "SPECID BIGINT, arm STRING, pix BIGINT, wave DOUBLE, flux DOUBLE, "
+                                         "ivar DOUBLE, sens DOUBLE")
+    fibres = spark.createDataFrame([(0, "A"), (1, "A"), (2, "P")], "SPECID BIGINT, fib_status STRING")
+    out = jobs.format_arms(pixels, fibres=fibres).collect()
+    assert [r["SPECID"] for r in out] == [0] and len(out[0]["wave"]) == 38
+    assert out[0]["Z_TRUE"] is out[0]["GMAG"] is out[0]["RMAG"] is None
+    assert {r["SPECID"] for r in jobs.format_arms(pixels).collect()} == {0, 2}
+    assert jobs.format_arms(pixels.limit(0)).count() == 0

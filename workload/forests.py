@@ -10,6 +10,7 @@ from lumenpeak.functions.shared import fresh_path
 from lumenpeak.operators import forest as E
 from lumenpeak.plans import jobs
 from lumenpeak.plans.params import JobParams
+from lumenpeak.sources import readers as R
 from workload.peaks import METRIC_CTES, _wide_sql, wide_table
 from workload.views import (ORDERS_CANDIDATES, SCORED, orders_candidates, query, rounded,
                             rounded_sql, scored, table, with_ctes)
@@ -201,6 +202,44 @@ def e7_joins(spark, sf):
     return _scored_by_nodes(spark, sf, broadcast_bytes=0)
 
 
+def node_document(nodes, classes):
+    """The trees as one JSON document of parallel arrays, as a model is stored."""
+    def array(name, value):
+        return F.struct(F.struct(value.alias("data")).alias("np.ndarray")).alias(name)
+
+    n = F.col("n")
+    parts = F.sort_array(F.collect_list(F.struct("node", "left", "right", "feature", F.coalesce(
+        "threshold", F.lit(-2.0)).alias("threshold"), F.array("proba").alias("proba"))))
+    tree = F.struct(array("children_left", n["left"]), array("children_right", n["right"]),
+                    array("feature", n["feature"]), array("threshold", n["threshold"]),
+                    array("proba", n["proba"]))
+    trees = nodes.groupBy("tree").agg(parts.alias("n")).select("tree", tree.alias("t"))
+    listed = trees.agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "t"))),
+                                   lambda x: x["t"]).alias("trees"))
+    forest = F.struct(array("classes", F.lit(list(classes))), F.col("trees"))
+    return listed.select(F.to_json(F.struct(forest.alias("clf"))))
+
+
+@query("e12_model_of_trees", rounded_sql(with_ctes(ORDERS_CANDIDATES, NODES) + """
+SELECT *, PROB_CLASS3 + PROB_CLASS30 AS PROB FROM (SELECT SPECID, cand_id, avg(p0) AS PROB_CLASS1,
+  avg(p1) AS PROB_CLASS3, avg(p2) AS PROB_CLASS30
+FROM step2 JOIN nodes USING (tree, node) GROUP BY ALL)""",
+                                         "PROB_CLASS1", "PROB_CLASS3", "PROB_CLASS30", "PROB"))
+def e12_trees(spark, sf):
+    """A model given as a document of trees, read, saved with its parameters and loaded."""
+    path = fresh_path(spark, "trees")
+    node_document(nation_nodes(spark, sf), (1, 3, 30)).coalesce(1).write.text(path)
+    forests = R.read_model_json(spark, path, ("FA", "FB", "FC"))
+    folder = fresh_path(spark, "model")
+    jobs.save_model(jobs.Model(forests, JobParams(split=False)), folder)
+    rows = orders_candidates(spark, sf).select(
+        "SPECID", "cand_id", "Z_TRY", F.col("Z_TRY").alias("FA"), (F.col("PROB") * 3).alias("FB"),
+        (F.col("PEAK_SIGNIFICANCE") / 4).alias("FC"))
+    out = E.classify(rows, jobs.load_model(spark, folder).forests, ("branch", "cand_id"))
+    return rounded(out.select("SPECID", "cand_id", "PROB_CLASS1", "PROB_CLASS3", "PROB_CLASS30",
+                              "PROB"), "PROB_CLASS1", "PROB_CLASS3", "PROB_CLASS30", "PROB")
+
+
 PROBS = {1: 7919, 3: 6007, 4: 4001, 30: 3001}
 
 

@@ -149,7 +149,7 @@ def c9(spark, sf):
 POINTS = 150
 
 
-@query("c10_combined_bands", rounded_sql(with_ctes(
+BAND_CTES = (
     PIXELS, EXPOSURES, MASKED, COMBINED,
     "span AS (SELECT SPECID, min(wave) AS lo, max(wave) AS hi FROM combined GROUP BY SPECID)",
     """near AS (SELECT *, lag(wave) OVER w AS b, lead(wave) OVER w AS a FROM combined
@@ -162,10 +162,14 @@ POINTS = 150
     greatest(0, least(r, wave + step / 2) - greatest(l, wave - step / 2)) / step AS f
   FROM grid g JOIN edges e ON g.SPECID = e.SPECID AND e.l < wave + step AND e.r > wave - step)""",
     """total AS (SELECT SPECID, k, sum(ivar * f) AS ivar, sum(flux * ivar * f) AS fi
-  FROM parts GROUP BY ALL)""") + """
+  FROM parts GROUP BY ALL)""")
+BANDS = """
 SELECT g.SPECID, g.k AS pix, g.wave, CASE WHEN coalesce(ivar, 0) = 0 THEN 0.0e0
   ELSE fi / ivar END AS flux, coalesce(ivar, 0) AS ivar
-FROM grid g LEFT JOIN total t ON g.SPECID = t.SPECID AND g.k = t.k""", "wave", "flux", "ivar"))
+FROM grid g LEFT JOIN total t ON g.SPECID = t.SPECID AND g.k = t.k"""
+
+
+@query("c10_combined_bands", rounded_sql(with_ctes(*BAND_CTES) + BANDS, "wave", "flux", "ivar"))
 def c10(spark, sf):
     combined = X.combine_exposures(X.mask_exposures(exposures(spark, sf)))
     return rounded(X.combine_bands(combined, POINTS))
