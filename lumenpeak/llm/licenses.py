@@ -2,14 +2,17 @@
 
 The automaton holds every run of words of every template.  A document's words stream
 through it once and give, at each word, the longest run that ends there and occurs in
-some template.  Runs that cannot be prolonged are chained, per template and in order,
-into spans; the share of a template's words that a chain covers is its coverage.
+some template.  Runs that cannot be prolonged give pairs (document place, template place),
+one for each place where the template holds the run; these are chained, per template and
+in order on both sides, into spans; the share of a template's words that a chain covers
+is its coverage.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,23 +65,24 @@ def words_of(text: str | None) -> list[str]:
 class Automaton:
     """Generalised suffix automaton over word numbers.
 
-    ``ends[s]`` maps each template to the place behind one occurrence of the state's
+    ``ends[s]`` maps each template to the places behind all occurrences of the state's
     runs in it; ``phrases[s]`` are the base phrases that end any run of the state.
     """
 
     def __init__(self, texts: list[list[str]], phrases: list[list[str]]):
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in [*texts, *phrases] for w in t))}
         self.next, self.link, self.length = [{}], [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
+        n = len(texts)
         for t, text in enumerate([*texts, *phrases]):
             last = 0
             for at, word in enumerate(text):
                 last = self._extend(last, self.vocabulary[word])
-                self.ends[last][t] = at + 1
+                if t < n:
+                    self.ends[last].setdefault(t, set()).add(at + 1)
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            for t, end in self.ends[s].items():
-                self.ends[self.link[s]].setdefault(t, end)
-        n = len(texts)
+            for t, places in self.ends[s].items():
+                self.ends[self.link[s]].setdefault(t, set()).update(places)
         self.phrases: list[tuple[int, ...]] = [()] * len(self.next)
         own: dict[int, list[int]] = {}
         for i, p in enumerate(phrases):
@@ -89,9 +93,6 @@ class Automaton:
         self.sizes = [len(p) for p in phrases]
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
             self.phrases[s] = (*self.phrases[self.link[s]], *own.get(s, ()))
-        for e in self.ends:
-            for t in [t for t in e if t >= n]:
-                del e[t]
 
     def _state(self, length: int, link: int, moves: dict) -> int:
         self.next.append(moves)
@@ -153,29 +154,54 @@ class Automaton:
         return found, runs
 
 
+def pairs(runs: list[tuple[int, int, int]], machine: Automaton) -> dict[int, dict[int, set[int]]]:
+    """Per template, by document place, the template places that runs give."""
+    out: dict[int, dict[int, set[int]]] = {}
+    for stop, n, state in runs:
+        for t, ends in machine.ends[state].items():
+            found = out.setdefault(t, {})
+            for end in ends:
+                for k in range(1, n + 1):
+                    found.setdefault(stop - k, set()).add(end - k)
+    return out
+
+
+def chained(found: dict[int, set[int]], gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
+    """(words, start, stop) of the best chain that ends at each pair.
+
+    A chain goes up in both places; words of the document that follow each other in it
+    stand at most ``gap`` words apart.  The best has most words, then the latest start.
+    """
+    rows: dict[int, list[tuple[int, int, int]]] = {}
+    out = []
+    for i in sorted(found):
+        before = [x for k in range(i - gap - 1, i) for x in rows.get(k, ())]
+        rows[i] = row = []
+        for j in found[i]:
+            n, a = max([(n, a) for at, n, a in before if at < j], default=(0, i))
+            row.append((j, n + 1, a))
+            out.append((n + 1, a, i + 1))
+    return out
+
+
 def chains(runs: list[tuple[int, int, int]], machine: Automaton, sizes: list[int],
-           gap: int = MAX_GAP) -> list[tuple[int, int, int, float]]:
-    """(template, start, stop, coverage) of runs chained in order, per template.
+           gap: int = MAX_GAP, cover: float = MIN_COVER) -> list[tuple[int, int, int, float]]:
+    """(template, start, stop, coverage) of chains that cover enough of a template.
 
-    A run joins the open chain of its template if it stands behind it in both the
-    document and the template, within the gap; otherwise it opens a new chain.
+    Those of one template do not overlap; the one that covers most is taken first.
     """
-    open_: dict[int, list[int]] = {}
     done = []
-    for stop, n, state in runs:
-        for t, end in machine.ends[state].items():
-            at = end - n
-            c = open_.get(t)
-            if c and stop - n - c[1] <= gap and stop > c[1] and end > c[2]:
-                fresh = min(n, stop - c[1], end - c[2])
-                c[1], c[2], c[3] = stop, end, c[3] + fresh
-            else:
-                if c:
-                    done.append((t, *c))
-                open_[t] = [stop - n, stop, end, n]
-            del at
-    done += [(t, *c) for t, c in open_.items()]
-    return [(t, a, z, min(1.0, covered / sizes[t])) for t, a, z, _, covered in done]
+    for t, found in pairs(runs, machine).items():
+        if len(found) / sizes[t] < cover:
+            continue
+        ends = [x for x in chained(found, gap) if x[0] / sizes[t] >= cover]
+        taken: list[tuple[int, int]] = []
+        for n, a, z in sorted(ends, key=lambda x: (-x[0], x[2], -x[1])):
+            k = bisect(taken, (a, z))
+            if (not k or taken[k - 1][1] <= a) and (k == len(taken) or z <= taken[k][0]):
+                taken.insert(k, (a, z))
+                done.append((t, a, z, n / sizes[t]))
+    return done
 
 
 def build(templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> tuple[Automaton, list, list, list]:
@@ -189,7 +215,7 @@ def scan_text(text: str | None, built) -> tuple:
     machine, names, base_names, sizes = built
     words = words_of(text)
     found, runs = machine.scan(words)
-    spans = [(t, a, z, c) for t, a, z, c in chains(runs, machine, sizes) if c >= MIN_COVER]
+    spans = chains(runs, machine, sizes)
     base = {base_names[p] for _, p in found}
     starts = [a for a, _ in found]
     score = 1.0 if found else max((c for *_, c in spans), default=0.0)

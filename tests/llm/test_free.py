@@ -136,6 +136,49 @@ def test_matching_statistics():
             assert stop == len(words) or tuple(words[stop - n:stop + 1]) not in runs
 
 
+def longest_runs(words, texts):
+    """(start, stop) of runs of two words or more in any template that no other one holds."""
+    grams = {tuple(t[i:j]) for t in texts for i in range(len(t)) for j in range(i + 2, len(t) + 1)}
+    found = [(i, max((j for j in range(i + 2, len(words) + 1) if tuple(words[i:j]) in grams), default=0)) for i in range(len(words))]
+    return [(i, j) for k, (i, j) in enumerate(found) if j > max((z for _, z in found[:k]), default=0)]
+
+
+def best_cover(words, text, runs, gap=licenses.MAX_GAP):
+    """Share of a template in the best chain, every pair of places against every pair before it."""
+    places = sorted({(i + k, at + k) for i, j in runs for at in range(len(text)) if text[at:at + j - i] == words[i:j] for k in range(j - i)})
+    best = {}
+    for i, j in places:
+        best[i, j] = 1 + max((n for (a, b), n in best.items() if a < i and b < j and i - a - 1 <= gap), default=0)
+    return max(best.values(), default=0) / len(text)
+
+
+def test_notices_behind_their_own_phrases():
+    built = licenses.build()
+    rng = random.Random(11)
+    texts = [(label, licenses.words_of(t)) for label, t in licenses.TEMPLATES]
+    label, mit = texts[0]
+    got = licenses.scan_text("applies to the Software. " + licenses.TEMPLATES[0][1], built)
+    assert (got[5], got[6], [s for s in got[7] if s["label"] == "mit"]) == (
+        "mit", 1.0, [{"label": "mit", "start": 4, "stop": 66, "coverage": 1.0}])
+    for label, text in texts:
+        for at in range(0, len(text) - 1, 2):
+            begin = text[at:at + rng.randrange(2, 5)] + ["zzz"] * rng.randrange(3)
+            edited = [w for w in text if rng.random() > 0.06]
+            for k in range(rng.randrange(4)):
+                edited.insert(rng.randrange(len(edited) + 1), rng.choice(text + ["zzz"]))
+            for notice in (text, edited):
+                words = begin + notice
+                got = licenses.scan_text(" ".join(words), built)
+                runs = longest_runs(words, [t for _, t in texts])
+                covers = [(best_cover(words, t, runs), name) for name, t in texts]
+                labels = {name for c, name in covers if c >= licenses.MIN_COVER}
+                assert set(got[5].split(",")) - {""} == labels | set(got[4].split(",")) - {""}
+                assert got[6] == (1.0 if got[1] else max((c for c, name in covers if name in labels), default=0.0))
+                assert notice is edited or label in labels
+    twice = licenses.scan_text("so " + " ".join(mit) + " zzz " + " ".join(mit), built)[7]
+    assert [(s["start"], s["stop"]) for s in twice if s["label"] == "mit"] == [(1, 63), (64, 126)]
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(8)
     lengths = np.array([1, 5, 0, 7])
