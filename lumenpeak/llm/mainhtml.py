@@ -37,8 +37,10 @@ SCHEMA = "page_id {kind}, url string, text string, n_chars bigint, blocks int"
 # the page, block elements, and what an element closes when it opens.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea xmp".split())
-DROPPED = set("head script style noscript template title textarea select option button input svg math iframe object "
+DROPPED = set("head script style noscript template title textarea select option button input svg iframe object "
               "canvas audio video map datalist".split())
+# What may stand in a head; any other start tag, or text, ends a head that is still open.
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
             "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section "
             "summary table tbody td tfoot th thead tr ul".split())
@@ -79,6 +81,9 @@ class Page:
         while True:
             m = TAG.search(source, at)
             text = source[at:m.start()] if m else source[at:]
+            if dropped and tags[stack[-1]] == "head" and text and not text.isspace():
+                stack.pop()
+                dropped -= 1
             if text and not dropped and not text.isspace():
                 node = stack[-1]
                 segments.append((node, html.unescape(text) if "&" in text else text))
@@ -109,6 +114,15 @@ class Page:
                     if name not in BLOCK and tags[stack[k]] in BLOCK:
                         break  # an inline end tag does not close a block
                 continue
+            if dropped and (name in ("head", "body") or tags[stack[-1]] == "head" and name not in IN_HEAD):
+                k = next((k for k, n in enumerate(stack) if tags[n] == "head"), 0)
+                if k and name == "head":
+                    continue  # a second head inside the first
+                if k:
+                    for n in stack[k:]:
+                        links -= tags[n] == "a"
+                        dropped -= tags[n] in DROPPED
+                    del stack[k:]
             if name == "br" and not dropped:
                 segments.append((stack[-1], " "))
             shut, bound = CLOSES.get(name, ({"p"} if name in BLOCK else None, {"button"}))

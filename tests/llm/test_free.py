@@ -239,6 +239,22 @@ def test_html(spark):
     assert mainhtml.extract(page, model) == [body, "Sub", "x", "y"]
 
 
+def test_html_with_an_open_head():
+    model = mainhtml.fit([])
+    text = "<h1>A title</h1><p>One sentence of the article.</p><p>Another sentence, a little longer, for x.</p>"
+    want = ["A title", "One sentence of the article.", "Another sentence, a little longer, for x."]
+    heads = ("<head><meta charset=utf-8><title>No</title><link rel=x><script>no()</script><noscript><img src=x>No</noscript>",
+             "<head><head><title>No</title><style>no</style>", "<head><template><p>No</p></template>", "<head><noscript>No", "<head>")
+    for head in heads:
+        for begin in ("<body>", "</head><body>", "</head>", ""):
+            if begin or not head.endswith("<noscript>No"):
+                for article in (f"<article>{text}</article>", f"<main>{text}</main>"):
+                    assert mainhtml.extract(f"<!DOCTYPE html><html>{head}{begin}{article}</html>", model) == want, (head, begin)
+    assert mainhtml.extract("<head><title>No</title>\n A sentence of text.<p>More.</p>", model) == ["A sentence of text.", "More."]
+    formula = "<p>So <math><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mi>b</mi></mfrac></math> holds in the article.</p>"
+    assert mainhtml.extract(f"<body><article>{formula}</article></body>", model) == ["So a=1b holds in the article."]
+
+
 def test_tree_marginals_are_exact():
     model = mainhtml.Model()
     model.pair = [[0.4, -1.0], [0.2, 0.9]]
