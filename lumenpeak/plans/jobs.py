@@ -49,6 +49,32 @@ def keyed_spectra(spectra: DataFrame) -> DataFrame:
         "SPECID", F.xxhash64(F.to_json(F.struct(*named))))
 
 
+def observed_spectra(spectra: DataFrame) -> DataFrame:
+    """As ``keyed_spectra``, also for observations that are equal in all metadata.
+
+    A row without ``start`` is a spectrum by itself.  Rows with ``start`` that are equal
+    in all metadata are pieces of one spectrum, or, if all have the same ``start``,
+    spectra of one piece each; longer spectra of equal metadata cannot be put together.
+    """
+    named = [c for c in spectra.columns if c not in ARRAYS]
+    # the row's number is given once, so it is written
+    rows = written(spectra.withColumns({
+        "__object": F.col("SPECID"), "__same": F.xxhash64(F.to_json(F.struct(*named))),
+        "__row": F.monotonically_increasing_id()}), "observations")
+    own, key = F.xxhash64("__same", "__row"), F.col("__same")
+    if "start" not in spectra.columns:
+        return rows.withColumn("SPECID", own).drop("__same", "__row")
+    repeated = written(rows.where("start IS NOT NULL").groupBy("__same").agg(
+        F.count("*").alias("__n"), F.countDistinct("start").alias("__starts")).where("__n > __starts"), "repeated")
+    if not repeated.where("__starts > 1").isEmpty():
+        raise ValueError("pieces of several spectra are equal in all metadata and in start; "
+                         "give the spectra a metadata column that tells them apart")
+    rows = rows.join(repeated.select("__same", F.lit(True).alias("__apart")), "__same", "left")
+    return rows.withColumns({
+        "SPECID": F.when(F.col("start").isNull() | F.col("__apart"), own).otherwise(key),
+        "start": F.coalesce("start", F.lit(0))}).drop("__same", "__row", "__apart")
+
+
 def named_again(df: DataFrame) -> DataFrame:
     """Undo ``keyed_spectra``; the key stays as the last column, SPECTRUM."""
     rest = [c for c in df.columns if c not in ("SPECID", "__object")]
@@ -68,7 +94,7 @@ def find_candidates(spectra: DataFrame, params: JobParams) -> DataFrame:
     if params.truth_needed:
         C.require_truth(spectra)
     valid, _ = C.split_valid(spectra)
-    valid = keyed_spectra(valid)
+    valid = observed_spectra(valid)
     metadata = valid.drop("wave", "flux", "ivar", "start", "source").dropDuplicates(["SPECID"])
     pixels = P.to_pixels(valid)
     # peaks feed the candidates, the metrics and the no-peak rows

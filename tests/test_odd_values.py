@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.columns import cut_index
@@ -64,6 +65,31 @@ def test_repeated_and_text_ids(spark, tmp_path):
     assert done.unusable.count() == 1
 
 
+def test_repeated_ids_of_equal_metadata(spark):
+    params = JobParams(mode="candidates", peak_finder_options={"width": 4.0, "min_significance": 8.0})
+
+    def found(df):
+        rows = jobs.find_candidates(df, params).collect()
+        return sorted((r.ASSUMED_LINE, r.Z_TRY or 0.0, r.PEAK_SIGNIFICANCE or 0.0) for r in rows), {r.SPECTRUM for r in rows}
+
+    apart, keys = found(spectra(spark, ["x", "y"]).drop("PLATE"))
+    assert len(keys) == 2 and len(apart) > 2
+    same = spectra(spark, ["x", "x"]).drop("PLATE")
+    for df in (same, same.withColumn("start", F.lit(0)), same.withColumn("start", F.lit(None).cast("long"))):
+        both, keys = found(df)
+        assert both == apart and len(keys) == 2
+    twice, keys = found(same.union(same))  # copies, too
+    assert twice == sorted(apart * 2) and len(keys) == 4
+    pieces = [same.withColumns({c: F.slice(c, at + 1, 200) for c in ("wave", "flux", "ivar")}).withColumn("start", F.lit(at))
+              for at in (0, 200)]
+    pieces = pieces[0].union(pieces[1])
+    one, keys = found(pieces.withColumn("SPECID", F.when(F.col("flux")[0] == same.first().flux[0], "x").when(
+        F.col("flux")[0] == same.first().flux[200], "x").otherwise("y")))
+    assert one == apart and len(keys) == 2
+    with pytest.raises(ValueError):
+        jobs.find_candidates(pieces, params)
+
+
 def test_spectra_off_the_break_grid_keep_their_peaks(spark):
     rows = []
     for s, start in enumerate((3000, 4000, 9000)):

@@ -9,7 +9,9 @@ from lumenpeak.functions.shared import written
 from lumenpeak.operators import candidates as C
 from lumenpeak.operators import continuum as K
 from lumenpeak.operators import peaks as P
-from lumenpeak.plans.params import peak_finder
+from lumenpeak.plans import jobs
+from lumenpeak.plans.params import JobParams, peak_finder
+from lumenpeak.sources.writers import to_spectra
 from workload.views import (MEMBERS, METRICS, MIN_SIG, PIXELS, TRIALS, TRUTH, WIDTH, lines_sql,
                             num, peaks_sql, pixels, query, rounded, rounded_sql, smoothed_sql,
                             table, truth, truth_flags_sql, with_ctes)
@@ -248,6 +250,20 @@ def k8(spark, sf):
 # --- candidates -------------------------------------------------------------
 
 
+@query("d1_repeated_ids", with_ctes(*PEAKS_CTES, TRIALS) + """
+SELECT SPECID // 2 AS SPECID, count(DISTINCT SPECID) AS n_spectra, count(*) FILTER (n = 0) AS n_none, sum(n)::BIGINT AS n_tried
+FROM (SELECT SPECID, count(try_order) AS n FROM (SELECT DISTINCT SPECID FROM pixels) LEFT JOIN trials USING (SPECID)
+  GROUP BY SPECID) GROUP BY ALL""")
+def repeated_ids(spark, sf):
+    """Two spectra of each object, equal in all metadata, are treated one by one."""
+    spectra = to_spectra(pixels(spark, sf)).withColumn("SPECID", F.expr("SPECID div 2"))
+    params = JobParams(mode="candidates", peak_finder_options={"width": WIDTH, "min_significance": MIN_SIG})
+    none = F.col("ASSUMED_LINE") == "none"
+    return jobs.find_candidates(spectra, params).groupBy("SPECID").agg(
+        F.countDistinct("SPECTRUM").alias("n_spectra"), F.count_if(none).alias("n_none"),
+        F.count_if(~none).alias("n_tried"))
+
+
 @query("d1_trial_redshifts", rounded_sql(with_ctes(*PEAKS_CTES, TRIALS) + """
 SELECT SPECID, peak_pix, try_order, ASSUMED_LINE, Z_TRY, PEAK_SIGNIFICANCE FROM trials""",
                                          "Z_TRY", "PEAK_SIGNIFICANCE"))
