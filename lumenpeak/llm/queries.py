@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenpeak.llm import (
-    chat, decontam, licenses, mainhtml, mixing, quality, sharding, simhash, toxicity, warc)
+    chat, convtrie, decontam, lexical, licenses, mainhtml, mixing, quality, sharding, simhash, toxicity, warc, weighted)
 from lumenpeak.llm.common import TERM, WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,59 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     return mainhtml.extracted(pages, mainhtml.fit(mainhtml.sample(pages))).drop("blocks")
+
+
+RANKED_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '{TERM}') ws FROM documents),
+n AS (SELECT rid, doc_id, ws, len(ws)::BIGINT n FROM d WHERE len(ws) > 0),
+g AS (SELECT count(*)::BIGINT big, sum(n)::BIGINT total FROM n),
+q AS (SELECT q, item_id, unnest(list_distinct(ws)) t FROM (
+  SELECT row_number() OVER () AS q, item_id, regexp_extract_all({LOWER}, '{TERM}') ws FROM benchmark)),
+tf AS (SELECT rid, t, count(*)::BIGINT tf FROM (SELECT rid, unnest(ws) t FROM n) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(big) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT w FROM tf, g GROUP BY t),
+i AS (SELECT rid, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big) // total))) v
+  FROM tf JOIN w USING (t) JOIN n USING (rid), g),
+s AS (SELECT q, item_id, rid, doc_id, sum(v)::BIGINT score FROM q JOIN i USING (t) JOIN n USING (rid) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) k FROM s WHERE score > 0)
+SELECT item_id, k::INT AS "rank", doc_id, score FROM r WHERE k <= {lexical.TOP}"""
+
+
+@query("op11_lexical_search", RANKED_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return weighted.fingerprinted(table(spark, sf, "documents"))
+
+
+# crc32 of the decimal digits, bit by bit: 3988292384 is the reversed polynomial
+CRC_SQL = """xor(list_reduce([4294967295::BIGINT] || flatten([[(ascii(x) >> b) & 1 FOR b IN [0, 1, 2, 3, 4, 5, 6, 7]]
+  FOR x IN string_split(conv_id::VARCHAR, '')])::BIGINT[],
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::BIGINT)"""
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') r, coalesce(text, '') x, row_number() OVER (
+  PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) k FROM conversations),
+c AS (SELECT conv_id, coalesce({CRC_SQL} % 6, 0) h FROM (SELECT DISTINCT conv_id FROM conversations)),
+b AS (SELECT c.conv_id, 0 part, k, r, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, r, x FROM c JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id WHERE k > h),
+p AS (SELECT c.conv_id, coalesce(list(sha256(length(r) || ':' || r || x) ORDER BY part, k) FILTER (r IS NOT NULL), []) p,
+  coalesce(list(length(x)::BIGINT ORDER BY part, k) FILTER (r IS NOT NULL), []) n
+  FROM c LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id GROUP BY c.conv_id),
+m AS (SELECT *, p[:d] AS node, d = len(p) ends FROM (SELECT *, unnest(range(0, len(p) + 1)) d FROM p)),
+v AS (SELECT node, any_value(d) depth, min(conv_id) conv_id, count(*)::BIGINT n_convs, any_value(n[d]) size,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) ends_sha256
+  FROM m GROUP BY node),
+k AS (SELECT node[:-2] AS node, count(*)::BIGINT n_children FROM v WHERE depth > 0 GROUP BY 1),
+u AS (SELECT v.*, coalesce(n_children, 0)::BIGINT n_children FROM v LEFT JOIN k USING (node)),
+s AS (SELECT node[:a] AS node, sum((n_convs - 1) * coalesce(size, 0))::BIGINT saved_tokens,
+  count(*) FILTER (n_children = 0)::BIGINT n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) a FROM u) GROUP BY 1)
+SELECT u.conv_id, u.depth::BIGINT AS depth, o.conv_id parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens,
+  u.ends_sha256 FROM u JOIN s USING (node) LEFT JOIN v o ON u.depth > 0 AND o.node = u.node[:-2]"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return convtrie.nodes(table(spark, sf, "conversations"))
