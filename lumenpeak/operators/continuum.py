@@ -10,7 +10,7 @@ Spectra that have settled drop out of later rounds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lumenpeak.functions.columns import bound, literal_array, ratio, with_cut_index
+from lumenpeak.functions.columns import bound, ratio
 from lumenpeak.functions.constants import POWER_LAW_MIN_SIGNIFICANCE
 from lumenpeak.functions.shared import written, written_round
 from lumenpeak.operators.halo import CHUNK
@@ -28,8 +28,8 @@ from lumenpeak.operators.packedfits import broken_power_law_of, fitter, power_la
 # conditioned; it cancels in the results.
 LOG_ORIGIN = 8.5
 
-# Break points tried by the broken power law.
-BREAK_GRID = tuple(4200.0 + 100.0 * i for i in range(47))
+# Steps of least squares in flux that follow the start of each broken fit.
+FLUX_STEPS = 2
 
 _CLIPS = "ARRAY<STRUCT<amplitude: DOUBLE, power_index: DOUBLE>>"
 
@@ -88,7 +88,7 @@ def _by_length(pixels: DataFrame, one: Callable, schema: str, rounds: Callable,
                chunk: int) -> DataFrame:
     """Fits of the spectra of at most ``chunk`` pixels, each in its row by ``one``, and
     of the longer ones by ``rounds``."""
-    pixels = pixels.select("SPECID", "wave", F.nanvl("flux", F.lit(None)).alias("flux"), "ivar")
+    pixels = pixels.select("SPECID", "pix", "wave", F.nanvl("flux", F.lit(None)).alias("flux"), "ivar")
     sizes = pixels.groupBy("SPECID").agg(F.count("*").alias("n"))
     long = written(sizes.where(F.col("n") > chunk).select("SPECID"), "long-spectra")
     some = not long.isEmpty()
@@ -219,140 +219,135 @@ def broken_power_law(wave: Column) -> Column:
 _BROKEN_POWER_LAW = ("f.amplitude * CASE WHEN wave < f.break_wave "
                      "THEN pow(wave / f.break_wave, -f.blue_index) "
                      "ELSE pow(wave / f.break_wave, -f.red_index) END")
-_BROKEN_CLIP = ("ARRAY<STRUCT<amplitude: DOUBLE, blue_index: DOUBLE, red_index: DOUBLE, "
-                "break_wave: DOUBLE>>")
+_BROKEN_FIT = "amplitude: DOUBLE, blue_index: DOUBLE, red_index: DOUBLE, break_wave: DOUBLE"
+_BROKEN_CLIP = f"ARRAY<STRUCT<{_BROKEN_FIT}>>"
 # Pixels the broken power law starts from.
-_STARTS = "coalesce(ivar <> 0 AND flux >= 0, false)"
+_STARTS = f"coalesce(ivar > 0 AND flux >= 0, false) AND {_finite('flux')} AND {_finite('ivar')}"
 _FIT = ("amplitude", "blue_index", "red_index", "break_wave")
+_SUMS = {"n": "1D", "sw": "w", "sx": "w * x", "sxx": "w * x * x", "sz": "w * z", "sxz": "w * x * z",
+         "szz": "w * z * z"}
 
 
-def _break_cells(pixels: DataFrame, min_significance: float,
-                 breaks: Sequence[float]) -> DataFrame:
-    """Regression sums per (SPECID, cell between neighbouring break points).
+def _two_lines(points: DataFrame, chunk: int) -> DataFrame:
+    """(SPECID, fit): the continuous pair of lines through (x, z) with the least misfit.
 
-    The sums of both sides of every break follow from these few cells, so pixels
-    are aggregated once per round instead of once per break.  ``chi2`` is that of
-    the newest accepted fit over the pixels it keeps.
+    Sums before a point run inside its chunk and are shifted by those of earlier
+    chunks.  Every point is a split: it begins the right part.  The best pair of a
+    split meets in the gap before the point, or at the point; both are closed forms.
+    ``pix`` must number the pixels in order of wavelength.
     """
-    newest = _BROKEN_POWER_LAW.replace("f.", "last.")
-    kept = pixels.selectExpr("*", "try_element_at(clips, -1) AS last").withColumn(
-        "kept", F.expr(_STARTS) & _kept(_BROKEN_POWER_LAW, min_significance))
-    use = "kept AND flux > 0 AND ivar > 0"
-    kept = kept.selectExpr(
-        "SPECID", "wave", f"CASE WHEN {use} THEN ivar * ivar END AS w",
-        f"CASE WHEN {use} THEN ln(wave) - {LOG_ORIGIN}D END AS x",
-        f"CASE WHEN {use} THEN ln(flux) END AS y",
-        f"CASE WHEN kept THEN (flux - {newest}) * (flux - {newest}) * ivar END AS r")
-    # descending cuts: the first one at or below wave numbers the cell
-    descending = sorted(breaks, reverse=True)
-    kept = with_cut_index(kept, "above", "wave", descending, ">=").withColumn(
-        "cell", F.lit(len(breaks)) - F.col("above"))
-    return kept.groupBy("SPECID", "cell").agg(*[F.expr(e) for e in (
-        "count(w) AS n", "sum(w) AS sw", "sum(w * x) AS sx", "sum(w * x * x) AS sxx",
-        "sum(w * y) AS sy", "sum(w * x * y) AS sxy", "sum(w * y * y) AS syy",
-        "sum(r) AS chi2")])
-
-
-_SUMS = ("n", "sw", "sx", "sxx", "sy", "sxy", "syy")
-
-
-def _best_break(cells: DataFrame, breaks: Sequence[float]) -> DataFrame:
-    """Break with the least chi squared in log flux, and its three parameters."""
-    count = len(breaks)
+    points = points.selectExpr("SPECID", f"pix div {chunk} AS chunk", "pix", "x",
+                               *[f"{sql} AS {name}" for name, sql in _SUMS.items()])
+    chunks = points.groupBy("SPECID", "chunk").agg(
+        *[F.sum(c).alias(f"c_{c}") for c in _SUMS], F.max("x").alias("c_x"))
+    earlier = Window.partitionBy("SPECID").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("SPECID")
-    ordered = whole.orderBy("cell")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    sides = cells.withColumns({
-        **{f"l_{s}": F.sum(F.coalesce(F.col(s), F.lit(0))).over(upto) for s in _SUMS},
-        **{f"t_{s}": F.sum(F.coalesce(F.col(s), F.lit(0))).over(whole) for s in _SUMS},
-        "chi2": F.sum("chi2").over(whole),
-        "next": F.coalesce(F.lead("cell").over(ordered), F.lit(count)),
-    })
-    # break k splits cells < k from the rest; with no pixel in between, several
-    # breaks share the same split
-    tried = (sides.where("next > cell")
-             .withColumn("k", F.explode(F.sequence(F.col("cell") + 1, F.col("next"))))
-             .where(f"k <= {count} AND l_n >= 2 AND t_n - l_n >= 2")
-             .withColumn("break_wave", F.element_at(literal_array(sorted(breaks)), F.col("k"))))
-    tried = bound(tried, lb=f"ln(break_wave) - {LOG_ORIGIN}D",
-                  **{f"r_{s}": f"t_{s} - l_{s}" for s in _SUMS})
-    # hinge sums of each side: p = x - lb on that side, 0 on the other
-    tried = bound(tried, **{
-        name: sql.replace("?", side) for side in "lr" for name, sql in (
-            (f"{side}p", "?_sx - lb * ?_sw"),
-            (f"{side}pp", "?_sxx - 2 * lb * ?_sx + lb * lb * ?_sw"),
-            (f"{side}py", "?_sxy - lb * ?_sy"))})
-    tried = bound(tried, level="""try_divide(
-        t_sy - try_divide(lp * lpy, lpp) - try_divide(rp * rpy, rpp),
-        t_sw - try_divide(lp * lp, lpp) - try_divide(rp * rp, rpp))""")
-    tried = bound(tried, m1="try_divide(lpy - level * lp, lpp)",
-                  m2="try_divide(rpy - level * rp, rpp)")
-    solved = bound(tried, misfit="t_syy - level * t_sy - m1 * lpy - m2 * rpy")
-    best = Window.partitionBy("SPECID").orderBy("misfit", "k")
-    return (solved.where(_finite("misfit"))
-            .withColumn("rank", F.row_number().over(best)).where("rank = 1")
-            .selectExpr("SPECID", "exp(level) AS fit_amplitude", "-m1 AS fit_blue_index",
-                        "-m2 AS fit_red_index", "break_wave AS fit_break_wave", "misfit"))
-
-
-def fit_broken_power_law_once(pixels: DataFrame,
-                              breaks: Sequence[float] = BREAK_GRID) -> DataFrame:
-    """One unclipped fit per spectrum: (SPECID, fit_amplitude, fit_..., misfit)."""
-    cells = _break_cells(pixels.withColumn("clips", F.expr(f"CAST(array() AS {_BROKEN_CLIP})")),
-                         POWER_LAW_MIN_SIGNIFICANCE, breaks)
-    return _best_break(cells, breaks)
+    shifts = chunks.select(
+        "SPECID", "chunk", *[F.coalesce(F.sum(f"c_{c}").over(earlier), F.lit(0.0)).alias(f"b_{c}") for c in _SUMS],
+        *[F.sum(f"c_{c}").over(whole).alias(f"t_{c}") for c in _SUMS], F.max("c_x").over(earlier).alias("b_x"))
+    inside = Window.partitionBy("SPECID", "chunk").orderBy("pix")
+    running = points.select(
+        "SPECID", "chunk", "x", F.lag("x").over(inside).alias("p_x"),
+        *[F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"i_{c}")
+          for c in _SUMS])
+    sides = running.join(shifts, ["SPECID", "chunk"]).select(
+        "SPECID", "x", F.coalesce("p_x", "b_x").alias("p_x"), *[F.col(f"t_{c}") for c in _SUMS],
+        *[(F.col(f"i_{c}") + F.col(f"b_{c}")).alias(f"l_{c}") for c in _SUMS])
+    sides = bound(sides.where("l_n >= 2 AND t_n - l_n >= 2"), **{f"r_{c}": f"t_{c} - l_{c}" for c in _SUMS})
+    each = {name + s: sql.replace("?", s) for s in "lr" for name, sql in (
+        ("slope_", "try_divide(?_sw * ?_sxz - ?_sx * ?_sz, ?_sw * ?_sxx - ?_sx * ?_sx)"),
+        ("p_", "?_sx - x * ?_sw"), ("pp_", "?_sxx - 2 * x * ?_sx + x * x * ?_sw"), ("pz_", "?_sxz - x * ?_sz"))}
+    sides = bound(sides, **each)
+    sides = bound(sides, **{f"level_{s}": f"try_divide({s}_sz - slope_{s} * {s}_sx, {s}_sw)" for s in "lr"},
+                  level="""try_divide(
+        t_sz - try_divide(p_l * pz_l, pp_l) - try_divide(p_r * pz_r, pp_r),
+        t_sw - try_divide(p_l * p_l, pp_l) - try_divide(p_r * p_r, pp_r))""")
+    sides = bound(sides, meet="try_divide(level_l - level_r, slope_r - slope_l)",
+                  blue="try_divide(pz_l - level * p_l, pp_l)", red="try_divide(pz_r - level * p_r, pp_r)")
+    sides = bound(sides, free="""CASE WHEN meet > p_x AND meet <= x THEN l_szz - level_l * l_sz - slope_l * l_sxz
+        + r_szz - level_r * r_sz - slope_r * r_sxz END""",
+                  held="t_szz - level * t_sz - blue * pz_l - red * pz_r")
+    # all free meetings go before meetings at a point of the same misfit
+    pair = "named_struct('misfit', {}, 'kind', {}, 'level', {}, 'blue', {}, 'red', {}, 'at', {})".format
+    pairs = sides.selectExpr("SPECID", "x", "inline(array(" + pair(
+        "free", 0, "level_l + slope_l * meet", "slope_l", "slope_r", "meet") + ", " + pair(
+        "held", 1, "level", "blue", "red", "x") + "))")
+    pairs = pairs.where(_finite("misfit"))
+    return pairs.groupBy("SPECID").agg(F.min_by(
+        F.struct(F.exp("level").alias("amplitude"), (-F.col("blue")).alias("blue_index"),
+                 (-F.col("red")).alias("red_index"), F.exp(F.col("at") + LOG_ORIGIN).alias("break_wave")),
+        F.struct("misfit", "kind", "x")).alias("fit"))
+
+
+def _refit(kept: DataFrame, chunk: int) -> DataFrame:
+    """(SPECID, fit): least squares in flux over the kept pixels from their column
+    ``fit``, or from a fit in the logarithm of the flux where that is NULL."""
+    x = f"ln(wave) - {LOG_ORIGIN}D AS x"
+    fits = written(kept.groupBy("SPECID").agg(F.any_value("fit").alias("fit")), "broken-starts")
+    bare = kept.where("fit IS NULL AND flux > 0").selectExpr(
+        "SPECID", "pix", x, "ln(flux) AS z", "ivar * flux * flux AS w")
+    if not fits.where("fit IS NULL").isEmpty():
+        begun = _two_lines(bare, chunk)
+        fits = written(fits.where("fit IS NOT NULL").union(begun), "broken-starts")
+    pixels = kept.drop("fit")
+    model = _BROKEN_POWER_LAW.replace("f.", "fit.")
+    for _ in range(FLUX_STEPS):
+        modelled = pixels.join(fits, "SPECID").selectExpr("*", f"{model} AS model")
+        tried = written(_two_lines(modelled.selectExpr(
+            "SPECID", "pix", x, "ln(model) + (flux - model) / model AS z", "ivar * model * model AS w"), chunk),
+            "broken-steps")
+        both = modelled.join(tried.withColumnRenamed("fit", "next"), "SPECID")
+        ahead = _BROKEN_POWER_LAW.replace("f.", "next.")
+        gains = both.groupBy("SPECID").agg(
+            F.sum(F.expr("ivar * pow(flux - model, 2)")).alias("now"),
+            F.sum(F.expr(f"ivar * pow(flux - {ahead}, 2)")).alias("then"), F.any_value("next").alias("next"))
+        fits = written(fits.join(gains.where("then < now").select("SPECID", "next"), "SPECID", "left").select(
+            "SPECID", F.coalesce("next", "fit").alias("fit")), "broken-fits")
+    return fits
 
 
 def fit_broken_power_law(pixels: DataFrame, min_significance: float = POWER_LAW_MIN_SIGNIFICANCE,
-                         breaks: Sequence[float] = BREAK_GRID, chunk: int = CHUNK) -> DataFrame:
+                         chunk: int = CHUNK, once: bool = False) -> DataFrame:
     """Clip and refit while chi squared over the kept pixels keeps falling.
 
-    Returns (SPECID, amplitude, blue_index, red_index, break_wave, clips).
+    Returns (SPECID, amplitude, blue_index, red_index, break_wave, clips).  The break
+    lies anywhere between two pixels of the spectrum, found exactly; ``once`` gives the
+    first fit, of all pixels.
     """
     return _by_length(
-        pixels, lambda *arrays: broken_power_law_of(*arrays, min_significance, LOG_ORIGIN, breaks),
+        pixels, lambda *arrays: broken_power_law_of(*arrays, min_significance, LOG_ORIGIN, FLUX_STEPS, once),
         f"{', '.join(f'{c} DOUBLE' for c in _FIT)}, clips {_BROKEN_CLIP}",
-        lambda long: _broken_rounds(long, min_significance, breaks), chunk)
-
-
-def _broken_rounds(pixels: DataFrame, min_significance: float,
-                   breaks: Sequence[float]) -> DataFrame:
-    state, done = None, []
-    while True:
-        if state is None:
-            source = pixels.withColumn("clips", F.expr(f"CAST(array() AS {_BROKEN_CLIP})"))
-        else:
-            source = pixels.join(state.select("SPECID", "clips"), "SPECID")
-        cells = _break_cells(source, min_significance, breaks)
-        if state is not None:
-            cells = written(cells, "break-cells")
-        fitted = _best_break(cells, breaks)
-        clip = F.struct(*[F.col(f"fit_{c}").alias(c) for c in _FIT])
-        if state is None:
-            stepped = fitted.select("SPECID", F.array(clip).alias("clips"),
-                                    F.lit(None).cast("double").alias("best_chi2"),
-                                    F.lit(False).alias("settled"))
-        else:
-            # chi2 of the newest fit is known only now; it must beat the one before
-            chi2 = cells.groupBy("SPECID").agg(F.sum("chi2").alias("new_chi2"))
-            both = state.join(chi2, "SPECID", "left").join(fitted, "SPECID", "left")
-            first = F.col("best_chi2").isNull()
-            near = (F.abs(F.col("new_chi2") - F.col("best_chi2"))
-                    <= 1e-8 + 1e-5 * F.abs("best_chi2"))
-            better = first | F.coalesce(~near & (F.col("new_chi2") < F.col("best_chi2")),
-                                        F.lit(False))
-            refit = better & F.col("fit_amplitude").isNotNull()
-            stepped = both.select(
-                "SPECID",
-                F.when(refit, F.array_append("clips", clip)).when(better, F.col("clips"))
-                .otherwise(F.slice("clips", F.lit(1), F.size("clips") - 1)).alias("clips"),
-                F.when(better, F.coalesce("new_chi2", F.lit(0.0)))
-                .otherwise(F.col("best_chi2")).alias("best_chi2"),
-                (~refit).alias("settled"))
-        settled, state, left = written_round(stepped, "broken-power-law-round", "settled")
-        done.append(settled)
+        lambda long: _broken_rounds(long, min_significance, chunk, once), chunk)
+
+
+def _broken_rounds(pixels: DataFrame, min_significance: float, chunk: int, once: bool) -> DataFrame:
+    def kept_by(state: DataFrame) -> DataFrame:
+        return pixels.join(state.select("SPECID", "clips"), "SPECID").where(_STARTS).where(
+            _kept(_BROKEN_POWER_LAW, min_significance))
+
+    first = pixels.where(_STARTS).withColumn("fit", F.lit(None).cast(f"struct<{_BROKEN_FIT}>"))
+    state = written(_refit(first, chunk).select(
+        "SPECID", F.array("fit").alias("clips"), F.lit(None).cast("double").alias("best_chi2")), "broken-state")
+    done = [state.select("SPECID", "clips")] if once else []
+    while not once:
+        newest = _BROKEN_POWER_LAW.replace("f.", "last.")
+        kept = kept_by(state).withColumn("last", F.expr("try_element_at(clips, -1)"))
+        chi2 = kept.groupBy("SPECID").agg(F.sum(F.expr(f"pow(flux - {newest}, 2) * ivar")).alias("new_chi2"))
+        # chi2 of the newest fit is known only now; it must beat the one before
+        near = F.abs(F.col("new_chi2") - F.col("best_chi2")) <= 1e-8 + 1e-5 * F.abs("best_chi2")
+        better = F.col("best_chi2").isNull() | F.coalesce(
+            ~near & (F.col("new_chi2") < F.col("best_chi2")), F.lit(False))
+        judged = state.join(chi2, "SPECID", "left").select(
+            "SPECID", F.when(better, F.col("clips")).otherwise(F.slice("clips", F.lit(1), F.size("clips") - 1)).alias("clips"),
+            F.when(better, F.coalesce("new_chi2", F.lit(0.0))).otherwise(F.col("best_chi2")).alias("best_chi2"),
+            (~better | F.col("new_chi2").isNull()).alias("settled"))
+        settled, state, left = written_round(judged, "broken-power-law-round", "settled")
+        done.append(settled.select("SPECID", "clips"))
         if not left:
             break
+        again = _refit(kept_by(state).withColumn("fit", F.expr("try_element_at(clips, -1)")).drop("clips"), chunk)
+        state = written(state.join(again, "SPECID").select(
+            "SPECID", F.array_append("clips", F.col("fit")).alias("clips"), "best_chi2"), "broken-state")
     fits = reduce(DataFrame.unionByName, done)
     last = F.element_at("clips", F.lit(-1))
     return fits.where(F.size("clips") > 0).select(
@@ -372,11 +367,10 @@ def broken_power_law_pixels(pixels: DataFrame, fits: DataFrame,
 
 def find_broken_power_law_peaks(pixels: DataFrame,
                                 min_significance: float = POWER_LAW_MIN_SIGNIFICANCE,
-                                breaks: Sequence[float] = BREAK_GRID,
                                 chunk: int = CHUNK) -> DataFrame:
-    """Peaks above the broken power law; where no break of the grid has pixels on both
-    sides, above the plain one, so that no spectrum is left out."""
-    fits = fit_broken_power_law(pixels, min_significance, breaks, chunk)
+    """Peaks above the broken power law; where no break has two pixels on both sides,
+    above the plain one, so that no spectrum is left out."""
+    fits = fit_broken_power_law(pixels, min_significance, chunk)
     above = broken_power_law_pixels(pixels, fits, min_significance)
     bare = pixels.join(fits.select("SPECID"), "SPECID", "left_anti")
     if not bare.isEmpty():

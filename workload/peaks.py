@@ -134,37 +134,71 @@ def k6(spark, sf):
     return rounded(K.find_power_law_peaks(stored_pixels(spark, sf), CLIP), "significance")
 
 
-def _broken_sql() -> str:
-    """Direct form: every break tried against every pixel of its spectrum."""
-    breaks = ", ".join(num(b) for b in K.BREAK_GRID)
-    return with_ctes(PIXELS, f"""breaks AS (SELECT unnest([{breaks}]) AS brk)""",
-                     """pts AS (SELECT SPECID, wave, ln(wave) - 8.5e0 AS x, ln(flux) AS y,
-    ivar * ivar AS w FROM pixels WHERE flux > 0 AND ivar > 0)""",
-                     """hinge AS (SELECT SPECID, brk, y, w,
-    CASE WHEN wave < brk THEN x - (ln(brk) - 8.5e0) ELSE 0 END AS p,
-    CASE WHEN wave >= brk THEN x - (ln(brk) - 8.5e0) ELSE 0 END AS q,
-    wave < brk AS is_left FROM pts, breaks)""",
-                     """s AS (SELECT SPECID, brk, sum(w) AS sw, sum(w*p) AS sp, sum(w*p*p) AS spp,
-    sum(w*q) AS sq, sum(w*q*q) AS sqq, sum(w*y) AS sy, sum(w*p*y) AS spy, sum(w*q*y) AS sqy,
-    sum(w*y*y) AS syy FROM hinge GROUP BY ALL
-  HAVING count(*) FILTER (is_left) >= 2 AND count(*) FILTER (NOT is_left) >= 2)""",
-                     """solved AS (SELECT *, (sy - sp*spy/spp - sq*sqy/sqq)
-    / (sw - sp*sp/spp - sq*sq/sqq) AS lv FROM s)""",
-                     """slopes AS (SELECT *, (spy - lv*sp)/spp AS m1, (sqy - lv*sq)/sqq AS m2
-  FROM solved)""",
-                     """ranked AS (SELECT *, syy - lv*sy - m1*spy - m2*sqy AS misfit FROM slopes)"""
-                     ) + """SELECT SPECID, brk AS break_wave, exp(lv) AS amplitude,
-  -m1 AS blue_index, -m2 AS red_index FROM (SELECT *, row_number() OVER (
-    PARTITION BY SPECID ORDER BY misfit, brk) AS r FROM ranked) WHERE r = 1"""
-
-
-@query("k7_broken_power_law_fit", rounded_sql(_broken_sql(), "amplitude", "blue_index",
-                                              "red_index"))
+# Slopes of short segments lose digits to cancellation; so many decimals are compared.
+BROKEN_DIGITS, ABOVE_DIGITS = 2, 3
+# A broken fit in SQL is a struct: level at the break, slopes on its two sides, and the break,
+# all in logarithms.
+_LINES = {"n": "count(*)", "sw": "sum(w)", "sx": "sum(w*x)", "sxx": "sum(w*x*x)", "sz": "sum(w*z)",
+          "sxz": "sum(w*x*z)", "szz": "sum(w*z*z)"}
+
+
+def two_lines_sql(name: str, points: str) -> list[str]:
+    """CTE ``name`` (SPECID, fit): the best continuous pair of lines through points (SPECID, x, z, w)."""
+    left = ", ".join(f"{sql} OVER l AS l_{c}, {sql} OVER r AS r_{c}" for c, sql in _LINES.items())
+    fits = ", ".join(f"({s}_sw*{s}_sxz - {s}_sx*{s}_sz) / ({s}_sw*{s}_sxx - {s}_sx*{s}_sx) AS m_{s}, "
+                     f"{s}_sx - x*{s}_sw AS p_{s}, {s}_sxx - 2*x*{s}_sx + x*x*{s}_sw AS pp_{s}, "
+                     f"{s}_sxz - x*{s}_sz AS pz_{s}" for s in "lr")
+    return [f"""{name}a AS (SELECT SPECID, x, lag(x) OVER (PARTITION BY SPECID ORDER BY x) AS x0, {left} FROM ({points})
+  WINDOW l AS (PARTITION BY SPECID ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    r AS (PARTITION BY SPECID ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+            f"""{name}b AS (SELECT *, (l_sz - m_l*l_sx) / l_sw AS c_l, (r_sz - m_r*r_sx) / r_sw AS c_r,
+    (l_sz + r_sz - p_l*pz_l/pp_l - p_r*pz_r/pp_r) / (l_sw + r_sw - p_l*p_l/pp_l - p_r*p_r/pp_r) AS lv
+  FROM (SELECT *, {fits} FROM {name}a WHERE l_n >= 2 AND r_n >= 2))""",
+            f"""{name}c AS (SELECT *, (c_l - c_r) / (m_r - m_l) AS br, (pz_l - lv*p_l) / pp_l AS h_l,
+    (pz_r - lv*p_r) / pp_r AS h_r FROM {name}b)""",
+            f"""{name}d AS (SELECT SPECID, x, 0 AS kind, {{'lv': c_l + m_l*br, 'm1': m_l, 'm2': m_r, 'br': br}} AS fit,
+    l_szz - c_l*l_sz - m_l*l_sxz + r_szz - c_r*r_sz - m_r*r_sxz AS miss FROM {name}c WHERE br > x0 AND br <= x
+  UNION ALL SELECT SPECID, x, 1, {{'lv': lv, 'm1': h_l, 'm2': h_r, 'br': x}},
+    l_szz + r_szz - lv*(l_sz + r_sz) - h_l*pz_l - h_r*pz_r FROM {name}c)""",
+            f"""{name} AS MATERIALIZED (SELECT SPECID, arg_min(fit, {{'miss': miss, 'kind': kind, 'x': x}}) AS fit
+  FROM {name}d WHERE isfinite(miss) GROUP BY SPECID)"""]
+
+
+def _log_model(f: str) -> str:
+    return f"({f}.lv + CASE WHEN x < {f}.br THEN {f}.m1 ELSE {f}.m2 END * (x - {f}.br))"
+
+
+def flux_steps_sql(i: str, mask: str, start: str) -> list[str]:
+    """CTE ``fit{i}`` (SPECID, fit): least squares in flux over the kept pixels of ``mask``, from the fits of ``start``."""
+    parts, now = [], start
+    for k in range(K.FLUX_STEPS):
+        name = f"s{i}_{k}"
+        parts += [f"""{name}m AS MATERIALIZED (SELECT m.SPECID, x, flux, ivar, f.fit, {_log_model('f.fit')} AS lm
+  FROM {mask} m JOIN {now} f USING (SPECID) WHERE kept)""",
+                  *two_lines_sql(name, f"SELECT SPECID, x, lm + (flux - exp(lm)) / exp(lm) AS z, "
+                                       f"ivar * exp(lm) * exp(lm) AS w FROM {name}m"),
+                  f"""{name}g AS (SELECT m.SPECID, any_value(t.fit) AS fit, sum(ivar * (flux - exp(lm))**2) AS now,
+    sum(ivar * (flux - exp({_log_model('t.fit')}))**2) AS next FROM {name}m m JOIN {name} t USING (SPECID) GROUP BY ALL)""",
+                  f"""{name}f AS MATERIALIZED (SELECT SPECID, CASE WHEN g.next < g.now THEN g.fit ELSE f.fit END AS fit
+  FROM {now} f LEFT JOIN {name}g g USING (SPECID))"""]
+        now = f"{name}f"
+    return [*parts, f"fit{i} AS (SELECT * FROM {now})"]
+
+
+def first_broken_sql() -> list[str]:
+    return [PIXELS, f"""mask0 AS MATERIALIZED (SELECT *, ln(wave) - {num(K.LOG_ORIGIN)} AS x,
+    coalesce(ivar > 0 AND flux >= 0, false) AS kept FROM pixels)""",
+            *two_lines_sql("start", "SELECT SPECID, x, ln(flux) AS z, ivar*flux*flux AS w FROM mask0 WHERE kept AND flux > 0"),
+            *flux_steps_sql("0", "mask0", "start")]
+
+
+@query("k7_broken_power_law_fit", rounded_sql("WITH " + ",\n".join(first_broken_sql()) + f"""
+SELECT SPECID, exp(fit.br + {num(K.LOG_ORIGIN)}) AS break_wave, exp(fit.lv) AS amplitude, -fit.m1 AS blue_index,
+  -fit.m2 AS red_index FROM fit0""", "break_wave", "amplitude", "blue_index", "red_index",
+    digits=BROKEN_DIGITS))
 def k7_fit(spark, sf):
-    return rounded(K.fit_broken_power_law_once(pixels(spark, sf)).select(
-        "SPECID", F.col("fit_break_wave").alias("break_wave"),
-        F.col("fit_amplitude").alias("amplitude"), F.col("fit_blue_index").alias("blue_index"),
-        F.col("fit_red_index").alias("red_index")), "amplitude", "blue_index", "red_index")
+    return rounded(K.fit_broken_power_law(pixels(spark, sf), once=True).select(
+        "SPECID", "break_wave", "amplitude", "blue_index", "red_index"), digits=BROKEN_DIGITS)
 
 
 def broken_loop_sql(min_sig: float, rounds: int) -> str:
@@ -173,59 +207,34 @@ def broken_loop_sql(min_sig: float, rounds: int) -> str:
     A fit whose chi squared is no gain is dropped again, so pixels carry the mask
     with (kept) and without (prev) the newest fit of their spectrum.
     """
-    breaks = ", ".join(num(b) for b in K.BREAK_GRID)
-
-    def model(f: str) -> str:
-        return (f"{f}.a * CASE WHEN wave < {f}.brk THEN pow(wave / {f}.brk, -{f}.b1) "
-                f"ELSE pow(wave / {f}.brk, -{f}.b2) END")
-
     def below(f: str) -> str:
-        return f"coalesce(abs(flux - {model(f)}) * sqrt(ivar) < {num(min_sig)}, false)"
-
-    def best(i: int) -> list[str]:
-        return [f"""hinge{i} AS (SELECT SPECID, brk, ln(flux) AS y, ivar * ivar AS w,
-    CASE WHEN wave < brk THEN ln(wave) - ln(brk) ELSE 0 END AS p,
-    CASE WHEN wave >= brk THEN ln(wave) - ln(brk) ELSE 0 END AS q, wave < brk AS is_left
-  FROM mask{i}, (SELECT unnest([{breaks}]) AS brk) WHERE kept AND flux > 0 AND ivar > 0)""",
-                f"""cell{i} AS (SELECT SPECID, brk, sum(w) AS sw, sum(w*p) AS sp, sum(w*p*p) AS spp,
-    sum(w*q) AS sq, sum(w*q*q) AS sqq, sum(w*y) AS sy, sum(w*p*y) AS spy, sum(w*q*y) AS sqy,
-    sum(w*y*y) AS syy FROM hinge{i} GROUP BY ALL
-  HAVING count(*) FILTER (is_left) >= 2 AND count(*) FILTER (NOT is_left) >= 2)""",
-                f"""level{i} AS (SELECT *, (sy - sp*spy/spp - sq*sqy/sqq)
-    / (sw - sp*sp/spp - sq*sq/sqq) AS lv FROM cell{i})""",
-                f"""slope{i} AS (SELECT *, (spy - lv*sp)/spp AS m1, (sqy - lv*sq)/sqq AS m2
-  FROM level{i})""",
-                f"""best{i} AS MATERIALIZED (SELECT SPECID, arg_min({{'a': exp(lv), 'b1': -m1, 'b2': -m2,
-    'brk': brk}}, {{'m': syy - lv*sy - m1*spy - m2*sqy, 'brk': brk}}) AS fit FROM slope{i} GROUP BY SPECID)"""]
-
-    parts = [PIXELS, """mask0 AS (SELECT *, coalesce(ivar <> 0 AND flux >= 0, false) AS kept FROM pixels)""",
-             *best(0),
-             """state1 AS (SELECT SPECID, fit, fit AS before, NULL::DOUBLE AS chi, false AS done
-  FROM best0)""",
-             f"""mask1 AS MATERIALIZED (SELECT m.SPECID, pix, wave, flux, ivar, kept AS prev,
+        return f"coalesce(abs(flux - exp({_log_model(f)})) * sqrt(ivar) < {num(min_sig)}, false)"
+
+    parts = [*first_broken_sql(), """state1 AS (SELECT SPECID, fit, fit AS before, NULL::DOUBLE AS chi, false AS done
+  FROM fit0)""",
+             f"""mask1 AS MATERIALIZED (SELECT m.SPECID, pix, x, flux, ivar, kept AS prev,
     kept AND {below('s.fit')} AS kept FROM mask0 m JOIN state1 s USING (SPECID))"""]
     for i in range(1, rounds):
-        parts += best(i)
-        parts += [f"""chi{i} AS (SELECT SPECID, sum(CASE WHEN kept
-      THEN (flux - {model('s.fit')}) * (flux - {model('s.fit')}) * ivar END) AS now
+        parts += [f"""chi{i} AS (SELECT SPECID, sum(CASE WHEN kept THEN (flux - exp({_log_model('s.fit')}))**2 * ivar END) AS now
   FROM mask{i} m JOIN state{i} s USING (SPECID) GROUP BY SPECID)""",
-                  f"""gain{i} AS (SELECT s.*, b.fit AS next, now, NOT done AND (chi IS NULL OR coalesce(
+                  f"""gain{i} AS MATERIALIZED (SELECT s.*, now, NOT done AND (chi IS NULL OR coalesce(
       abs(now - chi) > 1e-8 + 1e-5 * abs(chi) AND now < chi, false)) AS better
-  FROM state{i} s JOIN chi{i} USING (SPECID) LEFT JOIN best{i} b USING (SPECID))""",
-                  f"""state{i + 1} AS MATERIALIZED (SELECT SPECID,
-    CASE WHEN done THEN fit WHEN better AND next IS NOT NULL THEN next WHEN better THEN fit
-      ELSE before END AS fit,
-    CASE WHEN better AND next IS NOT NULL THEN fit ELSE before END AS before,
+  FROM state{i} s JOIN chi{i} USING (SPECID))""",
+                  f"better{i} AS (SELECT SPECID, fit FROM gain{i} WHERE better)",
+                  *flux_steps_sql(str(i), f"mask{i}", f"better{i}"),
+                  f"""state{i + 1} AS MATERIALIZED (SELECT g.SPECID,
+    CASE WHEN done THEN g.fit WHEN better THEN coalesce(n.fit, g.fit) ELSE before END AS fit,
+    CASE WHEN better THEN g.fit ELSE before END AS before,
     CASE WHEN better THEN coalesce(now, 0) ELSE chi END AS chi,
-    done OR NOT better OR next IS NULL AS done, NOT done AND NOT better AS back,
-    better AND next IS NOT NULL AS moved FROM gain{i})""",
-                  f"""mask{i + 1} AS MATERIALIZED (SELECT m.SPECID, pix, wave, flux, ivar,
+    done OR NOT better AS done, NOT done AND NOT better AS back, better AS moved
+  FROM gain{i} g LEFT JOIN fit{i} n USING (SPECID))""",
+                  f"""mask{i + 1} AS MATERIALIZED (SELECT m.SPECID, pix, x, flux, ivar,
     CASE WHEN moved THEN kept ELSE prev END AS prev,
     CASE WHEN moved THEN kept AND {below('s.fit')} WHEN back THEN prev ELSE kept END AS kept
   FROM mask{i} m JOIN state{i + 1} s USING (SPECID))"""]
-    parts.append(f"""above AS (SELECT m.SPECID, pix, abs(flux - {model('s.fit')}) * sqrt(ivar) AS sig
+    parts.append(f"""above AS (SELECT m.SPECID, pix, abs(flux - exp({_log_model('s.fit')})) * sqrt(ivar) AS sig
   FROM mask{rounds} m JOIN state{rounds} s USING (SPECID)
-  WHERE NOT kept AND flux > {model('s.fit')})""")
+  WHERE NOT kept AND flux > exp({_log_model('s.fit')}))""")
     return ",\n".join(parts)
 
 
@@ -235,9 +244,9 @@ BROKEN_ROUNDS = 12
 @query("k7_broken_power_law_peaks", rounded_sql(
     f"WITH {broken_loop_sql(CLIP, BROKEN_ROUNDS)},\n{RUNS_SQL[RUNS_SQL.index('islands AS'):]}\n" + """
 SELECT SPECID, r.pix, wave, significance FROM runs r JOIN pixels p USING (SPECID, pix)""",
-    "significance"))
+    "significance", digits=ABOVE_DIGITS))
 def k7(spark, sf):
-    return rounded(K.find_broken_power_law_peaks(stored_pixels(spark, sf), CLIP), "significance")
+    return rounded(K.find_broken_power_law_peaks(stored_pixels(spark, sf), CLIP), "significance", digits=ABOVE_DIGITS)
 
 
 @query("k8_chosen_peak_finder", with_ctes(PIXELS, peaks_sql(WIDTH, 60.0)) + """

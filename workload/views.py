@@ -36,14 +36,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 DIGITS = 6
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, digits: int = DIGITS) -> DataFrame:
     """Round doubles (all, unless named) so that summation order does not show."""
     names = columns or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.round(n, DIGITS) + 0.0 for n in names})
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
 
 
-def rounded_sql(sql: str, *columns: str) -> str:
-    items = ", ".join(f'(round("{c}", {DIGITS}) + 0.0)::DOUBLE AS "{c}"' for c in columns)
+def rounded_sql(sql: str, *columns: str, digits: int = DIGITS) -> str:
+    items = ", ".join(f'(round("{c}", {digits}) + 0.0)::DOUBLE AS "{c}"' for c in columns)
     return f"SELECT * REPLACE ({items}) FROM ({sql})"
 
 
