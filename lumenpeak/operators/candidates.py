@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +15,16 @@ from lumenpeak.functions.columns import any_of, ratio
 from lumenpeak.functions.constants import (LINES, NUM_PIXELS, QUASAR_CLASSES, REDSHIFT_TOLERANCE,
                                            STAR, TRY_LINES)
 from lumenpeak.functions.lines import band_structs, line_position, try_line_structs
+from lumenpeak.functions.shared import written
 from lumenpeak.operators.halo import CHUNK
 from lumenpeak.operators.rangejoin import interval_join
 
 # About the width of an observed-frame line interval, in Angstrom.
 METRIC_BIN_WIDTH = 50.0
-# Wavelength range of a piece of spectrum that candidates are measured on.
-METRIC_BLOCK = 16384.0
-# Pixels packed into one row there; an Arrow batch holds many such rows.
-METRIC_PIECE = 512
+# Pixels packed into one row there.
+METRIC_PIECE = CHUNK
+# Spectra whose metrics a task works on at once.
+ROWS = 64
 
 CANDIDATE_KEY = ("SPECID", "peak_pix", "try_order")
 
@@ -60,106 +62,237 @@ def interval_members(pixels: DataFrame, candidates: DataFrame, lines: Sequence[t
 
 
 def line_metrics(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
-                 block: float = METRIC_BLOCK, piece: int = METRIC_PIECE) -> DataFrame:
+                 piece: int = METRIC_PIECE) -> DataFrame:
     """(key, line_index, ratio, ratio_sn, ratio2) of the measurable lines.
 
     A line has no row where a side is too sparsely covered or the continuum is
     zero or missing; its metrics are then missing.
     """
-    return _metrics(line_sums(pixels, candidates, lines, block, piece))
+    wanted = candidates.select(*CANDIDATE_KEY, "Z_TRY")
+    short, long = _by_length(pixels, wanted, piece)
+    found = _measured(*short, lines, False)
+    return found if long is None else found.unionByName(_metrics(line_sums(*long, lines, piece)))
 
 
-def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
-              block: float = METRIC_BLOCK, piece: int = METRIC_PIECE) -> DataFrame:
-    """Pixels, flux and ivar in the peak (0), blue (1) and red (2) interval of each line.
-
-    Pixels are packed into rows of at most ``piece`` neighbours, candidates into
-    rows of the peaks of at most CHUNK pixels, and packed rows of a spectrum meet
-    within ``block`` Angstrom: one pair for an ordinary stretch of spectrum, many
-    bounded ones, which an adaptive join can split, for a huge one.  In a pair the
-    interval ends are found by bisection and sums are taken over slices, so no
-    (pixel, interval) row is ever shuffled.  Sums over pieces add up; a flux or
-    ivar that is missing or not finite makes its sum missing.
+def measured_candidates(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
+                        piece: int = METRIC_PIECE) -> DataFrame:
+    """The wide candidate table, as ``candidate_table`` of the line metrics gives it.
+
+    Candidates of a spectrum of at most ``piece`` pixels are finished where its pixels
+    lie: one row each, without a row per line, a grouping or a join.
     """
-    rest_lo = np.array([[float(line[i]) for i in (2, 4, 6)] for line in lines])
-    rest_hi = np.array([[float(line[i]) for i in (3, 5, 7)] for line in lines])
+    short, long = _by_length(pixels, candidates, piece)
+    wide = _measured(*short, lines, True).select(
+        *CANDIDATE_KEY, *metric_columns(lines), "Z_TRY", "PEAK_SIGNIFICANCE", "ASSUMED_LINE")
+    if long is None:
+        return wide
+    return wide.unionByName(candidate_table(long[1], _metrics(line_sums(*long, lines, piece)), lines))
+
+
+def _by_length(pixels: DataFrame, candidates: DataFrame, piece: int):
+    """((pixels, candidates) of the spectra of at most ``piece`` pixels, the same of the
+    longer ones or None)."""
+    pixels = pixels.select("SPECID", "pix", "wave", "flux", "ivar").where("wave IS NOT NULL")
+    long = written(pixels.where(F.col("pix") >= piece).select("SPECID").distinct(), "long-spectra")
+    if long.isEmpty():
+        return (pixels, candidates), None
+    return ((pixels.join(long, "SPECID", "left_anti"), candidates.join(long, "SPECID", "left_anti")),
+            (pixels.join(long, "SPECID", "left_semi"), candidates.join(long, "SPECID", "left_semi")))
 
-    def block_of(wave: Column) -> Column:
-        return F.floor(wave / F.lit(float(block)))
 
-    # infinity marks a missing value: a sum keeps it, and Arrow carries it
+def _bands(lines: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Rest-frame ends of the peak, blue and red interval of each line."""
+    return (np.array([[float(line[i]) for i in (2, 4, 6)] for line in lines]),
+            np.array([[float(line[i]) for i in (3, 5, 7)] for line in lines]))
+
+
+def _packed(pixels: DataFrame, *keys: str) -> DataFrame:
+    """Pixels as arrays; infinity marks a missing value: a sum keeps it, and Arrow carries it."""
     def marked(column: str) -> str:
         return (f"collect_list(CASE WHEN abs({column}) < double('infinity') THEN {column} "
                 f"ELSE double('infinity') END) AS {column}")
 
-    packed = (pixels.select(F.col("SPECID").alias("SPECID"), block_of(F.col("wave")).alias("block"),
-                            F.expr(f"pix div {piece}").alias("piece"), "wave", "flux", "ivar")
-              .where("wave IS NOT NULL").groupBy("SPECID", "block", "piece")
-              .agg(F.collect_list("wave").alias("wave"), F.expr(marked("flux")),
-                   F.expr(marked("ivar"))))
-    shifted = 1.0 + F.col("Z_TRY")
-    batches = (candidates.select(
-        *[F.col(c).alias(c) for c in (*CANDIDATE_KEY, "Z_TRY")],
-        F.explode(F.sequence(block_of(shifted * float(rest_lo.min())),
-                             block_of(shifted * float(rest_hi.max())))).alias("block"))
-        .withColumn("batch", F.expr(f"peak_pix div {CHUNK}"))
-        .groupBy("SPECID", "block", "batch")
-        .agg(*[F.collect_list(c).alias(c) for c in ("peak_pix", "try_order", "Z_TRY")]))
-
-    of_pair = _pair_summer(rest_lo, rest_hi)
-
-    def sums(frames):
-        for frame in frames:
-            found = [of_pair(row) for row in frame.itertuples()]
-            if found:
-                yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
-
-    kind = dict(packed.dtypes)["SPECID"]  # ids may be text
-    columns = ", ".join([f"n{i} BIGINT" for i in range(3)]
-                        + [f"{c}{i} DOUBLE" for c in "fv" for i in range(3)])
-    partial = packed.join(batches, ["SPECID", "block"]).mapInPandas(
-        sums, f"SPECID {kind}, peak_pix BIGINT, try_order INT, line_index INT, {columns}")
-    total = partial.groupBy(*CANDIDATE_KEY, "line_index").agg(
-        *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nfv" for i in range(3)])
-    return total.withColumns({
-        f"{c}{i}": F.when(F.col(f"{c}{i}") < F.lit(float("inf")), F.col(f"{c}{i}"))
-        for c in "fv" for i in range(3)})
+    return pixels.groupBy(*keys).agg(F.collect_list("wave").alias("wave"), F.expr(marked("flux")),
+                                     F.expr(marked("ivar")))
 
 
-def _pair_summer(rest_lo: np.ndarray, rest_hi: np.ndarray):
-    """Counts and sums of one pair, for each (candidate, line) with a pixel in an interval.
+def _measured(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple], wide: bool) -> DataFrame:
+    """Metrics of candidates whose spectra have one row each: both sides are grouped by
+    spectrum, which is also what the join needs."""
+    packed = _packed(pixels, "SPECID")
+    batches = candidates.groupBy("SPECID").agg(F.collect_list(F.struct(*candidates.columns)).alias("found"))
+    joined = batches.join(packed, "SPECID", "left")
+    kinds = dict(candidates.dtypes)
+    if wide:
+        columns = [*candidates.columns, *metric_columns(lines)]
+        schema = ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in columns)
+    else:
+        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in CANDIDATE_KEY), "line_index INT",
+                            "ratio DOUBLE", "ratio_sn DOUBLE", "ratio2 DOUBLE"])
+    return joined.mapInArrow(_measurer(*_bands(lines), wide, CANDIDATE_KEY), schema)
 
-    The result is a closure, which travels to the tasks whole: executors need not
-    have this package.
-    """
 
-    def of_pair(row) -> dict[str, np.ndarray]:
-        order = np.argsort(row.wave, kind="stable")
-        wave = np.asarray(row.wave)[order]
-        shift = 1.0 + np.asarray(row.Z_TRY)
-        first = np.searchsorted(wave, shift[:, None, None] * rest_lo, "left")
-        last = np.searchsorted(wave, shift[:, None, None] * rest_hi, "right")
+def _summer(rest_lo: np.ndarray, rest_hi: np.ndarray):
+    """Counts and sums over the pixels of one row, per candidate, line and interval.
+
+    Interval ends are found by bisection and sums are taken over slices, so no
+    (pixel, interval) row exists.  The result is a closure, which travels to the tasks
+    whole: executors need not have this package.
+    """
+    def sums(wave, flux, ivar, shift, which=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``which``: a line per shift, or all lines."""
+        order = np.argsort(wave, kind="stable")
+        lo, hi = (rest_lo, rest_hi) if which is None else (rest_lo[which], rest_hi[which])
+        scale = shift[:, None, None] if which is None else shift[:, None]
+        wave = wave[order]
+        first, last = np.searchsorted(wave, scale * lo, "left"), np.searchsorted(wave, scale * hi, "right")
         count = np.maximum(last - first, 0)
-        which, line = np.nonzero(count.any(axis=2))
-        first, last, count = first[which, line], last[which, line], count[which, line]
         ends = np.stack([first, np.maximum(first, last)], axis=-1).ravel()
 
-        def slice_sums(values) -> np.ndarray:
+        def slices(values: np.ndarray) -> np.ndarray:
             if not len(ends):
-                return np.zeros((0, 3))
+                return np.zeros(count.shape)
             # one padding zero lets a slice end at the last pixel
-            padded = np.append(np.asarray(values)[order], 0.0)
+            padded = np.append(values[order], 0.0)
             return np.where(count > 0, np.add.reduceat(padded, ends)[::2].reshape(count.shape), 0.0)
 
-        out = {"SPECID": np.full(len(which), row.SPECID),
-               "peak_pix": np.asarray(row.peak_pix)[which],
-               "try_order": np.asarray(row.try_order)[which], "line_index": line.astype("int32")}
-        sums = (("n", count), ("f", slice_sums(row.flux)), ("v", slice_sums(row.ivar)))
-        for name, table in sums:
-            out.update({f"{name}{i}": table[:, i] for i in range(3)})
-        return out
+        return count, slices(flux), slices(ivar)
+
+    return sums
+
+
+def _measurer(rest_lo: np.ndarray, rest_hi: np.ndarray, wide: bool, key: tuple):
+    """Task over rows (SPECID, found, wave, flux, ivar): metrics of every candidate."""
+    sums = _summer(rest_lo, rest_hi)
+
+    def metrics(n, f, v):
+        """(has a row, then value and missing of each metric); see ``_metrics``."""
+        half = n[..., 0] // 2
+        f, v = np.where(f < np.inf, f, np.nan), np.where(v < np.inf, v, np.nan)
+        peak, blue, red = (f[..., i] / n[..., i] for i in range(3))
+        continuum = blue + red
+        there = (n > 0).all(axis=-1) & (n[..., 1] >= half) & (n[..., 2] >= half)
+        there &= ~np.isnan(continuum) & (continuum != 0)
+        ratio = 2 * peak / continuum
+        error = np.sqrt(4 / v[..., 0] + ratio * ratio * ((1 / v[..., 1] + 1 / v[..., 2]) / 4)) / np.abs(continuum)
+        no_ratio = ~there | np.isnan(peak)
+        no_error = no_ratio | np.isnan(v).any(axis=-1) | (v == 0).any(axis=-1) | (error == 0)
+        return there, ((ratio, no_ratio), ((ratio - 1) / error, no_error), (np.abs((red - blue) / continuum), ~there))
+
+    def columns(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found, stops = batch.column("found").flatten(), batch.column("found").offsets.to_numpy()
+        fields = {f.name: found.field(i) for i, f in enumerate(found.type)}
+        shift = 1.0 + pc.fill_null(fields["Z_TRY"], float("nan")).to_numpy(zero_copy_only=False)
+        lists = [batch.column(c) for c in ("wave", "flux", "ivar")]
+        parts = []
+        for row, (a, z) in enumerate(zip(stops - stops[0], stops[1:] - stops[0])):
+            values = [x[row].values for x in lists]
+            arrays = [np.empty(0) if x is None else x.to_numpy(zero_copy_only=False) for x in values]
+            parts.append(sums(*arrays, shift[a:z]))
+        there, values = metrics(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        if wide:
+            table = [pa.array(v[:, i], mask=m[:, i]) for i in range(there.shape[1]) for v, m in values]
+            return [*fields.values(), *table]
+        which, line = np.nonzero(there)
+        return [*(fields[c].take(pa.array(which)) for c in key), pa.array(line.astype(np.int32)),
+                *(pa.array(v[which, line], mask=m[which, line]) for v, m in values)]
+
+    def work(batches):
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for at in range(0, len(batch), ROWS):  # bounds the arrays of a step
+                    made = columns(batch.slice(at, ROWS))
+                    yield pa.RecordBatch.from_arrays(made, [f"c{i}" for i in range(len(made))])
+
+    return work
+
+
+def met_pieces(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
+               piece: int = METRIC_PIECE) -> DataFrame:
+    """Pairs of a piece of a spectrum and a batch of stretches that lie about there.
+
+    Pixels are packed into rows of at most ``piece`` neighbours.  The stretch of a
+    spectrum that a line of a candidate looks at, and the stretch of a piece, are filed
+    under the bins they touch; there are as many bins as pieces, so a stretch meets only
+    pieces about where it lies, whatever the spectrum's length.  The stretches of a bin
+    are dealt into batches of some CHUNK.
+    """
+    rest_lo, rest_hi = _bands(lines)
+    pieces = _packed(pixels.withColumn("piece", F.expr(f"pix div {piece}")), "SPECID", "piece").withColumns(
+        {"lo": F.array_min("wave"), "hi": F.array_max("wave")})
+    span = written(pixels.groupBy("SPECID").agg(
+        F.min("wave").alias("from"), F.max("wave").alias("to"),
+        F.countDistinct(F.expr(f"pix div {piece}")).alias("bins")).join(
+        candidates.groupBy("SPECID").agg(F.count("*").alias("n")), "SPECID").withColumn(
+        "deals", F.expr(f"n * {len(lines)} div (bins * {CHUNK}) + 1")).drop("n"), "spans")
+
+    def binned(df: DataFrame) -> DataFrame:
+        width = F.when(F.col("to") > F.col("from"), (F.col("to") - F.col("from")) / F.col("bins")).otherwise(F.lit(1.0))
+
+        def bin_of(value: Column) -> Column:
+            return F.floor((value - F.col("from")) / width)
+
+        inside = df.join(span, "SPECID").where((F.col("hi") >= F.col("from")) & (F.col("lo") <= F.col("to")))
+        first = bin_of(F.greatest("lo", "from"))
+        return inside.withColumn("first", first).withColumn("bin", F.explode(F.sequence(
+            F.col("first"), bin_of(F.least("hi", "to"))))).drop("from", "to", "bins", "lo", "hi")
+
+    stretch = F.array(*[F.struct(F.lit(i).alias("line_index"), F.lit(float(rest_lo[i].min())).alias("lo"),
+                                 F.lit(float(rest_hi[i].max())).alias("hi")) for i in range(len(lines))])
+    shifted = 1.0 + F.col("Z_TRY")
+    wanted = candidates.where("Z_TRY IS NOT NULL").select(*CANDIDATE_KEY, "Z_TRY", F.explode(stretch).alias("s")).select(
+        *CANDIDATE_KEY, shifted.alias("shift"), "s.line_index",
+        (shifted * F.col("s.lo")).alias("lo"), (shifted * F.col("s.hi")).alias("hi"))
+    dealt = binned(wanted).withColumn(
+        "batch", F.pmod(F.xxhash64("peak_pix", "try_order", "line_index"), F.col("deals")))
+    batches = dealt.groupBy("SPECID", "bin", "batch").agg(*[F.collect_list(c).alias(c) for c in (
+            "peak_pix", "try_order", "shift", "line_index", "first")])
+    return binned(pieces).drop("deals").withColumnRenamed("first", "begins").join(batches, ["SPECID", "bin"])
+
+
+def line_sums(pixels: DataFrame, candidates: DataFrame, lines: Sequence[tuple] = LINES,
+              piece: int = METRIC_PIECE) -> DataFrame:
+    """Pixels, flux and ivar in the peak (0), blue (1) and red (2) interval of each line,
+    for spectra of any length.
+
+    A stretch and a piece that share several bins are taken in the first.  Sums over
+    pieces add up; a flux or ivar that is missing or not finite makes its sum missing.
+    """
+    met, kinds = met_pieces(pixels, candidates, lines, piece), dict(candidates.dtypes)
+    columns = ", ".join([f"n{i} BIGINT" for i in range(3)] + [f"{c}{i} DOUBLE" for c in "fv" for i in range(3)])
+    partial = met.mapInArrow(_piece_summer(*_bands(lines)), ", ".join(
+        [*(f"{c} {kinds[c]}" for c in CANDIDATE_KEY), "line_index INT", columns]))
+    total = partial.groupBy(*CANDIDATE_KEY, "line_index").agg(
+        *[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "nfv" for i in range(3)])
+    return total.withColumns({
+        f"{c}{i}": F.when(F.col(f"{c}{i}") < F.lit(float("inf")), F.col(f"{c}{i}"))
+        for c in "fv" for i in range(3)})
+
+
+def _piece_summer(rest_lo: np.ndarray, rest_hi: np.ndarray):
+    """Task over pairs of a piece and the stretches of a bin: sums of each stretch."""
+    sums = _summer(rest_lo, rest_hi)
+
+    def of_pair(batch: pa.RecordBatch, row: int) -> list:
+        def values(name: str) -> np.ndarray:
+            return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+
+        here = np.maximum(values("first"), batch.column("begins")[row].as_py()) == batch.column("bin")[row].as_py()
+        line = values("line_index")[here]
+        n, f, v = sums(values("wave"), values("flux"), values("ivar"), values("shift")[here], line)
+        some = np.flatnonzero(n.any(axis=1))
+        ids = batch.column("SPECID").take(pa.array(np.full(len(some), row)))
+        return [ids, *(batch.column(c)[row].values.filter(pa.array(here)).take(pa.array(some))
+                       for c in ("peak_pix", "try_order", "line_index")),
+                *(pa.array(t[some, i]) for t in (n, f, v) for i in range(3))]
+
+    def work(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                made = of_pair(batch, row)
+                yield pa.RecordBatch.from_arrays(made, [f"c{i}" for i in range(len(made))])
 
-    return of_pair
+    return work
 
 
 def _metrics(sums: DataFrame) -> DataFrame:

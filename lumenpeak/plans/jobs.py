@@ -100,8 +100,7 @@ def find_candidates(spectra: DataFrame, params: JobParams) -> DataFrame:
     # peaks feed the candidates, the metrics and the no-peak rows
     peaks = written(peak_finder(params.peak_finder, params.peak_finder_options)(pixels), "peaks")
     trials = C.trial_redshifts(peaks, params.lines, params.try_lines)
-    metrics = C.line_metrics(pixels, trials, params.lines)
-    table = C.candidate_table(trials, metrics, params.lines)
+    table = C.measured_candidates(pixels, trials, params.lines)
     if params.pixels_as_metrics:
         near = C.pixel_metrics(pixels, peaks, params.num_pixels)
         table = table.join(near, ["SPECID", "peak_pix"])

@@ -39,8 +39,8 @@ def metrics_by_hand(wave, flux, ivar, z):
     return out
 
 
-@pytest.mark.parametrize("block, piece", [(16384.0, 4096), (700.0, 50), (1e5, 7)])
-def test_line_metrics(spark, block, piece):
+@pytest.mark.parametrize("piece", [4096, 50, 7])  # in one row, and in pieces
+def test_line_metrics(spark, piece):
     rng = np.random.default_rng(1)
     spectra, rows = {}, []
     for s in range(3):
@@ -64,7 +64,7 @@ def test_line_metrics(spark, block, piece):
             want[(t["SPECID"], t["peak_pix"], t["try_order"], line)] = values
     got = {(r["SPECID"], r["peak_pix"], r["try_order"], r["line_index"]):
            (r["ratio"], r["ratio_sn"], r["ratio2"])
-           for r in C.line_metrics(pixels, trials, block=block, piece=piece).collect()}
+           for r in C.line_metrics(pixels, trials, piece=piece).collect()}
     assert got.keys() == want.keys() and len(got) > 50
     for key, values in want.items():
         for a, b in zip(got[key], values):
@@ -73,6 +73,36 @@ def test_line_metrics(spark, block, piece):
                 assert a == pytest.approx(b, rel=1e-9)
 
 
+def test_wide_table_is_the_pivot_of_the_metrics(spark):
+    rng = np.random.default_rng(4)
+    wave = np.arange(3600.0, 9800.0, 4.0)
+    rows = [(s, i, float(w), float(f), float(v)) for s in range(4)
+            for i, (w, f, v) in enumerate(zip(wave, rng.normal(3, 2, len(wave)), rng.uniform(0, 2, len(wave))))
+            if s != 3 or i < 40]
+    rows += [(5, 0, 4000.0, None, 1.0), (5, 1, 4001.0, float("inf"), float("nan"))]
+    pixels = spark.createDataFrame(rows, "SPECID BIGINT, pix BIGINT, wave DOUBLE, flux DOUBLE, ivar DOUBLE")
+    peaks = spark.createDataFrame([(s, p, 3600.0 + 4 * p, 9.0) for s in (0, 1, 2, 3, 5, 8) for p in (1, 300, 1200)], PEAKS)
+    trials = C.trial_redshifts(peaks)  # spectrum 8 has no pixels
+    want = C.candidate_table(trials, C.line_metrics(pixels, trials))
+    for piece in (4096, 1000):  # a part of the spectra, then all, in one row
+        got = C.measured_candidates(pixels, trials, piece=piece)
+        assert got.columns == want.columns and got.count() == trials.count()
+        for a, b in zip(*(sorted(map(tuple, df.collect()), key=lambda r: r[:3]) for df in (got, want))):
+            assert [x is None for x in a] == [x is None for x in b] and a[-1] == b[-1]
+            a, b = ([x for x in r[:-1] if x is not None] for r in (a, b))
+            assert a == pytest.approx(b, rel=1e-9, nan_ok=True)
+
+
+def test_pairs_grow_with_the_length_of_a_spectrum(spark):
+    met = []
+    for n in (25_000, 100_000):  # four times the range, pieces and peaks
+        pixels = spark.range(n).selectExpr("1L AS SPECID", "id AS pix", "3600 + 0.05D * id AS wave", "1D AS flux", "1D AS ivar")
+        peaks = pixels.where("pix % 500 = 0").selectExpr("SPECID", "pix", "wave", "9D AS significance")
+        pairs = C.met_pieces(pixels, C.trial_redshifts(peaks), piece=256)
+        met.append(pairs.agg(F.count("*"), F.sum(F.size("shift"))).first())
+    assert 0 < met[1][0] < 5 * met[0][0]
+
+
 def test_interval_join_bounds_are_inclusive(spark):
     points = spark.createDataFrame([(1, float(x)) for x in range(-20, 21)], "k INT, x DOUBLE")
     spans = spark.createDataFrame([(1, "a", -7.0, 3.0), (1, "b", 3.0, 3.0), (1, "c", 5.0, 4.0),

@@ -36,7 +36,7 @@ def test_metrics_do_not_depend_on_the_pieces(spark):
     trials = C.trial_redshifts(P.find_peaks(df, 3.0, 9.0)).cache()
     key = [*C.CANDIDATE_KEY, "line_index"]
     a = C.line_metrics(df, trials, piece=10**6)
-    b = C.line_metrics(df, trials, block=1500.0, piece=256).select(
+    b = C.line_metrics(df, trials, piece=256).select(
         *key, *[F.col(c).alias(f"b_{c}") for c in ("ratio", "ratio_sn", "ratio2")])
     both = a.join(b, key, "full_outer").cache()
     assert both.count() == a.count() > 0

@@ -323,7 +323,7 @@ def wide_table(spark, sf):
     source = stored_pixels(spark, sf)
     peaks = written(P.find_peaks(source, WIDTH, MIN_SIG), "peaks")
     trials = C.trial_redshifts(peaks)
-    return peaks, C.candidate_table(trials, C.line_metrics(source, trials))
+    return peaks, C.measured_candidates(source, trials)
 
 
 @query("d4_candidate_table", with_ctes(*METRIC_CTES) + _wide_sql())
@@ -439,14 +439,13 @@ SELECT b.*, count(m.line_index) AS n_lines, avg(ratio) AS mean_ratio FROM (
 LEFT JOIN metrics m USING (SPECID, peak_pix, try_order) GROUP BY ALL""",
                                           "Z_TRY", "PEAK_SIGNIFICANCE", "mean_ratio"))
 def flagship(spark, sf):
-    """Peaks -> trial redshifts -> line metrics -> most significant candidate per spectrum."""
+    """Peaks -> trial redshifts -> most significant candidate per spectrum -> its line metrics."""
     from lumenpeak.operators.pixels import first_per_key
 
     source = stored_pixels(spark, sf)
     trials = C.trial_redshifts(written(P.find_peaks(source, WIDTH, MIN_SIG), "peaks"))
-    metrics = C.line_metrics(source, trials).groupBy(*C.CANDIDATE_KEY).agg(
+    best = written(first_per_key(trials.drop("assumed_index"), ["SPECID"],
+                                 [F.col("PEAK_SIGNIFICANCE").desc(), F.col("peak_pix"), F.col("try_order")]), "best")
+    metrics = C.line_metrics(source, best).groupBy(*C.CANDIDATE_KEY).agg(
         F.count("*").alias("n_lines"), F.avg("ratio").alias("mean_ratio"))
-    best = first_per_key(trials.drop("assumed_index"), ["SPECID"],
-                         [F.col("PEAK_SIGNIFICANCE").desc(), F.col("peak_pix"),
-                          F.col("try_order")])
     return rounded(best.join(metrics, list(C.CANDIDATE_KEY), "left").fillna(0, ["n_lines"]))
