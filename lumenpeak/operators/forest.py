@@ -6,11 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import (RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenpeak.functions.shared import written
 from lumenpeak.functions.constants import (CLASS_LABELS, LINES, MAX_DEPTH, MISSING_FEATURE,
@@ -58,10 +62,13 @@ def training_class() -> Column:
 
 
 def split_side(split: bool = True, at: float = SPLIT_REDSHIFT) -> Column:
-    """Which forest a row belongs to; NULL for rows without a trial redshift."""
+    """Which forest a row belongs to; NULL for rows without a trial redshift (NULL or
+    NaN) and, where one forest takes all, for negative ones."""
+    z = F.col("Z_TRY").cast("double")
+    z = F.when(~F.isnan(z), z)
     if not split:
-        return F.when(F.col("Z_TRY") >= 0, "all")
-    return F.when(F.col("Z_TRY") >= at, "high").when(F.col("Z_TRY") < at, "low")
+        return F.when(z >= 0, "all")
+    return F.when(z >= at, "high").when(z < at, "low")
 
 
 # --- training ---------------------------------------------------------------
@@ -170,24 +177,11 @@ def train(df: DataFrame, features: Sequence[str], split: bool = True, num_trees:
 KEYS = ("SPECID", "peak_pix", "try_order")
 
 
-def _by_nodes(rows: DataFrame, forest: NodeForest, keys: Sequence[str]) -> DataFrame:
-    """Add ``__p``, the probabilities that the trees give a row; ``keys`` tell rows apart."""
-    vectors = rows.select(*keys, F.array(*[filled(c) for c in forest.features]).alias("features"))
-    n = len(forest.labels)
-    walked = score_nodes(vectors, forest.nodes, n, keys, max_depth=forest.depth)
-    scores = walked.select(*[F.col(k).alias(f"__{k}") for k in keys],
-                           F.array(*[F.col(f"p{i}") for i in range(n)]).alias("__p"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return rows.join(scores, same).drop(*[f"__{k}" for k in keys])
-
-
-def class_probabilities(df: DataFrame, forests: dict[str, Forest | NodeForest],
-                        keys: Sequence[str] = KEYS) -> DataFrame:
+def class_probabilities(df: DataFrame, forests: dict[str, Forest | NodeForest]) -> DataFrame:
     """Add PROB_CLASS{c}; each row is scored by the forest of its redshift side.
 
-    Rows without a trial redshift keep NULL probabilities.  ``branch`` (0 high or
-    all, 1 low, 2 none) is the order in which ties are broken.  ``keys`` identify a
-    row; only forests given as trees need them.
+    Rows without a trial redshift (NULL or NaN) keep NULL probabilities.  ``branch`` (0 high or
+    all, 1 low, 2 none) is the order in which ties are broken.
     """
     split = "all" not in forests
     labels = sorted({c for f in forests.values() for c in f.labels}, key=_label_order)
@@ -195,7 +189,9 @@ def class_probabilities(df: DataFrame, forests: dict[str, Forest | NodeForest],
     for branch, (side, forest) in enumerate(sorted(forests.items())):
         rows = df.where(split_side(split) == side)
         if isinstance(forest, NodeForest):
-            scored, values = _by_nodes(rows, forest, keys), F.col("__p")
+            vectors = rows.withColumn("__x", F.array(*[filled(c) for c in forest.features]))
+            scored, values = with_scores(vectors, forest.nodes, len(forest.labels), "__p", "__x",
+                                         forest.depth), F.col("__p")
         else:
             scored = forest.model.transform(assembled(rows, forest.features))
             values = vector_to_array("probability")
@@ -204,7 +200,7 @@ def class_probabilities(df: DataFrame, forests: dict[str, Forest | NodeForest],
                                else F.lit(None).cast("double")) for c in labels})
             .withColumn("branch", F.lit(branch))
             .select(*df.columns, *[f"PROB_CLASS{c}" for c in labels], "branch"))
-    parts.append(df.where("Z_TRY IS NULL").withColumns(
+    parts.append(df.where(split_side(split).isNull()).withColumns(
         {f"PROB_CLASS{c}": F.lit(None).cast("double") for c in labels})
         .withColumn("branch", F.lit(2)))
     return reduce(DataFrame.unionByName, parts)
@@ -238,7 +234,8 @@ def best_per_object(df: DataFrame, tie: Sequence[str], key: str = "SPECID",
     A plain aggregation: map tasks reduce each key before anything is shuffled,
     so one object with very many candidates costs no more than any other.
     """
-    order = F.struct(F.col(value).isNull().alias("missing"), (-F.col(value)).alias("down"),
+    known = F.when(~F.isnan(value), F.col(value))  # a NaN is no value
+    order = F.struct(known.isNull().alias("missing"), (-known).alias("down"),
                      *[F.col(c) for c in tie])
     return (df.groupBy(key).agg(F.min(order).alias("__best"))
             .select(key, *[F.col("__best")[c].alias(c) for c in tie]))
@@ -260,7 +257,7 @@ def with_duplicates(df: DataFrame, tie: Sequence[str] = ("branch", "peak_pix", "
 def classify(df: DataFrame, forests: dict[str, Forest | NodeForest],
              tie: Sequence[str] = ("branch", "peak_pix", "try_order")) -> DataFrame:
     """Probabilities, CLASS_PREDICTED, PROB and DUPLICATED."""
-    scored = class_probabilities(df, forests, ("SPECID", *[t for t in tie if t != "branch"]))
+    scored = class_probabilities(df, forests)
     first = forests.get("high") or forests.get("all") or next(iter(forests.values()))
     # written first: the flag reads the scores twice, the forests run once
     scored = written(scored.withColumn("CLASS_PREDICTED", predicted_class(first.labels))
@@ -313,17 +310,30 @@ def score_nodes(rows: DataFrame, nodes: DataFrame, num_classes: int,
                 keys: Sequence[str] = KEYS,
                 features: str = "features", max_depth: int = MAX_DEPTH,
                 broadcast_bytes: int = BROADCAST_MODEL_BYTES) -> DataFrame:
-    """Mean leaf probabilities over the trees of one forest.
+    """Mean leaf probabilities over the trees of one forest: keys, p0, p1, ...
 
     ``rows``: keys and an ARRAY<DOUBLE> of features; goes left where x <= threshold.
-    Trees travel to the executors, in groups whose size is checked first, and are
-    walked by column expressions.  A row stays in its task until all trees of a group
-    are walked; leaves are added up there, before the one shuffle by key.
+    Every row of ``rows`` has a result; nothing is shuffled or joined.
+    """
+    scored = with_scores(rows.select(*keys, features), nodes, num_classes, "__p", features, max_depth,
+                         broadcast_bytes)
+    return scored.select(*keys, *[F.col("__p")[i].alias(f"p{i}") for i in range(num_classes)])
+
+
+def with_scores(rows: DataFrame, nodes: DataFrame, num_classes: int, out: str,
+                features: str = "features", max_depth: int = MAX_DEPTH,
+                broadcast_bytes: int = BROADCAST_MODEL_BYTES) -> DataFrame:
+    """Add ``out``, the mean leaf probabilities of each row.
+
+    Trees travel to the executors as flat arrays, in groups whose size is checked
+    first; a row passes the groups one after the other in its own task.  An Arrow
+    batch walks one tree at a time, all its rows a level per step, and only the sums
+    of their leaves are kept.
     """
-    sizes = nodes.groupBy("tree").agg(F.count("*").alias("n")).orderBy("tree").collect()
+    sizes = nodes.groupBy("tree").agg((F.max("node") + 1).alias("n")).orderBy("tree").collect()
     groups, room = [], 0
     for tree, n in sizes:
-        size = n * (64 + 8 * num_classes)
+        size = n * (20 + 8 * num_classes)
         if size > TREE_BYTES:
             raise ValueError(f"tree {tree} takes {size} bytes, more than {TREE_BYTES}")
         if not groups or size > room:
@@ -331,32 +341,67 @@ def score_nodes(rows: DataFrame, nodes: DataFrame, num_classes: int,
             room = broadcast_bytes
         groups[-1].append(tree)
         room -= size
-    leaves = reduce(DataFrame.unionByName, [
-        _walk(rows.select(*keys, features, F.explode(F.lit(group)).alias("tree")),
-              nodes.where(F.col("tree").isin(group)), features, max_depth).select(*keys, "leaf")
-        for group in groups])
-    return leaves.groupBy(*keys).agg(
-        *[F.avg(F.col("leaf")[i]).alias(f"p{i}") for i in range(num_classes)])
-
-
-def _walk(spread: DataFrame, nodes: DataFrame, features: str, max_depth: int) -> DataFrame:
-    by_tree = nodes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct(
-        "node", F.struct("left", "right", "feature", "threshold", "proba")))).alias("__nodes"))
-    # positions instead of ids: array access is a pointer step
-    packed = by_tree.select("tree", F.transform(
-        F.sequence(F.lit(0), F.array_max(F.map_keys("__nodes"))),
-        lambda i: F.element_at("__nodes", i)).alias("__nodes"))
-    walked = spread.join(F.broadcast(packed), "tree").withColumn("node", F.lit(0))
-    for _ in range(max_depth):
-        here = F.col("__nodes")[F.col("node")]
-        walked = walked.withColumn("__here", here).withColumn(
-            "node", F.when(F.col("__here.left") < 0, F.col("node"))
-            .when(F.col(features)[F.col("__here.feature")] <= F.col("__here.threshold"),
-                  F.col("__here.left")).otherwise(F.col("__here.right"))).drop("__here")
-    here = F.col("__nodes")[F.col("node")]
-    return walked.withColumn("leaf", _leaf(here["left"], here["proba"])).drop("__nodes")
-
-
-def _leaf(left: Column, proba: Column) -> Column:
-    return F.when(left < 0, proba).otherwise(
-        F.raise_error(F.lit("a tree is deeper than max_depth")).cast("array<double>"))
+    context, kind = rows.sparkSession.sparkContext, T.ArrayType(T.DoubleType())
+    for i, group in enumerate(groups):
+        packed = context.broadcast(_flat_trees(nodes.where(F.col("tree").isin(group)), num_classes))
+        schema = rows.schema if i else T.StructType([*rows.schema.fields, T.StructField(out, kind)])
+        rows = rows.mapInArrow(_walker(packed, features, out, num_classes, max_depth, len(sizes)), schema)
+    return rows
+
+
+def _flat_trees(nodes: DataFrame, num_classes: int) -> list[tuple[np.ndarray, ...]]:
+    """(left, right, feature, threshold, proba) of each tree, by node number."""
+    table = nodes.select("tree", "node", "left", "right", F.coalesce("feature", F.lit(0)).alias("feature"),
+                         F.coalesce("threshold", F.lit(0.0)).alias("threshold"), "proba").toArrow()
+    tree = table["tree"].to_numpy()
+    order = np.argsort(tree, kind="stable")
+    columns = [table[c].to_numpy()[order] for c in ("node", "left", "right", "feature", "threshold")]
+    empty = pa.scalar([0.0] * num_classes, table.schema.field("proba").type)
+    proba = pc.list_flatten(pc.fill_null(table["proba"], empty)).to_numpy().reshape(-1, num_classes)[order]
+    trees = []
+    for rows in np.split(np.arange(len(tree)), np.flatnonzero(np.diff(tree[order])) + 1):
+        node = columns[0][rows]
+        size = int(node.max()) + 1
+        flat = []
+        for values, kind in zip(columns[1:], (np.int32, np.int32, np.int32, np.float64)):
+            placed = np.zeros(size, kind)
+            placed[node] = values[rows]
+            flat.append(placed)
+        leaves = np.zeros((size, num_classes))
+        leaves[node] = proba[rows]
+        trees.append((*flat, leaves))
+    return trees
+
+
+def _walker(trees, features: str, out: str, num_classes: int, max_depth: int, count: int):
+    """Task that adds the shares of a group of ``trees`` (of ``count`` in all) to ``out``."""
+    def sums(values: np.ndarray) -> np.ndarray:
+        total, every = np.zeros((len(values), num_classes)), np.arange(len(values))
+        for left, right, feature, threshold, proba in trees.value:
+            node = np.zeros(len(values), np.int32)
+            for _ in range(max_depth):
+                inner = left[node] >= 0
+                if not inner.any():
+                    break
+                goes = np.where(values[every, feature[node]] <= threshold[node], left[node], right[node])
+                node = np.where(inner, goes, node)
+            if (left[node] >= 0).any():
+                raise ValueError("a tree is deeper than max_depth")
+            total += proba[node]
+        return total / count
+
+    def work(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch.column(features).flatten().to_numpy(zero_copy_only=False)
+            made = sums(x.reshape(len(batch), -1))
+            names = batch.schema.names
+            if out in names:
+                made = made + batch.column(out).flatten().to_numpy().reshape(made.shape)
+            offsets = pa.array(np.arange(0, made.size + 1, num_classes, dtype=np.int32))
+            column = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+            kept = [c for c in names if c != out]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, out])
+
+    return work

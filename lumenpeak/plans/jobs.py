@@ -9,6 +9,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenpeak.functions.columns import nan_to_null
 from lumenpeak.functions.shared import written
 from lumenpeak.operators import candidates as C
 from lumenpeak.operators import exposures as X
@@ -165,6 +166,23 @@ def merge_candidates(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return readers.read_candidates(spark, paths)
 
 
+def merge_files(spark: SparkSession, params: JobParams, output: str, paths: Sequence[str],
+                model: Model | None = None, truth: DataFrame | None = None) -> Result:
+    """``run`` over candidate files; the table ``files`` tells what each of them gave.
+
+    Files that are damaged, or gave a part of their rows, do not end the job: look for
+    states other than ``read`` and ``empty``.
+    """
+    files = readers.candidate_files(spark, paths)
+    writers.write_candidates(files, f"{output}/files")
+    listed = spark.read.schema(files.schema).parquet(f"{output}/files")
+    if listed.where("rows_read > 0").isEmpty():
+        raise ValueError(f"no candidates can be read; see {output}/files")
+    result = run(params, output, candidates=merge_candidates(spark, paths), model=model, truth=truth)
+    result.files = listed
+    return result
+
+
 def format_spectra(catalogue: DataFrame, files: DataFrame, sky: DataFrame,
                    margin: float = P.SKY_MARGIN, confident_only: bool = False, noise: float = 1,
                    rebin_width: float = 0, extend: float = 0, tray: str | None = None,
@@ -262,6 +280,7 @@ class Result:
     optimal: DataFrame | None = None
     finder: DataFrame | None = None
     unusable: DataFrame | None = None
+    files: DataFrame | None = None
 
 
 def run(params: JobParams, output: str, spectra: DataFrame | None = None,
@@ -279,7 +298,7 @@ def run(params: JobParams, output: str, spectra: DataFrame | None = None,
         tables.append(find_candidates(spectra, params))
     if not tables:
         raise ValueError("neither spectra nor candidates were given")
-    merged = C.merged(tables)
+    merged = nan_to_null(C.merged(tables))
     session = merged.sparkSession
 
     def saved(df: DataFrame, name: str) -> DataFrame:

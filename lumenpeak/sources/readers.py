@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,13 +118,59 @@ def upper_names(df: DataFrame) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Candidate tables as one, names upper-cased, missing columns NULL, bad files skipped."""
+    """Candidate tables as one, names upper-cased, missing columns NULL.  Files that cannot
+    be read are skipped; ``candidate_files`` lists them."""
     files = [paths] if isinstance(paths, str) else list(paths)
     return nan_to_null(upper_names(
         spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True)
         .parquet(*files)))
 
 
+FEW_FILES = 10_000
+# Files that are listed but gave nothing are looked into up to this size.
+LOOKED_INTO = (1 << 31) - 1
+
+
+def candidate_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, bytes, rows, rows_read, state): every file under the paths and what it gave.
+
+    ``rows`` is what the file's footer promises, ``rows_read`` what can be read with all
+    columns.  State ``read``: all rows; ``partial``: some; ``empty``: a sound file without
+    rows; ``damaged``: no readable footer, or no readable row.  Files of no bytes are passed
+    over by Spark and not listed.  Counting reads all columns
+    once, in place; nothing is shuffled but counts per file.
+    """
+    files = [paths] if isinstance(paths, str) else list(paths)
+    listed = spark.read.format("binaryFile").load(files).select(
+        F.col("path").alias("file"), F.col("length").alias("bytes"))
+    name = F.col("_metadata.file_path")
+    try:
+        table = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(*files)
+    except AnalysisException as error:  # not one file has a footer
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        promised = given = spark.createDataFrame([], "file STRING, n BIGINT")
+    else:
+        # without columns only footers are read
+        promised = table.groupBy(name.alias("file")).agg(F.count("*").alias("n"))
+        given = table.select(name.alias("file"), F.xxhash64(*table.columns).alias("h")).groupBy("file").agg(
+            (F.count_if(F.col("h") >= 0) + F.count_if(F.col("h") < 0)).alias("n"))  # a plain count reads no column
+    counted = written(listed.join(promised.withColumnRenamed("n", "rows"), "file", "left").join(
+        given.withColumnRenamed("n", "rows_read"), "file", "left"), "files")
+    silent = counted.where("rows_read IS NULL").select("file")
+    # of files that gave nothing, their first and last four bytes tell a sound file
+    content = spark.read.format("binaryFile").load(files).where(F.col("length") <= LOOKED_INTO).join(
+        F.broadcast(silent) if silent.count() <= FEW_FILES else silent, F.col("path") == F.col("file"), "left_semi")
+    mark = F.lit(b"PAR1")
+    sound = content.where((F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+                          & (F.col("length") >= 12)).select(F.col("path").alias("file"), F.lit(True).alias("sound"))
+    n, seen = F.coalesce("rows", F.lit(0)), F.coalesce("rows_read", F.lit(0))
+    return counted.join(sound, "file", "left").select(
+        "file", "bytes", n.alias("rows"), seen.alias("rows_read"),
+        F.when((seen > 0) & (seen >= n), "read").when(seen > 0, "partial")
+        .when(F.col("sound") & (n == 0), "empty").otherwise("damaged").alias("state"))
+
+
 def truth_catalogue(table: DataFrame, columns: Sequence[str], specid: str,
                     ztrue: str) -> DataFrame:
     """Chosen columns upper-cased, plus SPECID and Z_TRUE as copies of two of them."""

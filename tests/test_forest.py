@@ -129,3 +129,26 @@ def test_forests_given_as_trees(spark, tmp_path):
     loop = spark.createDataFrame([(0, 0, 0, 0)], "tree INT, node INT, left INT, right INT")
     with pytest.raises(ValueError, match="below itself"):
         E.tree_depth(loop)
+
+
+def test_deep_and_odd_trees(spark):
+    """Node numbers with gaps, a tree of one leaf, repeated rows, and a tree that is too deep."""
+    nodes = spark.createDataFrame(
+        [(0, 0, 2, 7, 0, 0.5, [0.0, 0.0]), (0, 2, -1, -1, None, None, [1.0, 0.0]), (0, 7, -1, -1, None, None, [0.0, 1.0]),
+         (3, 0, -1, -1, None, None, [0.5, 0.5])],
+        "tree INT, node INT, left INT, right INT, feature INT, threshold DOUBLE, proba ARRAY<DOUBLE>")
+    rows = spark.createDataFrame([(1, [0.5]), (1, [0.5]), (2, [0.6]), (3, [float("nan")])], "SPECID BIGINT, features ARRAY<DOUBLE>")
+    for size in (1 << 20, 0):
+        out = sorted(map(tuple, E.score_nodes(rows, nodes, 2, ("SPECID",), broadcast_bytes=size).collect()))
+        assert out == [(1, 0.75, 0.25), (1, 0.75, 0.25), (2, 0.25, 0.75), (3, 0.25, 0.75)]
+    assert E.score_nodes(rows.limit(0), nodes, 2, ("SPECID",)).count() == 0
+    with pytest.raises(Exception, match="deeper than max_depth"):
+        E.score_nodes(rows, nodes, 2, ("SPECID",), max_depth=0).collect()
+    with pytest.raises(ValueError, match="more than"):
+        tree, E.TREE_BYTES = E.TREE_BYTES, 10
+        try:
+            E.score_nodes(rows, nodes, 2, ("SPECID",))
+        finally:
+            E.TREE_BYTES = tree
+    plan = E.score_nodes(rows, nodes, 2, ("SPECID",))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

@@ -151,6 +151,24 @@ def test_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "plates").glob("PLATE=*")) == ["PLATE=1", "PLATE=2"]
 
 
+def test_merge_lists_what_each_file_gave(spark, tmp_path):
+    good = spark.createDataFrame([(i, float("nan") if i == 3 else 1.0) for i in range(40)], "SPECID BIGINT, Z_TRY DOUBLE")
+    for name, df in (("a", good), ("empty", good.limit(0))):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    whole = next((tmp_path / "a").glob("*.parquet")).read_bytes()
+    for name, content in (("cut", whole[:len(whole) // 2]), ("text", b"no footer"), ("torn", whole[:4] + b"x" * 60 + whole[64:])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.parquet").write_bytes(content)
+    paths = [str(tmp_path / n) for n in ("a", "empty", "cut", "text", "torn")]
+    result = jobs.merge_files(spark, JobParams(mode="merge"), str(tmp_path / "out"), paths)
+    assert result.candidates.count() == 40 and result.candidates.where("Z_TRY IS NULL").count() == 1
+    states = {r["file"].split("/")[-2]: (r["state"], r["rows"], r["rows_read"]) for r in result.files.collect()}
+    assert states == {"a": ("read", 40, 40), "empty": ("empty", 0, 0), "cut": ("damaged", 0, 0), "text": ("damaged", 0, 0),
+                      "torn": ("damaged", 40, 0)}
+    with pytest.raises(ValueError, match="no candidates can be read"):
+        jobs.merge_files(spark, JobParams(mode="merge"), str(tmp_path / "out2"), [str(tmp_path / "cut")])
+
+
 def test_arms_without_catalogues(spark):
     """Spectra without a varied red arm, and inactive fibres, are left out."""
     rows = [(i, arm, p, 4000.0 + 10 * p, 1.0 if i == 1 and arm == "red" else 1.0 + p % 3, 1.0, 1.0)

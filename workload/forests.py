@@ -122,10 +122,14 @@ def saved_forest(spark, forest):
 
 
 @query("e6_probabilities_by_nodes", with_ctes(SCORED) + """
-SELECT SPECID, cand_id, true AS same FROM scored WHERE cand_id % 10 <> 0 AND Z_TRY >= 2.1e0""")
+SELECT SPECID, cand_id, true AS same FROM scored WHERE cand_id % 10 <> 0""")
 def e6_nodes(spark, sf):
-    """Probabilities equal the mean leaves of the exported trees, row by row."""
-    rows = training_table(spark, sf).where("Z_TRY >= 2.1")
+    """Probabilities equal the mean leaves of the exported trees, row by row, on both sides."""
+    rows = training_table(spark, sf)
+    return _same_by_nodes(spark, rows.where("Z_TRY >= 2.1")).union(_same_by_nodes(spark, rows.where("Z_TRY < 2.1")))
+
+
+def _same_by_nodes(spark, rows):
     forest = E.train_forest(rows, MODEL_FEATURES, 12, 5)
     vectors = E.assembled(rows, forest.features)
     keys = ("SPECID", "cand_id")
@@ -152,6 +156,22 @@ def e6_separable(spark, sf):
     ).alias("CLASS_PREDICTED"))
 
 
+@query("e6_missing_redshifts", with_ctes(SCORED) + """
+SELECT kind, CASE WHEN kind = 'usual' AND cand_id % 10 <> 0 THEN CASE WHEN Z_TRY >= 2.1e0 THEN 0 ELSE 1 END ELSE 2 END AS branch,
+  kind = 'usual' AND cand_id % 10 <> 0 AS scored, count(*) AS n
+FROM (SELECT *, CASE cand_id % 7 WHEN 0 THEN 'nan' WHEN 1 THEN 'null' ELSE 'usual' END AS kind FROM scored) GROUP BY ALL""")
+def e6_missing(spark, sf):
+    """Candidates whose trial redshift, probability or features are NaN are as if they were missing."""
+    rows = training_table(spark, sf)
+    forests = E.train(rows, MODEL_FEATURES, num_trees=4, max_depth=3)
+    nan, kind = F.lit(float("nan")), F.pmod("cand_id", F.lit(7))
+    odd = rows.withColumns({c: F.when(kind == 0, nan).when(kind != 1, F.col(c)) for c in ("Z_TRY", "PROB", "PEAK_SIGNIFICANCE")})
+    odd = odd.withColumn("kind", F.when(kind == 0, "nan").when(kind == 1, "null").otherwise("usual"))
+    out = E.class_probabilities(odd, forests)
+    first = next(c for c in out.columns if c.startswith("PROB_CLASS"))
+    return out.groupBy("kind", "branch", F.col(first).isNotNull().alias("scored")).agg(F.count("*").alias("n"))
+
+
 # five trees of five nodes from the nation table: 0 -> (1, 2), 1 -> (3, 4)
 def nation_nodes(spark, sf):
     k = F.col("n_nationkey").cast("int")
@@ -196,8 +216,8 @@ def e7(spark, sf):
     return _scored_by_nodes(spark, sf)
 
 
-@query("e7_tree_scoring_by_joins", NODES_SQL)
-def e7_joins(spark, sf):
+@query("e7_tree_scoring_by_groups", NODES_SQL)
+def e7_groups(spark, sf):
     """The same for a model too large for one broadcast: every tree travels by itself."""
     return _scored_by_nodes(spark, sf, broadcast_bytes=0)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.constants import LINES
-from lumenpeak.functions.shared import written
+from lumenpeak.functions.shared import fresh_path, written
 from lumenpeak.operators import candidates as C
 from lumenpeak.operators import continuum as K
 from lumenpeak.operators import peaks as P
@@ -431,6 +431,28 @@ def d13(spark, sf):
                              trials.where("try_order >= 3").drop("PEAK_SIGNIFICANCE")]))
 
 
+@query("d13_file_manifest", with_ctes(*PEAKS_CTES, TRIALS) + """
+SELECT CASE WHEN try_order < 3 THEN 'a' ELSE 'b' END AS folder, 'read' AS state, 1::BIGINT AS n_files, count(*)::BIGINT AS n_rows,
+  count(*)::BIGINT AS merged_rows FROM trials GROUP BY ALL
+UNION ALL SELECT 'c', 'damaged', 1, 0, 0 UNION ALL SELECT 'd', 'empty', 1, 0, 0""")
+def file_manifest(spark, sf):
+    """Four candidate files are merged, one of them damaged and one without rows."""
+    trials = written(trials_of(spark, sf).select(*C.CANDIDATE_KEY, "Z_TRY"), "trials")
+    folder = fresh_path(spark, "merged")
+    for name, part in (("a", trials.where("try_order < 3")), ("b", trials.where("try_order >= 3")),
+                       ("d", trials.where("false"))):
+        part.coalesce(1).write.parquet(f"{folder}/{name}")
+    spark.range(1).selectExpr("'no footer' AS value").coalesce(1).write.text(f"{folder}/c")
+    paths = [f"{folder}/{name}" for name in "abcd"]
+    result = jobs.merge_files(spark, JobParams(mode="merge"), f"{folder}/out", paths)
+    given = result.candidates.select(F.when(F.col("TRY_ORDER") < 3, "a").otherwise("b").alias("folder")).groupBy(
+        "folder").agg(F.count("*").alias("merged_rows"))
+    name = F.element_at(F.split("file", "/"), -2)
+    return result.files.groupBy(name.alias("folder"), "state").agg(
+        F.count("*").alias("n_files"), F.sum("rows_read").alias("n_rows")).join(given, "folder", "left").fillna(
+        0, ["merged_rows"])
+
+
 @query("best_peak_candidate", rounded_sql(with_ctes(*METRIC_CTES) + """
 SELECT b.*, count(m.line_index) AS n_lines, avg(ratio) AS mean_ratio FROM (
   SELECT SPECID, peak_pix, try_order, ASSUMED_LINE, Z_TRY, PEAK_SIGNIFICANCE FROM (
