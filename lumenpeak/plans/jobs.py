@@ -39,45 +39,54 @@ def model_features(params: JobParams) -> list[str]:
 ARRAYS = ("wave", "flux", "ivar", "start", "source")
 
 
-def keyed_spectra(spectra: DataFrame) -> DataFrame:
-    """Spectra with a key of their own in SPECID; the object's id moves to ``__object``.
-
-    An object may have been observed several times.  Its spectra differ in their
-    metadata; rows equal in all metadata are pieces of one spectrum.
-    """
-    named = [c for c in spectra.columns if c not in ARRAYS]
-    return spectra.withColumn("__object", F.col("SPECID")).withColumn(
-        "SPECID", F.xxhash64(F.to_json(F.struct(*named))))
-
-
-def observed_spectra(spectra: DataFrame) -> DataFrame:
-    """As ``keyed_spectra``, also for observations that are equal in all metadata.
-
-    A row without ``start`` is a spectrum by itself.  Rows with ``start`` that are equal
-    in all metadata are pieces of one spectrum, or, if all have the same ``start``,
-    spectra of one piece each; longer spectra of equal metadata cannot be put together.
+def observed_spectra(spectra: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Spectra with a key of their own in SPECID (the object's id moves to ``__object``),
+    and the rows that cannot be told apart, or None where that cannot happen.
+
+    An object may have been observed several times, and its spectra may be equal in all
+    metadata.  A row without ``start`` is a spectrum by itself.  Rows with ``start`` that
+    are equal in all metadata are pieces of one spectrum.  Where a ``start`` repeats among
+    them, they are spectra of one piece each if all have the same one, else spectra of the
+    file that ``source`` names; if it repeats in one file too, nothing tells the
+    spectra apart.
     """
     named = [c for c in spectra.columns if c not in ARRAYS]
     # the row's number is given once, so it is written
     rows = written(spectra.withColumns({
         "__object": F.col("SPECID"), "__same": F.xxhash64(F.to_json(F.struct(*named))),
         "__row": F.monotonically_increasing_id()}), "observations")
-    own, key = F.xxhash64("__same", "__row"), F.col("__same")
+    own, key, made = F.xxhash64("__same", "__row"), F.col("__same"), ("__same", "__row", "__file")
     if "start" not in spectra.columns:
-        return rows.withColumn("SPECID", own).drop("__same", "__row")
-    repeated = written(rows.where("start IS NOT NULL").groupBy("__same").agg(
-        F.count("*").alias("__n"), F.countDistinct("start").alias("__starts")).where("__n > __starts"), "repeated")
-    if not repeated.where("__starts > 1").isEmpty():
-        raise ValueError("pieces of several spectra are equal in all metadata and in start; "
-                         "give the spectra a metadata column that tells them apart")
-    rows = rows.join(repeated.select("__same", F.lit(True).alias("__apart")), "__same", "left")
-    return rows.withColumns({
-        "SPECID": F.when(F.col("start").isNull() | F.col("__apart"), own).otherwise(key),
-        "start": F.coalesce("start", F.lit(0))}).drop("__same", "__row", "__apart")
+        return rows.withColumn("SPECID", own).drop(*made), None
+    rows = rows.withColumn("__file", F.coalesce("source", F.lit("")) if "source" in spectra.columns else F.lit(""))
+    counts = F.count("*").alias("n"), F.countDistinct("start").alias("starts"), F.min("start").alias("least"), F.max("start").alias("most")
+    by_file = rows.where("start IS NOT NULL").groupBy("__same", "__file").agg(*counts)
+    verdict = by_file.groupBy("__same").agg(
+        (F.min("least") == F.max("most")).alias("__single"), (F.sum("n")).alias("n"),
+        F.max(F.col("n") > F.col("starts")).alias("__mixed"))
+    # of a group: do starts repeat over all its files?
+    distinct = rows.where("start IS NOT NULL").groupBy("__same").agg(F.countDistinct("start").alias("starts"))
+    repeated = written(verdict.join(distinct, "__same").where("n > starts").select("__same", "__single", "__mixed"), "repeated")
+    rows = rows.join(repeated, "__same", "left")
+    alone = F.col("start").isNull() | F.coalesce("__single", F.lit(False))
+    lost = ~alone & F.coalesce("__mixed", F.lit(False))
+    made = (*made, "__single", "__mixed")
+    told = rows.where(~lost).withColumns({
+        "SPECID": F.when(alone, own).when(F.col("__mixed").isNotNull(), F.xxhash64("__same", "__file")).otherwise(key),
+        "start": F.coalesce("start", F.lit(0))}).drop(*made)
+    return told, rows.where(lost).select(*spectra.columns)
+
+
+def unusable_spectra(spectra: DataFrame) -> DataFrame:
+    """Rows that ``find_candidates`` leaves out: uneven or missing arrays, and pieces of
+    several spectra that nothing tells apart."""
+    valid, bad = C.split_valid(spectra)
+    mixed = observed_spectra(valid)[1] if "start" in spectra.columns else None
+    return bad if mixed is None else bad.unionByName(mixed)
 
 
 def named_again(df: DataFrame) -> DataFrame:
-    """Undo ``keyed_spectra``; the key stays as the last column, SPECTRUM."""
+    """Undo ``observed_spectra``; the key stays as the last column, SPECTRUM."""
     rest = [c for c in df.columns if c not in ("SPECID", "__object")]
     return df.select(F.col("__object").alias("SPECID"), *rest, F.col("SPECID").alias("SPECTRUM"))
 
@@ -95,7 +104,7 @@ def find_candidates(spectra: DataFrame, params: JobParams) -> DataFrame:
     if params.truth_needed:
         C.require_truth(spectra)
     valid, _ = C.split_valid(spectra)
-    valid = observed_spectra(valid)
+    valid, _ = observed_spectra(valid)
     metadata = valid.drop("wave", "flux", "ivar", "start", "source").dropDuplicates(["SPECID"])
     pixels = P.to_pixels(valid)
     # peaks feed the candidates, the metrics and the no-peak rows
@@ -191,7 +200,9 @@ def format_spectra(catalogue: DataFrame, files: DataFrame, sky: DataFrame,
     """Survey catalogue and spectra -> array-form spectra with metadata.
 
     Catalogue filters come first, so only the chosen spectra are joined; then
-    masks, noise, rebinning and filter selection, in this order.
+    masks, noise, rebinning and filter selection, in this order.  Every file row is a
+    spectrum by itself, also where a catalogue row has several; of rows with ``start``,
+    those that ``unusable_spectra`` gives for the joined rows are left out.
     """
     if plates is not None:
         good = readers.good_plates(plates, single_plate)
@@ -200,7 +211,7 @@ def format_spectra(catalogue: DataFrame, files: DataFrame, sky: DataFrame,
         catalogue = catalogue.where(F.col("PLATE") == single_plate)
     if confident_only:
         catalogue = P.keep_confident(catalogue)
-    spectra = keyed_spectra(P.catalogue_spectra(catalogue, files))
+    spectra, _ = observed_spectra(P.catalogue_spectra(catalogue, files))
     arrays = ("wave", "flux", "ivar")
     metadata = spectra.select(*[c for c in spectra.columns if c not in (*arrays, "start")])
     pixels = P.mask_sky(P.to_pixels(spectra), sky, margin)
@@ -308,7 +319,7 @@ def run(params: JobParams, output: str, spectra: DataFrame | None = None,
     table = saved(merged, "candidates")
     unusable = None
     if spectra is not None and params.mode != "merge":
-        unusable = saved(C.split_valid(spectra)[1], "unusable_spectra")
+        unusable = saved(unusable_spectra(spectra), "unusable_spectra")
     if params.mode in ("merge", "candidates"):
         return Result(candidates=table, unusable=unusable)
     if "training" in params.mode:

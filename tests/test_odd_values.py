@@ -86,8 +86,16 @@ def test_repeated_ids_of_equal_metadata(spark):
     one, keys = found(pieces.withColumn("SPECID", F.when(F.col("flux")[0] == same.first().flux[0], "x").when(
         F.col("flux")[0] == same.first().flux[200], "x").otherwise("y")))
     assert one == apart and len(keys) == 2
-    with pytest.raises(ValueError):
-        jobs.find_candidates(pieces, params)
+    first = F.col("flux")[0].isin(same.first().flux[0], same.first().flux[200])
+    told = pieces.withColumn("source", F.when(first, "a").otherwise("b"))  # each from a file of its own
+    one, keys = found(told)
+    assert one == apart and len(keys) == 2
+    # nothing tells these apart: they are listed, and the others are found all the same
+    other = pieces.withColumn("SPECID", F.lit("z")).where(first)
+    rest, keys = found(pieces.union(other))
+    assert len(keys) == 1 and set(rest) < set(apart)
+    assert jobs.unusable_spectra(pieces.union(other)).count() == 4
+    assert jobs.unusable_spectra(told).count() == 0 == jobs.unusable_spectra(same).count()
 
 
 def test_spectra_off_the_break_grid_keep_their_peaks(spark):

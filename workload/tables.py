@@ -342,3 +342,34 @@ def formatted(spark, sf):
     out = jobs.format_spectra(catalogue, files, sky(spark, sf), tray="standard",
                               forbidden=[(4000.0, 4300.0)])
     return array_sums(out)
+
+
+@query("formatted_repeats", """SELECT SPECID, PLATE, 2::BIGINT AS n_spectra, n::BIGINT AS pixels FROM (
+  SELECT vec_id AS SPECID, label::BIGINT AS PLATE, len(embedding) AS n FROM embeddings)""")
+def formatted_repeats(spark, sf):
+    """Every file row twice: each is a spectrum by itself, none is merged with its copy."""
+    spectra = array_spectra(spark, sf)
+    keys = [F.col("PLATE"), (F.col("SPECID") % 1000).alias("MJD"), F.col("SPECID").alias("FIBERID")]
+    files = spectra.select(*keys, "wave", "flux", "ivar")
+    out = jobs.format_spectra(spectra.select("SPECID", *keys), files.union(files), sky(spark, sf))
+    return out.groupBy("SPECID", "PLATE").agg(F.count("*").alias("n_spectra"), F.max(F.size("wave")).cast(
+        "bigint").alias("pixels"))
+
+
+@query("d1_pieces_of_two_files", """SELECT CASE vec_id % 3 WHEN 0 THEN 'unusable' ELSE 'found' END AS what,
+  vec_id AS SPECID, (CASE vec_id % 3 WHEN 0 THEN 4 ELSE 2 END)::BIGINT AS n FROM (
+  SELECT DISTINCT vec_id % 50 AS vec_id FROM embeddings)""")
+def pieces_of_two_files(spark, sf):
+    """Two observations of each object, equal in all metadata and cut in two pieces, come from
+    two files; those of a third of the objects from one file, so nothing tells them apart."""
+    spectra = array_spectra(spark, sf).select((F.col("SPECID") % 50).alias("SPECID"), "wave", "flux", "ivar").dropDuplicates(["SPECID"])
+    both = spectra.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source")).withColumn(
+        "source", F.when(F.col("SPECID") % 3 == 0, "a").otherwise(F.col("source")))
+    arrays = ("wave", "flux", "ivar")
+    pieces = [both.select("SPECID", "source", *[F.slice(c, at + 1, 30 if at == 0 else 1000).alias(c) for c in arrays],
+                          F.lit(at).alias("start")) for at in (0, 30)]
+    pieces = pieces[0].union(pieces[1])
+    told, mixed = jobs.observed_spectra(pieces)
+    found = told.groupBy(F.col("__object").alias("id")).agg(F.countDistinct("SPECID").alias("n"))
+    return found.select(F.lit("found").alias("what"), F.col("id").alias("SPECID"), "n").union(
+        mixed.groupBy("SPECID").agg(F.count("*").alias("n")).select(F.lit("unusable"), "SPECID", "n"))
