@@ -2,18 +2,25 @@
 
 The automaton holds every run of words of every template.  A document's words stream
 through it once and give, at each word, the longest run that ends there and occurs in
-some template.  Runs that cannot be prolonged give pairs (document place, template place),
-one for each place where the template holds the run; these are chained, per template and
-in order on both sides, into spans; the share of a template's words that a chain covers
-is its coverage.
+some template.  Its suffix links lead to the shortest run of that end that still counts,
+and so to every place of every template where such a run ends: these are the pairs
+(document place, template place) of all common runs, whichever template holds the
+longest.  They are chained, per template and in order on both sides, into spans; the
+share of a template's words that a chain covers is its coverage.
+
+Some words tell a licence from one that reads much the same (``telling``), or name it
+(``NAMING``).  A chain holds all such words of its template, and steps over no word of the
+document that tells: "CC BY-ND" is not "CC BY" with a word too many.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from bisect import bisect
+from bisect import bisect, bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -44,11 +51,40 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+             "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+             "License, or (at your option) any later version"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+             "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+             "License, or (at your option) any later version"),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("bsd", "Released under the BSD License"),
+    ("isc", "Released under the ISC License"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+            "License v2.0"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+             "be held liable for any damages arising from the use of this software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, "
+                  "modify, publish, use, compile, sell, or distribute this software"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+            "to this work"),
+    ("cc0", "Licensed under CC0 1.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    *[("-".join(["cc-by", *short]), "This work is licensed under a Creative Commons "
+       + "-".join(["Attribution", *long]) + " 4.0 International License") for short, long in (
+        ((), ()), (("nc",), ("NonCommercial",)), (("sa",), ("ShareAlike",)), (("nd",), ("NoDerivatives",)),
+        (("nc", "sa"), ("NonCommercial", "ShareAlike")), (("nc", "nd"), ("NonCommercial", "NoDerivatives")))],
 ]
+# Words that name a licence.
+NAMING = set("mit apache gnu mozilla eclipse creative cc cc0 bsd isc".split())
+# Templates of different labels that differ in at most so many words read much the same.
+ALIKE = 4
 # A run counts from so many words; a chain labels from this coverage; runs of one
 # chain stand at most so many words apart.
 MIN_RUN, MIN_COVER, MAX_GAP = 2, 0.8, 12
@@ -123,22 +159,27 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def scan(self, words: list[str], least: int = MIN_RUN) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Base phrases as (start, phrase), and longest runs as (stop, length, state)."""
+    def shortest(self, least: int = MIN_RUN) -> list[int]:
+        """Per state, the state up its suffix links whose runs are the shortest of at least
+        ``least`` words; the state itself if it has none so long."""
+        out = list(range(len(self.next)))
+        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            if self.length[self.link[s]] >= least:
+                out[s] = out[self.link[s]]
+        return out
+
+    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+        """Base phrases as (start, phrase), and matching statistics as (stop, length, state):
+        the longest run that ends before ``stop``, where there is one."""
         found, runs = [], []
         moves, link, length, phrases = self.next, self.link, self.length, self.phrases
         s = n = 0
         for i, c in enumerate(map(self.vocabulary.get, words)):
             if c is None:
-                if n:
-                    if n >= least:
-                        runs.append((i, n, s))
-                    s = n = 0
+                s = n = 0
                 continue
             to = moves[s].get(c)
             if to is None:
-                if n >= least:
-                    runs.append((i, n, s))
                 while s and to is None:
                     s = link[s]
                     to = moves[s].get(c)
@@ -147,76 +188,115 @@ class Automaton:
                     s = n = 0
                     continue
             s, n = to, n + 1
+            runs.append((i + 1, n, s))
             if phrases[s]:
                 found += [(i + 1 - self.sizes[p], p) for p in phrases[s] if self.sizes[p] <= n]
-        if n >= least:
-            runs.append((len(words), n, s))
         return found, runs
 
 
-def pairs(runs: list[tuple[int, int, int]], machine: Automaton) -> dict[int, dict[int, set[int]]]:
-    """Per template, by document place, the template places that runs give."""
+def pairs(runs: list[tuple[int, int, int]], machine: Automaton, shortest: list[int],
+          least: int = MIN_RUN) -> dict[int, dict[int, set[int]]]:
+    """Per template, by document place, the places of the template on a common run of at
+    least ``least`` words.  Every such run is the overlap of those of that length."""
     out: dict[int, dict[int, set[int]]] = {}
     for stop, n, state in runs:
-        for t, ends in machine.ends[state].items():
-            found = out.setdefault(t, {})
-            for end in ends:
-                for k in range(1, n + 1):
-                    found.setdefault(stop - k, set()).add(end - k)
+        if n >= least:
+            for t, ends in machine.ends[shortest[state]].items():
+                found = out.setdefault(t, {})
+                for end in ends:
+                    for k in range(1, least + 1):
+                        found.setdefault(stop - k, set()).add(end - k)
     return out
 
 
-def chained(found: dict[int, set[int]], gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
+def chained(found: dict[int, set[int]], marks: list[int], barred: list[int],
+            gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
     """(words, start, stop) of the best chain that ends at each pair.
 
-    A chain goes up in both places; words of the document that follow each other in it
-    stand at most ``gap`` words apart.  The best has most words, then the latest start.
+    A chain goes up in both places and holds every place in ``marks`` of the template;
+    words of the document that follow each other in it stand at most ``gap`` words apart,
+    with none of the places in ``barred`` between them.  The best has most words, then the
+    latest start.
     """
     rows: dict[int, list[tuple[int, int, int]]] = {}
     out = []
     for i in sorted(found):
-        before = [x for k in range(i - gap - 1, i) for x in rows.get(k, ())]
+        b = bisect_left(barred, i)
+        low = max(i - gap - 1, barred[b - 1] if b else 0)
+        before = [x for k in range(low, i) for x in rows.get(k, ())]
         rows[i] = row = []
         for j in found[i]:
-            n, a = max([(n, a) for at, n, a in before if at < j], default=(0, i))
-            row.append((j, n + 1, a))
-            out.append((n + 1, a, i + 1))
+            m = bisect_left(marks, j)
+            held = marks[m - 1] if m else -1  # the mark that must not be skipped
+            n, a = max([(n, a) for at, n, a in before if held <= at < j], default=(0, i))
+            if n or held < 0:
+                row.append((j, n + 1, a))
+                if not marks or j >= marks[-1]:
+                    out.append((n + 1, a, i + 1))
     return out
 
 
-def chains(runs: list[tuple[int, int, int]], machine: Automaton, sizes: list[int],
-           gap: int = MAX_GAP, cover: float = MIN_COVER) -> list[tuple[int, int, int, float]]:
+def chains(words: list[str], runs: list[tuple[int, int, int]], built: Built, gap: int = MAX_GAP,
+           cover: float = MIN_COVER) -> list[tuple[int, int, int, float]]:
     """(template, start, stop, coverage) of chains that cover enough of a template.
 
     Those of one template do not overlap; the one that covers most is taken first.
     """
     done = []
-    for t, found in pairs(runs, machine).items():
-        if len(found) / sizes[t] < cover:
+    for t, found in pairs(runs, built.machine, built.shortest).items():
+        size = built.sizes[t]
+        if len(found) / size < cover:
             continue
-        ends = [x for x in chained(found, gap) if x[0] / sizes[t] >= cover]
+        barred = [i for i, w in enumerate(words) if w in built.tells[t]] if built.tells[t] else []
+        ends = [x for x in chained(found, built.marks[t], barred, gap) if x[0] / size >= cover]
         taken: list[tuple[int, int]] = []
         for n, a, z in sorted(ends, key=lambda x: (-x[0], x[2], -x[1])):
             k = bisect(taken, (a, z))
             if (not k or taken[k - 1][1] <= a) and (k == len(taken) or z <= taken[k][0]):
                 taken.insert(k, (a, z))
-                done.append((t, a, z, n / sizes[t]))
+                done.append((t, a, z, n / size))
     return done
 
 
-def build(templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> tuple[Automaton, list, list, list]:
-    texts = [words_of(t) for _, t in templates]
-    machine = Automaton(texts, [words_of(p) for p in base])
-    return machine, [label for label, _ in templates], list(base.values()), [len(t) for t in texts]
+def telling(texts: list[list[str]], labels: list[str], alike: int = ALIKE) -> list[set[str]]:
+    """Per template, the words by which it differs from templates of other labels that read much the same."""
+    out = []
+    for text, label in zip(texts, labels):
+        own, tells = Counter(text), set()
+        for other, name in zip(texts, labels):
+            differ = (own - Counter(other)) + (Counter(other) - own)
+            if name != label and differ.total() <= alike:
+                tells |= set(differ)
+        out.append(tells)
+    return out
+
+
+@dataclass(frozen=True)
+class Built:
+    """The automaton, and per template its label, length, telling words and the places a chain must hold."""
+
+    machine: Automaton
+    labels: list[str]
+    base: list[str]
+    sizes: list[int]
+    shortest: list[int]
+    tells: list[set[str]]
+    marks: list[list[int]]
+
+
+def build(templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE) -> Built:
+    texts, labels = [words_of(t) for _, t in templates], [label for label, _ in templates]
+    machine, tells = Automaton(texts, [words_of(p) for p in base]), telling(texts, labels)
+    marks = [[i for i, w in enumerate(text) if w in own or w in NAMING] for text, own in zip(texts, tells)]
+    return Built(machine, labels, list(base.values()), [len(t) for t in texts], machine.shortest(), tells, marks)
 
 
-def scan_text(text: str | None, built) -> tuple:
+def scan_text(text: str | None, built: Built) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
-    machine, names, base_names, sizes = built
-    words = words_of(text)
-    found, runs = machine.scan(words)
-    spans = chains(runs, machine, sizes)
-    base = {base_names[p] for _, p in found}
+    words, names = words_of(text), built.labels
+    found, runs = built.machine.scan(words)
+    spans = chains(words, runs, built)
+    base = {built.base[p] for _, p in found}
     starts = [a for a, _ in found]
     score = 1.0 if found else max((c for *_, c in spans), default=0.0)
     listed = sorted([{"label": names[t], "start": a, "stop": z, "coverage": c} for t, a, z, c in spans],
@@ -228,8 +308,10 @@ def scan_text(text: str | None, built) -> tuple:
 def scanned(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``; see ``SCHEMA``.
 
-    NULL and empty texts have no words, no labels and score 0.  The score is 1 where
-    a base phrase stands, else the best coverage of a template that labels.
+    NULL and empty texts have no words, no labels and score 0; an empty table gives no
+    rows and repeated rows each have one.  The score is 1 where a base phrase stands, else
+    the best coverage of a template that labels.  Of overlapping chains of one template
+    that cover the same, the one that ends first counts, then the shorter.
     """
     kind = dict(docs.dtypes)["doc_id"]
     spans = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64()),
