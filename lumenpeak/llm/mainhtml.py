@@ -17,6 +17,7 @@ import html
 import math
 import re
 import sys
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +49,9 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
           "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"}),
           "option": ({"option"}, {"select"})}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
+# A comment, a declaration, or the beginning of a tag; attributes of a tag with the quoted ones whole.
+MARK = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)")
+ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PART = re.compile(r"[A-Za-z]+")
@@ -75,15 +78,63 @@ class Page:
         self.linked.append(0)
         return len(self.tag) - 1
 
+    def _marks(self, source: str) -> Iterator[tuple[int, int, str | None, str, bool]]:
+        """(start, end, name or None, attributes, is an end tag) of each piece of markup.
+
+        What is left without its ``>`` is text.  Where a quote of an attribute is never
+        closed, tags end at the next ``>`` from there on, so nothing is read twice.  The
+        content of RAW elements is passed over.
+        """
+        at, quotes = 0, True
+        while m := MARK.search(source, at):
+            start, name, attrs = m.start(), m[2], ""
+            if m[0] == "<!--":
+                end = source.find("-->", m.end())
+                end = len(source) if end < 0 else end + 3
+            elif name is None:
+                end = source.find(">", m.end()) + 1
+            else:
+                stop = ATTRS.match(source, m.end()).end() if quotes else len(source)
+                if stop == len(source) or source[stop] != ">":
+                    quotes, stop = False, source.find(">", m.end())
+                end, attrs = stop + 1, source[m.end():max(stop, m.end())]
+            if end <= 0:
+                return  # no more > in the page
+            name = name and name.lower()
+            yield start, end, name, attrs, bool(m[1])
+            at = end
+            if name in RAW and not m[1] and not attrs.endswith("/"):
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                stop = source.find(">", close.end()) if close else -1
+                at = stop + 1 or len(source)
+                yield at, at, None, "", False
+
     def _read(self, source: str) -> None:
-        stack, links, dropped, at = [0], 0, 0, 0
+        """``places`` has the places in the stack of each open name, ``blocks`` those of
+        open blocks, so no step walks the stack but to close what it closes."""
+        stack, places, blocks, links, dropped, at = [0], {}, [], 0, 0, 0
         segments, tags = self.segments, self.tag
-        while True:
-            m = TAG.search(source, at)
-            text = source[at:m.start()] if m else source[at:]
+
+        def last(name: str) -> int:
+            return places[name][-1] if places.get(name) else 0
+
+        def close(k: int) -> bool:
+            """Close the stack from place k on; whether a block is closed."""
+            nonlocal links, dropped
+            for n in reversed(stack[k:]):
+                name = tags[n]
+                places[name].pop()
+                links -= name == "a"
+                dropped -= name in DROPPED
+            del stack[k:]
+            some = bool(blocks) and blocks[-1] >= k
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
+            return some
+
+        def read(text: str) -> None:
             if dropped and tags[stack[-1]] == "head" and text and not text.isspace():
-                stack.pop()
-                dropped -= 1
+                close(len(stack) - 1)
             if text and not dropped and not text.isspace():
                 node = stack[-1]
                 segments.append((node, html.unescape(text) if "&" in text else text))
@@ -92,69 +143,51 @@ class Page:
                     self.linked[node] += len(text)
             elif text and not dropped:
                 segments.append((stack[-1], " "))
-            if not m:
-                return
-            at = m.end()
-            name = m[2]
+
+        for start, end, name, attrs, ends in self._marks(source):
+            if start > at and not (name is None and start == end):
+                read(source[at:start])
+            at = end
             if name is None:
                 continue
-            name = name.lower()
-            if m[1]:  # an end tag without its start tag is passed over
-                if name == "p" and not any(tags[n] == "p" for n in stack):
-                    continue
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        for n in stack[k:]:
-                            links -= tags[n] == "a"
-                            dropped -= tags[n] in DROPPED
-                        if any(tags[n] in BLOCK for n in stack[k:]):
-                            segments.append(None)
-                        del stack[k:]
-                        break
-                    if name not in BLOCK and tags[stack[k]] in BLOCK:
-                        break  # an inline end tag does not close a block
+            if ends:  # an end tag without its start tag is passed over
+                k = last(name)
+                # an inline end tag does not close a block
+                if k and (name in BLOCK or not blocks or blocks[-1] < k) and close(k):
+                    segments.append(None)
                 continue
             if dropped and (name in ("head", "body") or tags[stack[-1]] == "head" and name not in IN_HEAD):
-                k = next((k for k, n in enumerate(stack) if tags[n] == "head"), 0)
+                k = places["head"][0] if places.get("head") else 0
                 if k and name == "head":
                     continue  # a second head inside the first
                 if k:
-                    for n in stack[k:]:
-                        links -= tags[n] == "a"
-                        dropped -= tags[n] in DROPPED
-                    del stack[k:]
+                    close(k)
             if name == "br" and not dropped:
                 segments.append((stack[-1], " "))
-            shut, bound = CLOSES.get(name, ({"p"} if name in BLOCK else None, {"button"}))
-            if name in CLOSES and name in BLOCK:
-                shut = shut | {"p"}
-            if shut:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] in bound:
-                        break
-                    if tags[stack[k]] in shut:
-                        for n in stack[k:]:
-                            links -= tags[n] == "a"
-                            dropped -= tags[n] in DROPPED
-                        del stack[k:]
-                        if name not in CLOSES:
-                            break
-                    elif tags[stack[min(k, len(stack) - 1)]] in BLOCK and name not in CLOSES:
-                        break
+            if name in CLOSES:
+                shut, bound = CLOSES[name]
+                if name in BLOCK:
+                    shut = shut | {"p"}
+                low = max(map(last, bound))
+                above = [places[x][k] for x in shut if places.get(x) and (k := bisect(places[x], low)) < len(places[x])]
+                if above:
+                    close(min(above))
+            elif name in BLOCK and blocks and blocks[-1] > last("button") and tags[stack[blocks[-1]]] == "p":
+                close(blocks[-1])
             if name in BLOCK:
                 segments.append(None)
-            if name in VOID:
-                continue
-            if name in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+            if name in VOID or name in RAW and not attrs.endswith("/"):
                 continue
-            node = self._open(stack[-1], name, m[3])
-            if m[3].endswith("/") and name in ("svg", "path", "iframe"):
+            node = self._open(stack[-1], name, attrs)
+            if attrs.endswith("/") and name in ("svg", "path", "iframe"):
                 continue
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
             links += name == "a"
             dropped += name in DROPPED
+        read(source[at:])
 
     def features(self) -> list[list[str]]:
         """Features of every node; text and links below it are summed upwards."""

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -213,6 +214,36 @@ def test_a_template_inside_a_longer_run_of_another():
     assert {"label": "apache", "start": 0, "stop": 8, "coverage": 1.0} in got[7]
 
 
+@pytest.mark.parametrize("piece", [
+    ("", "<span>", "</p></section>"), ("", "<b>", "</i></u>"), ("", "<a ", ""), ("", "<i><div><b></i>", ""),
+    ("", '<a ">" ', ""), ("<script>", "</script ", ""), ("", "<!", ""), ("<ul>", "<li><b>", ""),
+    ("<select>", "<span>", "<body>"), ("<table>", "<b>", "<td>x"), ("", "<div>", "</div>"), ("", "<a 'x", "\""),
+    ("", "&amp;<p>", "</h1>"), ("", "<textarea", ">"), ("<head>", "<title><p>", "</title>")])
+def test_broken_markup_takes_linear_time(piece):
+    begin, one, two = piece
+    n = 1_000_000 // (len(one) + len(two))
+    started = time.process_time()
+    page = mainhtml.Page(begin + one * n + two * n)
+    page.features()
+    assert time.process_time() - started < 5
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<div>a<p>b</div>c", ["a", "b", "c"]), ("<p>a<b>b<div>c</b>d</div>e", ["ab", "cd", "e"]),
+    ("<a title='x>y'>a</a><a title='b>c", ["ac"]), ("a < b <p>c", ["a < b", "c"]),
+    ("<p>a<script>if (a</b) '</p>'</script >b</p>c", ["ab", "c"]), ("<ul><li>a<b>b<li>c</ul>d", ["ab", "c", "d"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]), ("<!-- <p>x --><p>y<!-- z", ["y"])])
+def test_blocks_of_odd_markup(source, want):
+    blocks, now = [], []
+    for s in [*mainhtml.Page(source).segments, None]:
+        if s is not None:
+            now.append(s[1])
+        elif "".join(now).strip():
+            blocks.append(" ".join("".join(now).split()))
+            now = []
+    assert blocks == want
+
+
 def test_marginals_are_exact():
     rng = np.random.default_rng(8)
     lengths = np.array([1, 5, 0, 7])
