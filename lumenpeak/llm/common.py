@@ -48,6 +48,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0 ** -53)

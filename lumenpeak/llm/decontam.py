@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
-from lumenpeak.llm.common import measured, terms, text_key
+from lumenpeak.llm.common import measured, terms, text_key, unused
 
 WINDOW = 13
 END = "$"  # no word: stands behind the last word of a row
@@ -157,8 +157,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated.  The verdict depends on the
-    text alone, so rows are left out by their text key."""
-    bad = decontaminated(docs, items, size).where("contaminated").select(F.col("key").alias("__key")).distinct()
+    """The rows of ``docs`` that are not contaminated, with their columns.  The verdict
+    depends on the text alone, so rows are left out by their text key."""
+    key = unused(docs, "bad_text")
+    bad = decontaminated(docs, items, size).where("contaminated").select(F.col("key").alias(key)).distinct()
     _, bad = measured(bad, "contaminated")
-    return docs.join(bad, text_key() == F.col("__key"), "left_anti")
+    return docs.join(bad, text_key() == F.col(key), "left_anti")

@@ -16,16 +16,23 @@ from lumenpeak.llm.common import SPACES, WORD, let, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+# Measurements; the last three serve the rules only.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_noise", "n_wide")
+SHOWN = MEASURES[:5]
+# Lines whose symbols are no noise: headings and directives, rows of a table, and code.
+MARKUP = r"^\s*#|^\s*\|.*\|\s*$|[(){};=]"
+# Characters of scripts that are written without spaces.
+WIDE = (r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+        r"\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]")
 
 # rule -> SQL condition of a failure over the measurements; bit k is the k-th rule.
 RULES = {
     "few_words": "n_words < 10",
     "repeated_words": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "4 * n_symbols > n_words",
+    "symbols": "4 * n_noise > n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
-    "long_words": "word_chars > 30 * n_words",
+    "long_words": "word_chars - n_wide > 30 * n_words",
 }
 # policy version -> rules whose failure rejects a document.
 POLICIES = {
@@ -63,7 +70,9 @@ def _repeat_words(w: Column) -> Column:
 def measures(text: Column) -> Column:
     """Struct of all measurements of a text; NULL counts as empty.
 
-    Windows of words are told apart by a 64-bit hash of their five words.
+    Windows of words are told apart by a 64-bit hash of their five words.  ``n_noise`` are
+    the symbols outside of lines that are markup or code; ``n_wide``, of texts of long words
+    only, the characters of scripts without spaces.
     """
     text = F.coalesce(text, F.lit(""))
 
@@ -71,8 +80,14 @@ def measures(text: Column) -> Column:
         return F.length(F.translate(c, chars, ""))
 
     def of_lines(lines: Column) -> Column:
+        other = F.array_join(F.filter(lines, lambda x: ~x.rlike(MARKUP)), "\n")
         return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).alias("dup"),
-                        F.size(lines).alias("n"))
+                        F.size(lines).alias("n"),
+                        let(other, lambda x: F.length(x) - length_without(x, SYMBOLS)).alias("noise"))
+
+    def wide(n_words: Column) -> Column:
+        return F.when(length_without(text, SPACES) > 30 * n_words, F.length(text) - F.length(
+            F.regexp_replace(text, WIDE, ""))).otherwise(F.lit(0))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     by_word = let(words(text), lambda w: F.struct(
@@ -81,7 +96,7 @@ def measures(text: Column) -> Column:
         c.cast("long").alias(name) for name, c in zip(MEASURES, (
             m["w"]["n"], length_without(text, SPACES),
             F.length(text) - length_without(text, SYMBOLS),
-            m["l"]["dup"], m["w"]["repeat"], m["l"]["n"]), strict=True)]))
+            m["l"]["dup"], m["w"]["repeat"], m["l"]["n"], m["l"]["noise"], wide(m["w"]["n"])), strict=True)]))
 
 
 def with_ledger(docs: DataFrame, rules: dict[str, str] = RULES, text: str = "text") -> DataFrame:
@@ -142,13 +157,13 @@ def ablations(ledger: DataFrame, policy: str | tuple[str, ...],
 def judged(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """doc_id, measurements, base_failed, kept, failure_bits."""
     led = with_ledger(docs.select("doc_id", "text"))
-    shown = [F.col(f"ledger.{m}").alias(m) for m in MEASURES if m != "n_lines"]
+    shown = [F.col(f"ledger.{m}").alias(m) for m in SHOWN]
     return led.select("doc_id", *shown, (~passes("base")).alias("base_failed"),
                       (passes("base") & passes(policy)).alias("kept"),
                       F.col("ledger.failure_bits").alias("failure_bits"))
 
 
 def kept(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
-    led = with_ledger(docs)
-    return led.where(passes("base") & passes(policy)).select(*docs.columns)
+    """The rows of ``docs`` that pass, with their columns; one named ``ledger`` is kept, too."""
+    led = with_ledger(docs.select("text", F.struct(*docs.columns).alias("row")))
+    return led.where(passes("base") & passes(policy)).select("row.*")

@@ -91,14 +91,17 @@ rp AS (SELECT rid, i FROM sh QUALIFY count(*) OVER (PARTITION BY rid, s) > 1),
 rw AS (SELECT rid, count(DISTINCT p) r FROM (SELECT rid, unnest(range(i, i + 5)) p FROM rp) GROUP BY rid),
 m AS (SELECT w.*, len(ws)::BIGINT n_words, coalesce(list_sum([len(x) FOR x IN ws]), 0)::BIGINT word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols,
-  (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(r, 0)::BIGINT n_repeat_words, len(ls) n_lines
+  (len(ls) - len(list_distinct(ls)))::BIGINT n_dup_lines, coalesce(r, 0)::BIGINT n_repeat_words, len(ls) n_lines,
+  coalesce(list_sum([len(x) - len(regexp_replace(x, '[#*$%&|<>]', '', 'g')) FOR x IN ls
+    IF NOT regexp_matches(x, '{quality.MARKUP}', 's')]), 0) n_noise,
+  length(t) - length(regexp_replace(t, '{quality.WIDE}', '', 'g')) n_wide
   FROM w LEFT JOIN rw USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM m)
-SELECT *, NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words
-  OR word_chars > 30 * n_words) kept,
-  ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (4 * n_symbols > n_words)::INT
+SELECT *, NOT (base_failed OR 4 * n_noise > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words
+  OR word_chars - n_wide > 30 * n_words) kept,
+  ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (4 * n_noise > n_words)::INT
    + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT
-   + 32 * (word_chars > 30 * n_words)::INT)::BIGINT failure_bits FROM b"""
+   + 32 * (word_chars - n_wide > 30 * n_words)::INT)::BIGINT failure_bits FROM b"""
 
 
 @query("op10_quality_rules", f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -12,6 +12,8 @@ in two steps, between groups of blocks and then inside every group in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from lumenpeak.functions.shared import written
 from lumenpeak.llm.common import let, uniform
 
 SHARDS, SEED = 8, 7
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 BLOCK_BITS = 16  # rows of a block, as a power of two
 GROUP = 256      # blocks whose lines of the matrix are drawn together
 SLOT_ROWS = 65_536  # rows of a shard that are ordered together
@@ -117,18 +120,20 @@ def matrix(counts: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
         F.col("r.at").alias("block"), F.col("r.line").alias("line"))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row, and the columns ``keep``.
 
     The law is ``rows``: shard sizes differ by one row at most.  A NULL text has size
     1 and the checksum of no bytes.  Repeated rows are rows of their own.  The table
-    of ids is written once, so row numbers hold when tasks run again.
+    of ids is written once, so row numbers hold when tasks run again.  Columns of the
+    input that are named as one of the result's are not among those that may be kept.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = written(docs.select(
+    kept = F.struct(*keep) if keep else F.lit(None)
+    whole = written(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("row")), "shard-rows").withColumn(
-        "block", F.shiftright("row", BLOCK_BITS))
+        F.monotonically_increasing_id().alias("row"), *([kept.alias("kept")] if keep else [])), "shard-rows")
+    rows = whole.drop("kept").withColumn("block", F.shiftright("row", BLOCK_BITS))
     counts = written(rows.groupBy("block").agg(F.count("*").alias("n")), "shard-blocks")
     lines = written(matrix(counts, shards, seed), "shard-matrix")
     local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), "row"), "row")
@@ -148,8 +153,18 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("key", "row"))
-    return dealt.withColumn("inside", inside).join(
+    placed = dealt.withColumn("inside", inside).join(
         held.select("shard", "cell", before.alias("before")), ["shard", "cell"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("before") + F.col("inside") - 1).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"))
+        F.lit(None).cast("int").alias("grown_shard"), "row")
+    if not keep:
+        return placed.drop("row")
+    # texts move once, to their row's place
+    return placed.join(whole.select("row", "kept"), "row").select(*RESULT, *[F.col(f"kept.`{c}`").alias(c) for c in keep])
+
+
+def sharded_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """``sharded`` with all columns of ``docs`` but those that the result has itself."""
+    own = {c.lower() for c in RESULT}
+    return sharded(docs, shards, seed, [c for c in docs.columns if c.lower() not in own])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
-from lumenpeak.llm.common import UPPER, measured, text_key
+from lumenpeak.llm.common import UPPER, measured, text_key, unused
 from lumenpeak.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no package
@@ -193,12 +193,13 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) ->
     kept = firsts.groupBy("root").agg(F.min("key").alias("stays"))
     judged = firsts.join(kept, "root").select("doc_id", "key", "n", (F.col("key") != F.col("stays")).alias("goes")).union(
         ranked.where("NOT first").select("doc_id", "key", "n", F.lit(True)))
+    named, key = unused(docs, "judged_id"), unused(docs, "judged_text")
     judged = written(judged.where("goes OR n > 1").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "goes"), "judged")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key"))
-    _, leaving = measured(judged.select("__id", "__key"), "leaving")
+        F.col("doc_id").alias(named), F.col("key").alias(key), "goes"), "judged")
+    same = F.col("doc_id").eqNullSafe(F.col(named)) & (text_key() == F.col(key))
+    _, leaving = measured(judged.select(named, key), "leaving")
     alone = docs.join(leaving, same, "left_anti")
-    again, marked = measured(judged.where("NOT goes").select("__id", "__key"), "again")
+    again, marked = measured(judged.where("NOT goes").select(named, key), "again")
     if not again.count():
         return alone
     return alone.union(docs.join(marked, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -170,6 +170,8 @@ def fit(texts: Sequence[str], toxic: Sequence[int], seed: int = 1) -> Tagger:
             piece = ids[s:s + SEGMENT]
             segments.append(piece)
             tags.append(marked[piece].astype(float) if y else np.zeros(len(piece)))
+    if not segments:  # labelled texts without words: the share of toxic ones is all there is to learn
+        return Tagger({}, -5.0, np.ones((2, 2)), _logistic(np.tile([1.0, 0, 0, 0], (len(toxic), 1)), toxic))
     lengths = np.array([len(s) for s in segments], np.int64)
     ids, y = np.concatenate(segments), np.concatenate(tags)
     inner = np.ones(len(ids), bool)  # tokens with a token before them in their segment

@@ -24,6 +24,21 @@ def measured(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside))
 
 
+def noise(text):
+    """Symbols outside of headings, table rows and code."""
+    lines = [x for x in (text or "").split("\n") if WORD.search(x) and not re.match(r"\s*(#|\|.*\|\s*$)", x) and not set(x) & set("(){};=")]
+    return sum(len(re.findall(r"[#*$%&|<>]", x)) for x in lines)
+
+
+def test_clean_texts_of_other_kinds_stay(spark):
+    chinese = "\n".join("".join(chr(0x4E00 + (7 * i + 31 * j) % 900) for j in range(60)) for i in range(14))
+    code = "\n".join(f"#define FLAG_{i} (1 << {i})" for i in range(20)) + "\nint main() {\n  return a & b | c;\n}"
+    table = "# Heading one\n" + "\n".join(f"| name{i} | value{i * i} | note{i} |" for i in range(20))
+    junk = [" ".join(f"word{i}###" for i in range(40)), " | ".join(f"word{i}" for i in range(60)), " ".join("x" * 40 + str(i) for i in range(30))]
+    df = spark.createDataFrame(list(enumerate([chinese, code, table, *junk])), "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality.judged(df).collect()} == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
+
+
 def test_measures(spark):
     rng = random.Random(3)
     texts = [d[1] for d in DOCS] + [" ".join(rng.choice("ab") for _ in range(n)) for n in (4, 5, 6, 9, 30, 80)]
