@@ -65,3 +65,15 @@ def measured(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> tuple[Dat
     """The written table, and the same marked for broadcast if its rows are few enough."""
     table = written(df, name)
     return table, F.broadcast(table) if table.count() <= limit else table
+
+
+def joined(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with a table that has one row a key and counts in ``n`` how many of the
+    ``total`` rows have it.  Keys of more than a thousandth of the rows, fewer than a
+    thousand, are broadcast; so no task receives all rows of a frequent key.  ``n`` goes."""
+    if total <= 1000:
+        return rows.join(one.drop("n"), key)
+    often = F.col("n") > max(1000, total // 1000)
+    hot, cold = F.broadcast(one.where(often).drop("n")), one.where(~often).drop("n")
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).select(*rest.columns).union(rest)

@@ -1,7 +1,7 @@
 """Connected components over an edge table, by large and small stars.
 
-Every step is a minimum per node (combined before the shuffle) and an equi-join that
-Spark can split when one node has very many edges; no group is collected.  Each
+Every step is a minimum per node (combined before the shuffle) and an equi-join, where
+nodes with very many edges are broadcast; no group is collected.  Each
 round is written to the shared folder, so lost executors cost at most a round.
 """
 
@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
+from lumenpeak.llm.common import joined
 
 
-def _starred(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u > v)."""
+def _starred(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step over some ``total`` edges (u > v)."""
     if large:  # every node tells its larger neighbours its smallest one
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        out = joined(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # every node tells its smaller neighbours, and itself, the smallest of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        told = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        told = joined(edges, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = told.union(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
@@ -33,16 +34,17 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     without edges gives no rows.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
+    edges = written(edges, name)
+    seen, total = None, edges.count()
     for _ in range(rounds):
         watch = Observation()
         sign = F.xxhash64("u", "v")
-        step = _starred(_starred(edges, True), False)
+        step = _starred(_starred(edges, True, total), False, total)
         edges = written(step.observe(watch, F.count("*").alias("n"), F.bit_xor(sign).alias("x"),
                                      F.sum(F.shiftright(sign, 20)).alias("s")), name)
         now = watch.get
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = now
+        seen, total = now, now["n"]
     raise RuntimeError("components did not settle")

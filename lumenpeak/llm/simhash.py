@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
-from lumenpeak.llm.common import UPPER, measured, text_key, unused
+from lumenpeak.llm import nearcopies
+from lumenpeak.llm.common import UPPER, joined, measured, text_key, unused
 from lumenpeak.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no package
@@ -159,15 +160,22 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return found.union(stars) if large.count() else found
 
 
-def _classed(rows: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) of every fingerprint."""
-    firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    edges = written(links(firsts.select("fp"), radius).distinct(), "links")
+def _edges(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, first, n) of every fingerprint and the links (u, v) of near ones."""
+    firsts = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
+    return firsts, written(links(firsts.select("fp"), radius).distinct(), "links")
+
+
+def _classed(rows: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the root and the smallest doc_id (component_id) of their class."""
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "class-ids")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    sizes = rooted.agg(F.count("*").alias("fps"), F.sum("n").alias("rows")).first()
+    ids = joined(rooted.withColumnRenamed("n", "copies"), written(least, "roots"), "root", sizes["fps"])
+    ids = written(ids.select("fp", "root", "component_id", F.col("copies").alias("n")), "class-ids")
+    return joined(rows, ids, "fp", sizes["rows"] or 0)
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -177,16 +185,24 @@ def classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataF
     as they do in ``docs``; a NULL doc_id is never the smallest unless all are NULL.
     """
     rows = fingerprints(docs, size)
-    return rows.join(_classed(rows, radius), "fp").select(
+    return _classed(rows, *_edges(rows, radius)).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def deduplicated(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
+                 similarity: float = nearcopies.SIMILARITY) -> DataFrame:
     """One document of each class: that with the smallest doc_id (then the smallest
-    text digest); of rows equal in id and text one stays."""
-    rows = fingerprints(docs, size)
+    text digest); of rows equal in id and text one stays.
+
+    Classes hold what links within ``radius`` bits connect, and near copies beyond it whose
+    five-word shingles have a Jaccard similarity of ``similarity`` or more (``nearcopies``).
+    NULL and empty texts are one class; empty tables stay empty.
+    """
+    rows = nearcopies.signed(docs, lambda text: fingerprint(text, size))
+    firsts, edges = _edges(rows, radius)
+    edges = nearcopies.links(docs, rows, edges, similarity)
     # rows with their class's smallest id are few in any class; all others go
-    ranked = written(rows.join(_classed(rows, radius), "fp").groupBy(
+    ranked = written(_classed(rows.select("doc_id", "key", "fp"), firsts, edges).groupBy(
         "root", "component_id", "doc_id", "key").agg(F.count("*").alias("n")).withColumn(
         "first", F.col("doc_id").eqNullSafe(F.col("component_id"))), "ranked")
     firsts = ranked.where("first")
