@@ -12,6 +12,8 @@ from lumenpeak.functions.constants import (BOSS_TARGET1_BITS, EBOSS_TARGET0_BITS
                                            SKY_MARGIN, TRAY_FILTERS, TRAY_MAX_WAVE, TRAY_WAVES)
 from lumenpeak.operators.halo import CHUNK, positions
 
+SKY_LINES, SKY_SALT = 200_000, 32
+
 
 def to_pixels(spectra: DataFrame, *keep: str) -> DataFrame:
     """Array form -> one row per pixel, with its position.
@@ -37,19 +39,27 @@ def mask_sky(pixels: DataFrame, sky: DataFrame, margin: float = SKY_MARGIN) -> D
     """ivar = 0 where |log10(wave / sky wave)| <= margin for any sky wavelength.
 
     Sky wavelengths are spread over the log bins they reach and gathered per bin,
-    so each pixel meets one small list found by an equi join.
+    so each pixel meets one small list found by an equi join.  All spectra share the bins:
+    up to SKY_LINES wavelengths, each in at most two bins, are broadcast, so pixels stay
+    where they are; with more, a bin's pixels are dealt over SKY_SALT tasks.
     """
     width = max(10 * margin, 1e-4)
-    spread = sky.select("wave").distinct().withColumn("__bin", F.explode(F.sequence(
+    lines = sky.select("wave").distinct()
+    spread = lines.withColumn("__bin", F.explode(F.sequence(
         F.floor((F.log10("wave") - 2 * margin) / width),
         F.floor((F.log10("wave") + 2 * margin) / width))))
     per_bin = spread.groupBy("__bin").agg(F.collect_set("wave").alias("__sky"))
     binned = pixels.withColumn("__bin", F.floor(F.log10("wave") / width))
     hit = F.coalesce(F.exists("__sky", lambda line: F.abs(
         F.log10(F.col("wave") / line)) <= margin), F.lit(False))
-    return (binned.join(per_bin, "__bin", "left")
-            .withColumn("ivar", F.when(hit, 0.0).otherwise(F.col("ivar")))
-            .drop("__bin", "__sky"))
+    if lines.limit(SKY_LINES + 1).count() <= SKY_LINES:
+        met = binned.join(F.broadcast(per_bin), "__bin", "left")
+    else:
+        salted = per_bin.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SKY_SALT - 1))))
+        met = binned.withColumn("__salt", F.pmod(F.xxhash64("SPECID", "wave"), F.lit(SKY_SALT)).cast("int")).join(
+            salted, ["__bin", "__salt"], "left")
+    return (met.withColumn("ivar", F.when(hit, 0.0).otherwise(F.col("ivar")))
+            .drop("__bin", "__salt", "__sky"))
 
 
 def mask_ranges(pixels: DataFrame, ranges: Sequence[tuple[float, float]]) -> DataFrame:

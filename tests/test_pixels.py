@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lumenpeak.operators import cones as C
 from lumenpeak.operators import exposures as X
 from lumenpeak.operators import pixels as P
 from lumenpeak.sources import writers as W
@@ -20,7 +21,7 @@ def frame(spark, wave, flux=None, ivar=None, specid=1):
         "ivar": np.ones(n) if ivar is None else ivar}))
 
 
-def test_sky_mask(spark):
+def test_sky_mask(spark, monkeypatch):
     wave = np.sort(RNG.uniform(3600, 9000, 600))
     lines = np.sort(RNG.uniform(3600, 9000, 120))
     sky = spark.createDataFrame([(float(x),) for x in lines], "wave DOUBLE")
@@ -28,6 +29,40 @@ def test_sky_mask(spark):
         rows = P.mask_sky(frame(spark, wave), sky, margin).orderBy("pix").collect()
         hit = (np.abs(np.log10(wave[:, None] / lines)) <= margin).any(axis=1)
         assert [r["ivar"] == 0 for r in rows] == list(hit) and len(rows) == 600
+        plan = P.mask_sky(frame(spark, wave), sky, margin)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(P, "SKY_LINES", 10)
+            assert P.mask_sky(frame(spark, wave), sky, margin).orderBy("pix").collect() == rows
+
+
+def test_cones(spark, monkeypatch):
+    n, m = 3000, 400
+    ra, dec = RNG.uniform(0, 360, n), np.degrees(np.arcsin(RNG.uniform(-1, 1, n)))
+    ra[:4], dec[:4] = [0, 359.999, 720.0, 10], [0, 90, -90, 89.99]
+    cra, cdec = RNG.uniform(-180, 540, m), np.degrees(np.arcsin(RNG.uniform(-1, 1, m)))
+    radius = 10 ** RNG.uniform(-3, 0.6, m)
+    cra[:6], cdec[:6] = [0, 360, 0.0, 180, 200, 20], [0, 0.1, 90, -89.9, 40, -20]
+    radius[:6] = [0, 0.5, 3, 1, 40, 0.01]
+    targets = spark.createDataFrame(pd.DataFrame({"k": np.arange(n), "RA": ra, "DEC": dec}))
+    targets = targets.union(targets.where("k = 5")).union(spark.createDataFrame([(-1, None, 1.0)], targets.schema))
+
+    def within(few):
+        a, d, c0, d0 = (np.radians(x) for x in (ra[:, None], dec[:, None], cra[:few], cdec[:few]))
+        h = np.sin((d - d0) / 2) ** 2 + np.cos(d) * np.cos(d0) * np.sin((a - c0) / 2) ** 2
+        return (np.degrees(2 * np.arcsin(np.sqrt(np.minimum(h, 1)))) <= radius[:few]).any(axis=1)
+
+    for few, limit in ((m, 10**6), (m, 0), (0, 10**6)):
+        monkeypatch.setattr(C, "BROADCAST_ROWS", limit)
+        cones = spark.createDataFrame(pd.DataFrame({"RA": cra[:few], "DEC": cdec[:few], "RADIUS": radius[:few]}),
+                                      "RA double, DEC double, RADIUS double")
+        cones = cones.union(spark.createDataFrame([(None, 1.0, 9.0), (1.0, 1.0, float("nan")), (1.0, 1.0, -1.0)],
+                                                  cones.schema))
+        want = within(few)
+        keys = sorted([*np.flatnonzero(want), *([5] if want[5] else [])])
+        assert sorted(r.k for r in C.in_cones(targets, cones).collect()) == keys
+        rest = sorted([*np.flatnonzero(~want), *([] if want[5] else [5]), -1])
+        assert sorted(r.k for r in C.in_cones(targets, cones, inside=False).collect()) == rest
 
 
 def rebin_by_hand(wave, flux, ivar, w, extend):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenpeak.operators import cones as C
 from lumenpeak.operators import exposures as X
 from lumenpeak.operators import pixels as P
 from workload.views import (PIXELS, num, pixels, query, rounded, rounded_sql, table, with_ctes)
@@ -392,6 +393,37 @@ def c23(spark, sf):
                             exclude_areas=[(170.0, -5.0, 20.05)]).select("APS_ID")
 
 
+CONES_SQL = """WITH targets AS (
+  SELECT c_custkey AS APS_ID, (c_custkey * 37 % 3600) / 10.0e0 AS RA,
+         (c_custkey * 13 % 1800) / 10.0e0 - 90.0e0 AS DEC FROM customer),
+cones AS (
+  SELECT (s_suppkey * 71 % 3600) / 10.0e0 AS ra0, (s_suppkey * 29 % 1790) / 10.0e0 - 89.5e0 AS dec0,
+         0.137e0 + (s_suppkey % 40) / 8.0e0 AS radius FROM supplier)
+SELECT APS_ID FROM targets WHERE {0} EXISTS (SELECT 1 FROM cones
+  WHERE abs(DEC - dec0) <= radius + 0.001 AND 2 * asin(sqrt(least(1.0, sin(radians(DEC - dec0) / 2) ** 2
+    + cos(radians(DEC)) * cos(radians(dec0)) * sin(radians(RA - ra0) / 2) ** 2))) <= radians(radius))"""
+
+
+def by_cones(spark, sf, inside):
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    targets = table(spark, sf, "customer").select(
+        k.alias("APS_ID"), ((k * 37 % 3600) / 10.0).alias("RA"), ((k * 13 % 1800) / 10.0 - 90.0).alias("DEC"))
+    cones = table(spark, sf, "supplier").select(
+        ((s * 71 % 3600) / 10.0).alias("RA"), ((s * 29 % 1790) / 10.0 - 89.5).alias("DEC"),
+        (0.137 + (s % 40) / 8.0).alias("RADIUS"))
+    return C.in_cones(targets, cones, inside).select("APS_ID")
+
+
+@query("c23_targets_in_cones", CONES_SQL.format(""))
+def c23_in_cones(spark, sf):
+    return by_cones(spark, sf, True)
+
+
+@query("c23_targets_outside_cones", CONES_SQL.format("NOT"))
+def c23_outside_cones(spark, sf):
+    return by_cones(spark, sf, False)
+
+
 @query("c23_wave_ranges", per_spectrum_sql(with_ctes(*ARM_CTES[:2], """kept AS (
   SELECT * FROM arms WHERE (arm = 'blue' AND wave BETWEEN 3800 AND 6500)
      OR (arm = 'red' AND wave BETWEEN 6700 AND 9000))"""), "kept"))
