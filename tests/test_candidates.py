@@ -113,6 +113,38 @@ def test_interval_join_bounds_are_inclusive(spark):
             [("a", float(x)) for x in range(-7, 4)] + [("b", 3.0)])
 
 
+def test_interval_members_move_no_interval(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, float(w), float(f), float(f) / 3) for s, lo, n in ((1, 3600, 300), (2, 4000, 40), (3, -200, 12))
+            for w, f in zip(np.round(lo + rng.uniform(0, 3000, n), 1), range(n))]
+    rows += [rows[0], (1, None, 1.0, 1.0), (None, 5000.0, 1.0, 1.0), (4, 1e15, 1.0, 1.0), (4, 1300.0, 2.0, None),
+             (2, 4444.0, None, 1.0)]
+    pixels = spark.createDataFrame(rows, "SPECID BIGINT, wave DOUBLE, flux DOUBLE, ivar DOUBLE")
+    tries = [(s, p, t, z) for s in (1, 2, 3, 4, 5, None) for p, t, z in
+             ((1, 0, 0.0), (1, 1, 0.7), (9, 0, 2.5), (9, 2, -3.0), (9, 3, None))]
+    tries += [(1, 1, 1, 0.7), (4, 7, 0, 1.0)]
+    trials = spark.createDataFrame(tries, "SPECID BIGINT, peak_pix BIGINT, try_order INT, Z_TRY DOUBLE")
+    want = interval_join(pixels, C.line_intervals(trials), ["SPECID"], "wave", "lo", "hi", C.METRIC_BIN_WIDTH)
+    for options in ({}, {"piece": 50}, {"deal": 3}, {"bin_width": 7.0}):
+        got = C.interval_members(pixels, trials, **options)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert got.count() == want.count() > 500
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in plain}
+    try:
+        for name, value in plain.items():
+            spark.conf.set(name, value)
+        members = C.interval_members(pixels.where("SPECID < 4"), trials).groupBy(
+            *C.CANDIDATE_KEY, "line_index", "band").count()
+        plan = members._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("line_index" in line or "__bin" in line for line in moved)
+
+
 def test_trial_redshifts_keep_order_and_sign(spark):
     peaks = spark.createDataFrame([(1, 5, 1549.06, 7.0), (2, 3, 900.0, 8.0)], PEAKS)
     rows = C.trial_redshifts(peaks).collect()
