@@ -99,26 +99,45 @@ def rebin(pixels: DataFrame, width: float, extend: float = 0.0) -> DataFrame:
     """Average flux and summed ivar on centres 4000 +- k*width, 0/0 where empty.
 
     A pixel belongs to every bin with centre - w/2 - extend <= wave < centre + w/2
-    + extend.  The grid rows of a spectrum are unioned in before the one
-    aggregation, so empty bins need no join.
+    + extend.  Filled bins meet one row per CHUNK bins of a spectrum's grid, and each bin
+    adds the empty ones up to the next; so empty bins need no join, no shuffle and no place
+    in an aggregation, and no task makes the grid of all spectra.
     """
     half, w = width / 2.0, float(width)
     wave = F.col("wave")
     low = F.floor((wave - REBIN_CENTER - half - extend) / w)
     high = F.floor((wave - REBIN_CENTER + half + extend) / w) + 1
     center = F.lit(REBIN_CENTER) + F.col("k") * F.lit(w)
+
+    def chunk_of(k: Column) -> Column:
+        return F.floor(k / F.lit(CHUNK))
+
     members = (pixels.withColumn("k", F.explode(F.sequence(low, high)))
                .where((wave >= center - half - extend) & (wave < center + half + extend))
-               .select("SPECID", "k", "flux", "ivar", F.lit(0).alias("grid")))
-    span = pixels.groupBy("SPECID").agg(F.min("wave").alias("lo"), F.max("wave").alias("hi"))
-    first = F.least(F.floor((F.col("lo") - w - REBIN_CENTER) / w) + 1, F.lit(0))
-    last = F.greatest(F.ceil((F.col("hi") + w - REBIN_CENTER) / w) - 1, F.lit(0))
-    grid = span.select("SPECID", F.explode(F.sequence(first, last)).alias("k"),
-                       F.lit(None).cast("double").alias("flux"),
-                       F.lit(None).cast("double").alias("ivar"), F.lit(1).alias("grid"))
-    binned = members.unionByName(grid).groupBy("SPECID", "k").agg(
-        F.max("grid").alias("grid"), F.avg("flux").alias("flux"), F.sum("ivar").alias("ivar"))
-    return binned.where("grid = 1").select(
+               .groupBy("SPECID", "k").agg(F.avg("flux").alias("flux"), F.sum("ivar").alias("ivar"))
+               .select("SPECID", chunk_of(F.col("k")).alias("chunk"), "k", "flux", "ivar",
+                       F.lit(None).cast("bigint").alias("end")))
+    span = pixels.groupBy("SPECID").agg(F.min("wave").alias("lo"), F.max("wave").alias("hi")).select(
+        "SPECID", F.least(F.floor((F.col("lo") - w - REBIN_CENTER) / w) + 1, F.lit(0)).alias("first"),
+        F.greatest(F.ceil((F.col("hi") + w - REBIN_CENTER) / w) - 1, F.lit(0)).alias("last"))
+    missing = F.lit(None).cast("double")
+    grid = span.withColumn("chunk", F.explode(F.sequence(chunk_of(F.col("first")), chunk_of(F.col("last"))))).select(
+        "SPECID", "chunk", F.greatest(F.col("first"), F.col("chunk") * CHUNK).alias("k"),
+        missing.alias("flux"), missing.alias("ivar"),
+        F.least(F.col("last"), F.col("chunk") * CHUNK + (CHUNK - 1)).alias("end"))
+    along = Window.partitionBy("SPECID", "chunk").orderBy("k", F.col("end").asc_nulls_first())
+    # bins before the grid's first one see no end; a filled first bin comes before its grid row
+    shifted = F.lag(F.struct("k", "flux", "ivar")).over(along)
+    filled = members.unionByName(grid).withColumns({
+        "until": F.max("end").over(along), "next": F.lead("k").over(along), "before": shifted})
+    same = F.col("end").isNotNull() & (F.col("before.k") == F.col("k"))
+    filled = filled.select("SPECID", "k", "until", "next", *[
+        F.when(same, F.col(f"before.{c}")).otherwise(F.col(c)).alias(c) for c in ("flux", "ivar")]).where(
+        "k <= until").withColumn("at", F.explode(F.sequence("k", F.coalesce(
+            F.least(F.col("next") - 1, F.col("until")), F.col("until")))))
+    own = F.col("at") == F.col("k")
+    return filled.select("SPECID", F.col("at").alias("k"), F.when(own, F.col("flux")).alias("flux"),
+                         F.when(own, F.col("ivar")).alias("ivar")).select(
         "SPECID", "k", center.alias("wave"),
         F.coalesce("flux", F.lit(0.0)).alias("flux"), F.coalesce("ivar", F.lit(0.0)).alias("ivar"))
 

@@ -88,6 +88,22 @@ def test_rebin(spark, lo, hi, w, extend):
         np.testing.assert_allclose(got[c], want[c], atol=1e-9)
 
 
+def test_empty_bins_fill_every_chunk_without_an_aggregation(spark):
+    rows = [(1, 4000.0 + 3.0 * 9000, 2.0, 1.0), (1, 4001.0, 4.0, 3.0), (1, 4000.5, 6.0, 5.0),
+            (2, None, 1.0, 1.0), (None, 4000.0 - 3.0 * 5000, 7.0, 2.0), (3, 4000.0 + 3.0 * 4096, 8.0, 9.0)]
+    source = spark.createDataFrame(rows, "SPECID BIGINT, wave DOUBLE, flux DOUBLE, ivar DOUBLE")
+    got = P.rebin(source, 3.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Union")]  # the grid meets no aggregation, so no task holds it
+    made = {(r["SPECID"], r["k"]): (r["wave"], r["flux"], r["ivar"]) for r in got.collect()}
+    assert len(made) == got.count() == 9001 + 1 + 5001 + 4097
+    for key in ((1, 0), (1, 9000), (2, 0), (None, -5000), (None, 0), (3, 4096)):
+        assert key in made
+    assert {k: v[1:] for k, v in made.items() if v[1:] != (0.0, 0.0)} == {
+        (1, 0): (5.0, 8.0), (1, 9000): (2.0, 1.0), (None, -5000): (7.0, 2.0), (3, 4096): (8.0, 9.0)}
+    assert all(wave == 4000.0 + 3.0 * k for (_, k), (wave, _, _) in made.items())
+
+
 def test_noise_repeats_and_spares_dead_pixels(spark):
     ivar = np.where(np.arange(400) % 4 == 0, 0.0, 4.0)
     source = frame(spark, np.arange(400.0), np.zeros(400), ivar)
