@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.columns import ratio
+from lumenpeak.functions.shared import written
 from lumenpeak.operators.halo import CHUNK, chunk_window, positions, with_halo
 from lumenpeak.operators.pixels import first_per_key
 
@@ -80,9 +81,11 @@ def correct_sensitivity(pixels: DataFrame, propagate: bool = False) -> DataFrame
 def trim_edges(pixels: DataFrame) -> DataFrame:
     """Keep each arm from its second to its next-to-last pixel with signal.
 
-    An arm with fewer than two such pixels is dropped.
+    An arm with fewer than two such pixels is dropped.  Pixels are read for both ends and
+    once more for the cut, so they are written first, not made three times; the result is
+    written too, as gaps and their edges read it again.
     """
-    key = ["SPECID", "arm"]
+    key, pixels = ["SPECID", "arm"], written(pixels, "arms")
     signal = pixels.where("flux <> 0 AND ivar <> 0").select(*key, "wave")
 
     def second(order, pick):
@@ -92,8 +95,8 @@ def trim_edges(pixels: DataFrame) -> DataFrame:
 
     lo = second(F.col("wave").asc(), F.max("wave").alias("lo"))
     hi = second(F.col("wave").desc(), F.min("wave").alias("hi"))
-    bounds = lo.join(hi, key)
-    return pixels.join(bounds, key).where("wave >= lo AND wave <= hi").drop("lo", "hi")
+    bounds = written(lo.join(hi, key), "arm-ends")
+    return written(pixels.join(bounds, key).where("wave >= lo AND wave <= hi").drop("lo", "hi"), "trimmed")
 
 
 def find_gaps(pixels: DataFrame, margin: int = 4) -> DataFrame:
@@ -110,16 +113,21 @@ def find_gaps(pixels: DataFrame, margin: int = 4) -> DataFrame:
 def fill_gaps(pixels: DataFrame, gaps: DataFrame) -> DataFrame:
     """Linear interpolation of the flux strictly inside each arm's gap.
 
-    Arms without a gap, or whose gap edge is not a pixel, are left as they are.
+    Arms without a gap, or whose gap edge is not a pixel, are left as they are.  Gaps and
+    edges have few rows per arm; written, their size lets Spark leave the pixels where they lie.
     """
-    key = ["SPECID", "arm"]
+    key, gaps = ["SPECID", "arm"], written(gaps, "gaps")
 
-    def edge(position: str, prefix: str) -> DataFrame:
-        at = gaps.select(*key, F.col(position).alias("pix"))
-        return at.join(pixels, [*key, "pix"]).select(
-            *key, F.col("wave").alias(f"{prefix}_wave"), F.col("flux").alias(f"{prefix}_flux"))
+    ends = gaps.select(*key, F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(position).alias("pix"))
+        for side, position in (("a", "start_pix"), ("b", "end_pix"))])).alias("end")).select(*key, "end.*")
+    found = written(pixels.join(ends, [*key, "pix"]).select(*key, "side", "wave", "flux"), "gap-edges")
 
-    edges = edge("start_pix", "a").join(edge("end_pix", "b"), key)
+    def edge(side: str) -> DataFrame:
+        return found.where(F.col("side") == side).select(
+            *key, F.col("wave").alias(f"{side}_wave"), F.col("flux").alias(f"{side}_flux"))
+
+    edges = edge("a").join(edge("b"), key)
     slope = ratio(F.col("a_flux") - F.col("b_flux"), F.col("a_wave") - F.col("b_wave"))
     inside = (F.col("wave") > F.col("a_wave")) & (F.col("wave") < F.col("b_wave"))
     filled = F.when(inside, slope * (F.col("wave") - F.col("a_wave")) + F.col("a_flux"))
@@ -135,8 +143,10 @@ def combine_arms(pixels: DataFrame) -> DataFrame:
 
 
 def numbered_pixels(pixels: DataFrame, step: float = 4096.0) -> DataFrame:
-    """Add ``pix`` = position along the wavelength, after combining or dropping pixels."""
-    return positions(pixels, ["SPECID"], ["wave"], F.floor(F.col("wave") / F.lit(step)))
+    """Add ``pix`` = position along the wavelength, after combining or dropping pixels.
+
+    Positions read their rows twice, so these are written, not combined twice."""
+    return positions(written(pixels, "unnumbered"), ["SPECID"], ["wave"], F.floor(F.col("wave") / F.lit(step)))
 
 
 def arm_spectra(pixels: DataFrame) -> DataFrame:

@@ -166,3 +166,17 @@ def test_forbidden_ranges_come_in_pairs():
     assert P.forbidden_ranges([1.0, 2.0, 5.0, 6.0]) == [(1.0, 2.0), (5.0, 6.0)]
     with pytest.raises(ValueError):
         P.forbidden_ranges([1.0])
+
+
+def test_arms_are_made_once(spark, tmp_path):
+    rows = [(s, a, p, 100.0 * s + p, 0.0 if p in (20, 21) else 1.0 + p, 0.0 if p in (20, 21) else 1.0, 1.0)
+            for s in (1, 2) for a in ("blue", "red") for p in range(40)]
+    path = str(tmp_path / "arms")
+    spark.createDataFrame(rows, "SPECID BIGINT, arm STRING, pix BIGINT, wave DOUBLE, flux DOUBLE, ivar DOUBLE, "
+                                "sens DOUBLE").write.parquet(path)
+    source = spark.read.parquet(path)
+    cut = X.trim_edges(source)
+    for df in (cut, X.find_gaps(cut), X.fill_gaps(cut, X.find_gaps(cut)), X.arm_spectra(source)):
+        assert df.inputFiles() and not any(path in file for file in df.inputFiles())
+    made = {(r["SPECID"], r["pix"]): r["flux"] for r in X.arm_spectra(source).collect()}
+    assert made == {(s, p - 1): 1.0 + p for s in (1, 2) for p in range(1, 39)}
