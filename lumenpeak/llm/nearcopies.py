@@ -3,13 +3,15 @@
 At a Jaccard similarity of 0.8 two SimHash fingerprints differ in some ten of 64 bits,
 where a covering family would need far too many tables.  Here every text gets a row of
 minima over its distinct five-word shingles; two texts that agree in all minima of a
-band meet in a bucket.  Buckets are not compared pair by pair: all rows are sorted by
-bucket and by their further minima over range partitions, so that a bucket of any size
-spreads over tasks, and every row meets the rows just before it, which are those that
-agree with it longest.  Each band sorts by another order.  What meets is then compared
-exactly, by the Jaccard similarity of whole shingle sets.  A first pass links what lies
-next to each other; a second one looks further, where a bucket still holds several
-classes.  A pair that meets in no band is missed; the README has the measured recall.
+band meet in a bucket.  A first pass links what lies next to each other: all rows are
+sorted by bucket and by their further minima over range partitions, so that a bucket of
+any size spreads over tasks, and every row meets the rows just before it, which are those
+that agree with it longest; each band sorts by another order.  It only spares work: in
+every bucket that still holds several classes all texts of different classes meet then,
+in blocks that spread over tasks.  What meets is compared exactly, by the Jaccard
+similarity of whole shingle sets, the best partners of a text first, then all others that
+are still in another class.  A pair that shares no band is missed; the README has the
+measured recall.
 """
 
 from __future__ import annotations
@@ -35,12 +37,15 @@ SHINGLE, SIMILARITY = 5, 0.8
 # A pair of similarity 0.8 shares no band with a probability of 0.0018.
 BANDS, ROWS = 16, 5
 MINIMA = BANDS * ROWS
-# Neighbours each row meets in the order of a band, first and where classes differ then.
-NEXT, FURTHER = 2, 8
-# Minima that must agree before texts are compared: 3.3 deviations below 0.8.
-AGREE = 52
-# Best partners of a text that the first pass compares.
+# Neighbours each row meets in the order of a band in the first pass.
+NEXT = 2
+# Rows of a block; two blocks of a bucket meet in one task.
+BLOCK = 1024
+# Minima that must agree before texts are compared: 5.6 deviations below 0.8.
+AGREE = 44
+# Best partners of a text, which are compared before all others.
 FIRST = 2
+MET = 200_000  # pairs that leave a task at once
 PIECE = 1 << 13  # shingles whose minima are computed at once
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _draw = np.random.default_rng(20)
@@ -148,7 +153,7 @@ def filed(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, reach: int = NEXT) -> DataFrame:
-    """(a, fa, b, fb, alike): pairs of texts that meet, each once, a < b, with their
+    """(a, fa, b, fb, alike): pairs of neighbours, each once, a < b, with their
     fingerprints and the minima in which they agree.  ``rows``: filed rows with the
     ``root`` of their class; texts of one class do not meet."""
     order = ["bucket", "sig", "key"]
@@ -162,7 +167,11 @@ def candidates(rows: DataFrame, reach: int = NEXT) -> DataFrame:
     # at most 2 * reach rows a partition, in the same order
     ends = met.where("other IS NULL").select("bucket", "sig", "key", "fp", "root").distinct()
     across = ends.coalesce(1).sortWithinPartitions(*order).mapInPandas(near, schema)
-    pairs = met.union(across).where("other IS NOT NULL")
+    return _once(met.union(across).where("other IS NOT NULL"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """(a, fa, b, fb, alike) of the pairs, each once, a < b."""
     swap = F.col("key") > F.col("other")
     pairs = pairs.select("alike", *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for name, x, y in (
         ("a", "key", "other"), ("fa", "fp", "fo"), ("b", "other", "key"), ("fb", "fo", "fp"))])
@@ -170,6 +179,63 @@ def candidates(rows: DataFrame, reach: int = NEXT) -> DataFrame:
         F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.max("alike").alias("alike")), "near-pairs")
 
 
+def _all_met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Pairs of rows of one group and two classes that are alike in enough minima; where
+    two blocks meet, pairs of different blocks."""
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, MINIMA)
+    bucket, i, j, block, fp, root, key = (
+        rows[c].to_numpy() for c in ("bucket", "i", "j", "block", "fp", "root", "key"))
+    group = np.r_[0, np.cumsum((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))]
+    own, at, found, n = i == j, np.arange(len(rows)), [], 0
+    for gap in range(1, len(rows)):
+        at = at[:np.searchsorted(at, len(rows) - gap)]
+        at = at[group[at] == group[at + gap]]
+        if not len(at):
+            break
+        a = at[(root[at] != root[at + gap]) & (own[at] | (block[at] != block[at + gap]))]
+        agree = (sig[a] == sig[a + gap]).sum(1)
+        a, agree = a[agree >= AGREE], agree[agree >= AGREE]
+        found.append(pd.DataFrame({"key": key[a], "fp": fp[a], "other": key[a + gap], "fo": fp[a + gap], "alike": agree}))
+        n += len(a)
+        if n > MET:
+            yield pd.concat(found)
+            found, n = [], 0
+    if found:
+        yield pd.concat(found)
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of groups that arrive in order; holds one group and one batch."""
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        if not len(rows):
+            continue
+        last = rows.iloc[-1]
+        open_ = (rows["bucket"] == last["bucket"]) & (rows["i"] == last["i"]) & (rows["j"] == last["j"])
+        yield from _all_met(rows[~open_])
+        held = rows[open_]
+    if held is not None:
+        yield from _all_met(held)
+
+
+def meetings(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs as ``candidates`` gives them, but of all texts of different classes that share
+    a bucket.
+
+    A bucket is dealt into blocks of some ``block`` rows, and every two blocks meet in a
+    group of their own, so a task holds two blocks however large the bucket is."""
+    _, mixed = measured(rows.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").selectExpr(
+        "bucket", f"(n - 1) div {block} + 1 AS blocks"), "mixed")
+    dealt = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn(
+        "with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    order = ["bucket", "i", "j"]
+    dealt = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block",
+                         "sig", "key", "fp", "root").repartition(*order).sortWithinPartitions(*order)
+    return _once(dealt.mapInPandas(_groups, "key string, fp bigint, other string, fo bigint, alike int"))
+
+
 def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """key, hashes: the shingles of the texts that a pair names."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +253,8 @@ def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def alike(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Fingerprints (u, v) of the pairs whose shingle sets have that Jaccard similarity.
 
-    A text has at most twice the reach as partners in a band, so no key of these joins is hot."""
+    Each side of a join has a shingle set once a text; the pairs of a text with very many
+    partners stream past it."""
     sets = _sets(docs, pairs)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -200,16 +267,28 @@ def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float
     """(u, v): enough links between fingerprints to connect what ``edges`` and the near
     copies found connect.  ``rows`` are the signed rows of ``docs``."""
     places = filed(rows)
-    pairs = candidates(places.withColumn("root", F.col("fp")))
-    best = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("alike"), d)) <= FIRST
-            for c, d in (("a", "b"), ("b", "a"))]
-    first = written(pairs.withColumn("now", best[0] | best[1]).where("now").drop("now"), "best-pairs")
+    first = _ranked(candidates(places.withColumn("root", F.col("fp")))).where("now")
     edges = written(edges.select("u", "v").union(alike(docs, first, similarity)).distinct(), "near-links")
     roots = components(edges)
     placed = written(places.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")), "placed")
-    _, mixed = measured(placed.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "mixed")
-    pairs = candidates(placed.join(mixed, "bucket", "left_semi"), FURTHER)
-    return written(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(
-        alike(docs, pairs, similarity)).distinct(), "all-links")
+    pairs = _ranked(meetings(placed))
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if pairs.isEmpty():
+        return edges
+    edges = written(edges.union(alike(docs, pairs.where("now"), similarity)).distinct(), "all-links")
+    roots = components(edges)
+
+    def root_of(fp: str) -> DataFrame:
+        return roots.select(F.col("node").alias(fp), F.col("root").alias(f"root_{fp}"))
+
+    others = written(pairs.where("NOT now").join(root_of("fa"), "fa", "left").join(root_of("fb"), "fb", "left").where(
+        "coalesce(root_fa, fa) <> coalesce(root_fb, fb)").select("a", "fa", "b", "fb"), "other-pairs")
+    return written(edges.union(alike(docs, others, similarity)).distinct(), "near-links")
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """The pairs, and ``now``: one text is among the best partners of the other."""
+    best = [F.row_number().over(Window.partitionBy(c).orderBy(F.desc("alike"), d)) <= FIRST
+            for c, d in (("a", "b"), ("b", "a"))]
+    return written(pairs.withColumn("now", best[0] | best[1]), "ranked-pairs")

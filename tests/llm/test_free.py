@@ -100,6 +100,25 @@ def test_near_copies_beyond_four_bits(spark):
     assert nearcopies.filed(nearcopies.signed(empty(spark), simhash.fingerprint)).count() == 0
 
 
+def test_no_neighbour_bound_loses_a_near_copy(spark):
+    rng = random.Random(31)
+    hot = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(edited(rng, hot, 3)) for _ in range(300)]
+    want = sorted(set(duplicates(texts)))
+    docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
+    # every pair of a bucket meets once, whatever the size of the blocks
+    rows = nearcopies.filed(nearcopies.signed(docs, simhash.fingerprint)).withColumn("root", F.abs(F.col("fp") % 3))
+    met = {}
+    for r in rows.collect():
+        met.setdefault(r.bucket, []).append((r.key, r.root, np.frombuffer(r.sig, np.uint16)))
+    pairs = {(min(a, b), max(a, b)) for group in met.values() for i, (a, u, x) in enumerate(group)
+             for b, v, y in group[:i] if u != v and (x == y).sum() >= nearcopies.AGREE}
+    assert len(pairs) > 1000
+    for block in (7, 1024):
+        assert sorted((r.a, r.b) for r in nearcopies.meetings(rows, block).collect()) == sorted(pairs)
+
+
 def near_texts():
     rng = random.Random(1)
     base = [" ".join(str(rng.randrange(900)) for _ in range(300)) for _ in range(6)]
