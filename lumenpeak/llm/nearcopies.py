@@ -9,8 +9,8 @@ any size spreads over tasks, and every row meets the rows just before it, which
 that agree with it longest; each band sorts by another order.  It only spares work: in
 every bucket that still holds several classes all texts of different classes meet then,
 in blocks that spread over tasks.  What meets is compared exactly, by the Jaccard
-similarity of whole shingle sets, the best partners of a text first, then all others that
-are still in another class.  A pair that shares no band is missed; the README has the
+similarity of whole shingle sets; of very many pairs the best partners of a text come
+first, then all others that are still in another class.  A pair that shares no band is missed; the README has the
 measured recall.
 """
 
@@ -263,19 +263,21 @@ def alike(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
     return both.where(F.col("common") / union >= similarity).select(F.col("fa").alias("u"), F.col("fb").alias("v"))
 
 
-def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float = SIMILARITY,
+          few: int | None = None) -> DataFrame:
     """(u, v): enough links between fingerprints to connect what ``edges`` and the near
-    copies found connect.  ``rows`` are the signed rows of ``docs``."""
+    copies found connect.  ``rows`` are the signed rows of ``docs``; more than ``few`` pairs
+    (as many as rows) that meet after the first pass are compared best partners first."""
     places = filed(rows)
     first = _ranked(candidates(places.withColumn("root", F.col("fp")))).where("now")
     edges = written(edges.select("u", "v").union(alike(docs, first, similarity)).distinct(), "near-links")
     roots = components(edges)
     placed = written(places.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")), "placed")
-    pairs = _ranked(meetings(placed))
-    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    if pairs.isEmpty():
-        return edges
+    pairs, edges = meetings(placed), roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if pairs.count() <= max(rows.count() if few is None else few, 1):  # in proportion to the input: all at once
+        return written(edges.union(alike(docs, pairs, similarity)).distinct(), "all-links")
+    pairs = _ranked(pairs)
     edges = written(edges.union(alike(docs, pairs.where("now"), similarity)).distinct(), "all-links")
     roots = components(edges)
 

@@ -107,8 +107,13 @@ def test_no_neighbour_bound_loses_a_near_copy(spark):
     want = sorted(set(duplicates(texts)))
     docs = documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == want
+    signed = nearcopies.signed(docs, simhash.fingerprint)
+    none = spark.createDataFrame([], "u BIGINT, v BIGINT")
+    classes = {few: sorted(map(tuple, components.components(nearcopies.links(docs, signed, none, few=few)).collect()))
+               for few in (0, 10**9)}
+    assert classes[0] == classes[10**9]
     # every pair of a bucket meets once, whatever the size of the blocks
-    rows = nearcopies.filed(nearcopies.signed(docs, simhash.fingerprint)).withColumn("root", F.abs(F.col("fp") % 3))
+    rows = nearcopies.filed(signed).withColumn("root", F.abs(F.col("fp") % 3))
     met = {}
     for r in rows.collect():
         met.setdefault(r.bucket, []).append((r.key, r.root, np.frombuffer(r.sig, np.uint16)))
