@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
@@ -67,13 +67,25 @@ def measured(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> tuple[Dat
     return table, F.broadcast(table) if table.count() <= limit else table
 
 
-def joined(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+def frequent(total: int) -> Column:
+    """Whether a key with ``n`` of ``total`` rows has more than a thousandth of them, and a
+    thousand; fewer than a thousand keys have."""
+    return F.col("n") > max(1000, total // 1000)
+
+
+def counted(one: DataFrame, name: str, total: int) -> tuple[DataFrame, bool]:
+    """The written table of counts ``n``, and whether a key is frequent."""
+    watch = Observation()
+    table = written(one.observe(watch, F.max(frequent(total).cast("int")).alias("often")), name)
+    return table, bool(watch.get["often"])
+
+
+def joined(rows: DataFrame, one: DataFrame, key: str, total: int, often: bool = True) -> DataFrame:
     """Inner join with a table that has one row a key and counts in ``n`` how many of the
-    ``total`` rows have it.  Keys of more than a thousandth of the rows, fewer than a
-    thousand, are broadcast; so no task receives all rows of a frequent key.  ``n`` goes."""
-    if total <= 1000:
+    ``total`` rows have it.  Frequent keys are broadcast, so no task receives all rows of
+    one; ``often``: there may be any.  ``n`` goes."""
+    if not often or total <= 1000:
         return rows.join(one.drop("n"), key)
-    often = F.col("n") > max(1000, total // 1000)
-    hot, cold = F.broadcast(one.where(often).drop("n")), one.where(~often).drop("n")
+    hot, cold = F.broadcast(one.where(frequent(total)).drop("n")), one.where(~frequent(total)).drop("n")
     rest = rows.join(hot.select(key), key, "left_anti").join(cold, key)
     return rows.join(hot, key).select(*rest.columns).union(rest)

@@ -270,23 +270,22 @@ def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float
     (as many as rows) that meet after the first pass are compared best partners first."""
     places = filed(rows)
     first = _ranked(candidates(places.withColumn("root", F.col("fp")))).where("now")
-    edges = written(edges.select("u", "v").union(alike(docs, first, similarity)).distinct(), "near-links")
-    roots = components(edges)
+    roots = components(edges.select("u", "v").union(alike(docs, first, similarity)))
     placed = written(places.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")), "placed")
     pairs, edges = meetings(placed), roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     if pairs.count() <= max(rows.count() if few is None else few, 1):  # in proportion to the input: all at once
-        return written(edges.union(alike(docs, pairs, similarity)).distinct(), "all-links")
+        return edges.union(alike(docs, pairs, similarity))
     pairs = _ranked(pairs)
-    edges = written(edges.union(alike(docs, pairs.where("now"), similarity)).distinct(), "all-links")
-    roots = components(edges)
+    roots = components(edges.union(alike(docs, pairs.where("now"), similarity)))
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
     def root_of(fp: str) -> DataFrame:
         return roots.select(F.col("node").alias(fp), F.col("root").alias(f"root_{fp}"))
 
     others = written(pairs.where("NOT now").join(root_of("fa"), "fa", "left").join(root_of("fb"), "fb", "left").where(
         "coalesce(root_fa, fa) <> coalesce(root_fb, fb)").select("a", "fa", "b", "fb"), "other-pairs")
-    return written(edges.union(alike(docs, others, similarity)).distinct(), "near-links")
+    return edges.union(alike(docs, others, similarity))
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:

@@ -25,12 +25,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenpeak.functions.shared import written
 from lumenpeak.llm import nearcopies
-from lumenpeak.llm.common import UPPER, joined, measured, text_key, unused
+from lumenpeak.llm.common import UPPER, counted, joined, measured, text_key, unused
 from lumenpeak.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no package
@@ -169,13 +169,14 @@ def _edges(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
 def _classed(rows: DataFrame, firsts: DataFrame, edges: DataFrame) -> DataFrame:
     """``rows`` with the root and the smallest doc_id (component_id) of their class."""
     roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    sizes = rooted.agg(F.count("*").alias("fps"), F.sum("n").alias("rows")).first()
-    ids = joined(rooted.withColumnRenamed("n", "copies"), written(least, "roots"), "root", sizes["fps"])
-    ids = written(ids.select("fp", "root", "component_id", F.col("copies").alias("n")), "class-ids")
-    return joined(rows, ids, "fp", sizes["rows"] or 0)
+    rooted, watch = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), Observation()
+    rooted = written(rooted.observe(watch, F.count("*").alias("fps"), F.sum("n").alias("rows")), "rooted")
+    fps, total = watch.get["fps"], watch.get["rows"] or 0
+    least, often = counted(rooted.groupBy("root").agg(
+        F.min("first").alias("component_id"), F.count("*").alias("n")), "roots", fps)
+    ids = joined(rooted.withColumnRenamed("n", "copies"), least, "root", fps, often)
+    ids, often = counted(ids.select("fp", "root", "component_id", F.col("copies").alias("n")), "class-ids", total)
+    return joined(rows, ids, "fp", total, often)
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

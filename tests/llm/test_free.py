@@ -181,6 +181,29 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+def test_components_hold_no_large_plan(spark, monkeypatch):
+    rng = random.Random(12)
+    pairs = [(5, i) for i in range(1000, 4000)] + [(9, i) for i in range(3999, 6000)]  # frequent centres
+    pairs += [(i, rng.randrange(10_000, i)) for i in range(10_001, 10_400)] + [(20_000 + i, 20_001 + i) for i in range(30)]
+    plans, write = [], components.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(components, "written", seen)
+    stars = components.components(spark.createDataFrame(rng.sample(pairs, len(pairs)), "u long, v long"))
+    got = {r.node: r.root for r in stars.collect()}
+    want = {**{i: 5 for i in (5, 9, *range(1000, 6000))}, **{i: 10_000 for i in range(10_000, 10_400)},
+            **{i: 20_000 for i in range(20_000, 20_031)}}
+    assert got == want
+    # what the driver plans is a join or an aggregation, and nothing more for what is settled
+    assert max(p.count("Join") for p in plans) <= 4 and max(p.count("Aggregate") for p in plans) <= 4
+    plans.clear()
+    again = components.components(stars.selectExpr("root AS u", "node AS v"))
+    assert {r.node: r.root for r in again.collect()} == want and len(plans) == 2
+
+
 def test_licenses(spark):
     rng = random.Random(6)
     bag = "mit apache general public license the software x".split()
