@@ -145,6 +145,29 @@ def test_interval_members_move_no_interval(spark):
     assert moved and not any("line_index" in line or "__bin" in line for line in moved)
 
 
+def test_interval_members_make_no_list_per_interval(spark):
+    # a single pixel, equal ones, ends of bins, gaps of many bins, waves below zero
+    waves = {1: [5000.0], 2: [4000.0, 4000.0, 4049.9, 4050.0, 4100.0, 9000.0, 9050.0], 3: [-120.0, -50.0, -0.1, 0.0, 1200.0]}
+    pixels = [(s, w, float(i), None if i == 2 else 1.0 + i) for s in waves for i, w in enumerate(waves[s])]
+    shifts = [0.0, 1.0, 3.5, 1e7, 1e300, -1e300, -1.0, -2.0, float("nan"), None]
+    tries = [(s, p, 0, z) for s in (1, 2, 3, 4) for p, z in enumerate(shifts)]
+    lines = (("a", 1.0, 4000.0, 4050.0, 4050.0, 9000.0, 5000.0, 5000.0), ("b", 1.0, 0.0, 1e9, 4100.1, 8999.9, 6.0, 5.0),
+             ("c", 1.0, 1.0, 1200.0, -60.0, 0.0, 9050.0, 9051.0))
+    want = []
+    for s, p, t, z in tries:
+        for k, line in enumerate(lines):
+            for band in range(3) if z is not None else ():
+                lo, hi = (1.0 + z) * line[2 + 2 * band], (1.0 + z) * line[3 + 2 * band]
+                want += [(s, w, f, v, p, t, k, band, lo, hi) for q, w, f, v in pixels if q == s and lo <= w <= hi]
+    members = C.interval_members(
+        spark.createDataFrame(pixels, "SPECID BIGINT, wave DOUBLE, flux DOUBLE, ivar DOUBLE"),
+        spark.createDataFrame(tries, "SPECID BIGINT, peak_pix BIGINT, try_order INT, Z_TRY DOUBLE"), lines)
+    assert sorted(map(tuple, members.collect()), key=repr) == sorted(want, key=repr) and len(want) > 50
+    plan = members.groupBy(*C.CANDIDATE_KEY, "line_index", "band").count()._jdf.queryExecution().executedPlan().toString()
+    behind = plan[:plan.index("Join [SPECID")]  # a lambda would not be compiled
+    assert behind.count("Generate explode") == 2 and "lambda" not in behind
+
+
 def test_trial_redshifts_keep_order_and_sign(spark):
     peaks = spark.createDataFrame([(1, 5, 1549.06, 7.0), (2, 3, 900.0, 8.0)], PEAKS)
     rows = C.trial_redshifts(peaks).collect()
