@@ -168,6 +168,15 @@ def test_interval_members_make_no_list_per_interval(spark):
     assert behind.count("Generate explode") == 2 and "lambda" not in behind
 
 
+def test_interval_members_of_few_candidates_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(C, "MEMBER_PIXELS", 100)
+    pixels = spark.range(950).selectExpr("id % 95 AS SPECID", "4000D + id AS wave", "1D AS flux", "1D AS ivar")
+    trials = spark.createDataFrame([(7, 1, 0, 2.5)], "SPECID BIGINT, peak_pix BIGINT, try_order INT, Z_TRY DOUBLE")
+    members = C.interval_members(pixels, trials)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 10), REPARTITION_BY_NUM") == 2 and members.count() > 0
+
+
 def test_trial_redshifts_keep_order_and_sign(spark):
     peaks = spark.createDataFrame([(1, 5, 1549.06, 7.0), (2, 3, 900.0, 8.0)], PEAKS)
     rows = C.trial_redshifts(peaks).collect()
